@@ -138,10 +138,19 @@ def ndcg(rel: DataFrame, cut: DataFrame, *, full_ranking: bool = False) -> DataF
             Window.partitionBy("language", "query").orderBy("pos")))
     dcg = (ranked.groupBy("language", "query")
            .agg(F.sum(gain / F.log2(F.col("r") + 1)).alias("dcg")))
-    ideal = (rel.withColumn("i", F.row_number().over(
-                Window.partitionBy("language", "query").orderBy(F.col("relevance").desc())))
+    # Ideal DCG without ranking every annotation in one task: count the
+    # annotations per relevance value; value v then fills the positions
+    # [start, start + count) where start = 1 + annotations ranked above it.
+    per_value = rel.groupBy("language", "query", "relevance").agg(F.count(F.lit(1)).alias("c"))
+    above = F.sum("c").over(Window.partitionBy("language", "query")
+                            .orderBy(F.col("relevance").desc())
+                            .rowsBetween(Window.unboundedPreceding, -1))
+    ideal = (per_value.withColumn("start", F.coalesce(above, F.lit(0)) + 1)
+             .withColumn("disc", F.aggregate(
+                 F.sequence(F.col("start"), F.col("start") + F.col("c") - 1),
+                 F.lit(0.0), lambda acc, i: acc + 1.0 / F.log2(i + 1)))
              .groupBy("language", "query")
-             .agg(F.sum(gain / F.log2(F.col("i") + 1)).alias("idcg")))
+             .agg(F.sum(gain * F.col("disc")).alias("idcg")))
     per_q = (ideal.where(F.col("idcg") != 0)
              .join(dcg, ["language", "query"], "left")
              .withColumn("ndcg", F.coalesce(F.col("dcg"), F.lit(0.0)) / F.col("idcg")))

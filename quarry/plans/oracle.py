@@ -51,3 +51,242 @@ ORACLE_SQL = {
     "knn_join_exact": KNN_JOIN_EXACT,
     "knn_by_key": KNN_BY_KEY,
 }
+
+
+# ---------------------------------------------------------------------------
+# Regexes shared with the Spark expressions, as SQL literals. RE2's `.`
+# already stops at `\n`, so the JVM-only `(?d)` flag is dropped.
+
+from quarry.functions import text as _tx  # noqa: E402
+
+
+def _lit(pattern: str) -> str:
+    return "'" + pattern.replace("(?d)", "").replace("'", "''") + "'"
+
+
+_IDENT = _tx.IDENT
+_WS = _tx.WS
+_STOPS = "[" + ", ".join("'" + w + "'" for w in _tx.STOP_WORDS) + "]"
+_IDENTIFIERS = (f"list_filter(regexp_extract_all(text, {_lit(_tx.WORD_RUN_RE)}), "
+                f"lambda w: regexp_full_match(w, {_lit(_IDENT)}))")
+_TYPES = (f"list_filter(regexp_extract_all(text, {_lit(_tx.TYPE_PHRASE_RE)}, 1), "
+          f"lambda w: regexp_full_match(w, {_lit(_IDENT + '[' + _WS + ']*:[' + _WS + ']*' + _IDENT)}))")
+
+DOCSTRING_TOKENS = f"""
+SELECT doc_id, len(t) AS n_tokens, md5(array_to_string(t, ' ')) AS tokens_md5
+FROM (SELECT doc_id, regexp_extract_all(text, {_lit(_tx.DOCSTRING_TOKEN_RE)}) AS t FROM documents)
+"""
+
+KEYWORDS = f"""
+WITH k AS (
+  SELECT doc_id,
+         list_sort(list_filter(list_distinct(list_concat({_IDENTIFIERS}, {_TYPES})),
+                               lambda w: length(w) >= 3 AND NOT list_contains({_STOPS}, lower(w)))) AS kw
+  FROM documents)
+SELECT doc_id, len(kw) AS n_keywords, md5(array_to_string(kw, '|')) AS keywords_md5 FROM k
+"""
+
+_FOLDED = """
+  SELECT doc_id, source || ':' || doc_id::VARCHAR AS hash_key,
+         ('0x' || right(md5(source || ':' || doc_id::VARCHAR), 4))::INTEGER AS hash_val
+  FROM documents
+"""
+
+FOLD_LABELS = f"""
+SELECT doc_id, hash_key, hash_val,
+       CASE WHEN hash_val <= 39321 THEN 'train' WHEN hash_val <= 49151 THEN 'valid'
+            WHEN hash_val <= 58981 THEN 'test' ELSE 'holdout' END AS partition
+FROM ({_FOLDED})
+"""
+
+FOLD_SUMMARY = f"""
+SELECT partition, count(*) AS count, round(count(*) / sum(count(*)) OVER (), 6) AS pct
+FROM ({FOLD_LABELS}) GROUP BY partition
+"""
+
+NEGATIVES_SAMPLE = """
+WITH r AS (SELECT d.doc_id, coalesce(l.quality, 0) AS relevance
+           FROM documents d LEFT JOIN labels l USING (doc_id))
+SELECT doc_id, relevance FROM r
+WHERE relevance = 1
+   OR ('0x' || substr(md5('42' || doc_id::VARCHAR), 26, 7))::BIGINT / 268435456.0 < 0.1
+"""
+
+SHUFFLED_ORDER = """
+SELECT doc_id, row_number() OVER (ORDER BY md5('20181026' || doc_id::VARCHAR), doc_id) - 1 AS pos
+FROM documents
+"""
+
+EXACT_DEDUP = """
+SELECT min(doc_id) AS doc_id, count(*) AS n_copies FROM documents GROUP BY text
+"""
+
+NEAR_DEDUP = f"""
+WITH RECURSIVE
+toks AS (SELECT doc_id, lang, unnest({_IDENTIFIERS}) AS tok FROM documents),
+cnt AS (SELECT doc_id, lang, tok, count(*) AS c FROM toks GROUP BY ALL),
+docs AS (SELECT doc_id, lang, count(*) AS n, sum(c) AS total FROM cnt GROUP BY ALL HAVING count(*) >= 10),
+c2 AS (SELECT cnt.* FROM cnt JOIN docs USING (doc_id)),
+inter AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i, sum(least(a.c, b.c)) AS m
+          FROM c2 a JOIN c2 b ON a.lang = b.lang AND a.tok = b.tok AND a.doc_id < b.doc_id
+          GROUP BY ALL),
+edges AS (SELECT a, b FROM inter
+          JOIN docs da ON da.doc_id = inter.a JOIN docs db ON db.doc_id = inter.b
+          WHERE 5 * i >= 4 * (da.n + db.n - i) AND 10 * m >= 7 * (da.total + db.total - m)),
+und AS (SELECT a, b FROM edges UNION ALL SELECT b, a FROM edges),
+reach(node, label) AS (
+  SELECT doc_id, doc_id FROM docs
+  UNION
+  SELECT und.b, reach.label FROM reach JOIN und ON reach.node = und.a)
+SELECT node AS doc_id, min(label) AS cluster_id, node = min(label) AS kept
+FROM reach GROUP BY node
+"""
+
+_REQUESTS = """
+  SELECT p_partkey AS request_id,
+         'acme/' || lower(replace(p_brand, '#', '')) AS repo,
+         md5(p_brand) AS base_commit,
+         concat_ws(chr(10),
+           '@@ -1,3 +1,4 @@ def ' || split_part(p_name, ' ', 1) || '(self):',
+           '-    def ' || replace(p_name, ' ', '_') || '(a):',
+           '+    def ' || replace(p_name, ' ', '_') || '_v' || p_size::VARCHAR || '(a, b):',
+           '+    def typed_' || replace(p_name, ' ', '_') || '(x) -> int:',
+           '+class ' || p_type || '(Base):',
+           '+class Plain' || p_size::VARCHAR || ':',
+           '+def multi_' || replace(p_name, ' ', '_') || '(',
+           '+    a):',
+           '+ undef ' || split_part(p_name, ' ', 2) || '(x):') AS patch,
+         'Fix ' || p_name || ' handling for ' || p_type || ' parts of size ' || p_size::VARCHAR
+           AS problem_statement
+  FROM part
+"""
+
+PATCH_LABELS = f"""
+SELECT request_id, string_split(repo, '/')[-1] || '_' || base_commit AS save_path,
+       array_to_string(regexp_extract_all(patch, {_lit(_tx.PATCH_DEF_RE)}, 1), ',') AS functions,
+       array_to_string(regexp_extract_all(patch, {_lit(_tx.PATCH_CLASS_RE)}, 1), ',') AS classes
+FROM ({_REQUESTS})
+"""
+
+_PARSED = """
+  SELECT p_partkey AS request_id,
+         CASE WHEN p_size <= 10 THEN '' ELSE replace(p_name, ' ', '_') || ',' || split_part(p_name, ' ', 1) END
+           AS functions,
+         CASE WHEN p_size > 40 OR p_size <= 5 THEN '' ELSE p_type END AS classes,
+         CASE WHEN p_size <= 10 THEN 0 ELSE 2 END::BIGINT AS n_functions,
+         CASE WHEN p_size > 40 OR p_size <= 5 THEN 0 ELSE 1 END::BIGINT AS n_classes
+  FROM part WHERE p_size > 5
+"""
+
+PARSE_LABEL = f"SELECT * FROM ({_PARSED})"
+
+LABEL_STATS = f"""
+SELECT round(avg(n_functions), 6) AS n_functions_mean, round(stddev_samp(n_functions), 6) AS n_functions_std,
+       max(n_functions) AS n_functions_max, min(n_functions) AS n_functions_min,
+       round(avg(n_classes), 6) AS n_classes_mean, round(stddev_samp(n_classes), 6) AS n_classes_std,
+       max(n_classes) AS n_classes_max, min(n_classes) AS n_classes_min
+FROM ({_PARSED})
+"""
+
+LABEL_ARGMAX = f"""
+WITH pl AS ({_PARSED})
+SELECT request_id, n_functions + n_classes AS n_total FROM pl
+WHERE n_functions + n_classes = (SELECT max(n_functions + n_classes) FROM pl)
+"""
+
+_LABEL_TEXTS = """
+  SELECT p_partkey AS request_id,
+         '(' || CASE WHEN p_size <= 10 THEN '[]'
+                     ELSE '[''' || replace(p_name, ' ', '_') || ''', ''' || split_part(p_name, ' ', 1) || ''']' END
+         || ', ' || CASE WHEN p_size > 40 OR p_size <= 5 THEN '[]' ELSE '[''' || p_type || ''']' END || ')'
+           AS label_text,
+         'Fix ' || p_name || ' handling for ' || p_type || ' parts of size ' || p_size::VARCHAR
+           AS problem_statement
+  FROM part
+"""
+
+ONE_PER_QUERY = f"""
+SELECT problem_statement, min(request_id) AS request_id, arg_min(label_text, request_id) AS label_text
+FROM ({_LABEL_TEXTS}) GROUP BY problem_statement
+"""
+
+COUNT_SUMMARIES = """
+SELECT 'lang' AS dimension, lang AS value, count(*) AS n FROM documents GROUP BY lang
+UNION ALL SELECT 'source', source, count(*) FROM documents GROUP BY source
+UNION ALL SELECT 'distinct_source', NULL, count(DISTINCT source) FROM documents
+UNION ALL SELECT 'total', NULL, count(*) FROM documents
+"""
+
+_REL = """
+ann AS (SELECT d.lang AS Language, d.source AS Query, d.doc_id::VARCHAR AS GitHubUrl,
+               l.quality AS Relevance
+        FROM labels l JOIN documents d USING (doc_id)),
+mean AS (SELECT Query, Language, GitHubUrl, avg(Relevance::DOUBLE) AS rel FROM ann GROUP BY ALL),
+rel AS (SELECT language, query, url, relevance FROM (
+          SELECT lower(Language) AS language, lower(Query) AS query, GitHubUrl AS url, rel AS relevance,
+                 row_number() OVER (PARTITION BY lower(Language), lower(Query), GitHubUrl
+                                    ORDER BY Query DESC, Language DESC) AS o
+          FROM mean) WHERE o = 1),
+pred AS (SELECT lang AS language, source AS query, doc_id::VARCHAR AS url,
+                row_number() OVER (PARTITION BY lang, source ORDER BY n_chars DESC, doc_id) AS rank
+         FROM documents),
+cut AS (SELECT * FROM (
+          SELECT lower(language) AS language, lower(query) AS query, url,
+                 row_number() OVER (PARTITION BY lower(language), lower(query)
+                                    ORDER BY rank, language, query, url) AS pos
+          FROM pred) WHERE pos <= 10),
+langs AS (SELECT DISTINCT language FROM cut)
+"""
+
+RELEVANCE_MEAN = f"WITH {_REL} SELECT language, query, url, round(relevance, 6) AS relevance FROM rel"
+
+COVERAGE = f"""
+WITH {_REL},
+cov AS (SELECT r.language, count(*) AS n_ann, count(c.url) AS n_cov,
+               count(*) FILTER (WHERE r.relevance > 0) AS n_ann_pos,
+               count(c.url) FILTER (WHERE r.relevance > 0) AS n_cov_pos
+        FROM rel r LEFT JOIN (SELECT DISTINCT language, query, url FROM cut) c USING (language, query, url)
+        GROUP BY r.language)
+SELECT l.language, round(n_cov::DOUBLE / nullif(n_ann, 0), 6) AS coverage_all,
+       round(n_cov_pos::DOUBLE / nullif(n_ann_pos, 0), 6) AS coverage_positive
+FROM langs l LEFT JOIN cov USING (language)
+"""
+
+_NDCG = """
+WITH {rel},
+hits AS (SELECT c.*, r.relevance FROM cut c JOIN rel r USING (language, query, url)),
+ranked AS (SELECT *, {rank} AS r FROM hits),
+dcg AS (SELECT language, query, sum((pow(2, relevance) - 1) / log2(r + 1)) AS dcg FROM ranked GROUP BY ALL),
+ideal AS (SELECT language, query, sum((pow(2, relevance) - 1) / log2(i + 1)) AS idcg FROM (
+            SELECT *, row_number() OVER (PARTITION BY language, query ORDER BY relevance DESC) AS i FROM rel)
+          GROUP BY ALL),
+pq AS (SELECT i.language, i.query, coalesce(d.dcg, 0) / i.idcg AS v
+       FROM ideal i LEFT JOIN dcg d USING (language, query) WHERE i.idcg <> 0)
+SELECT l.language, round(sum(pq.v) / nullif(count(pq.v), 0), 6) AS {name}
+FROM langs l LEFT JOIN pq USING (language) GROUP BY l.language
+"""
+
+NDCG_ANNOTATED = _NDCG.format(rel=_REL, name="ndcg",
+                              rank="row_number() OVER (PARTITION BY language, query ORDER BY pos)")
+NDCG_FULL = _NDCG.format(rel=_REL, name="ndcg_full", rank="pos")
+
+ORACLE_SQL.update({
+    "docstring_tokens": DOCSTRING_TOKENS,
+    "keywords": KEYWORDS,
+    "fold_labels": FOLD_LABELS,
+    "fold_summary": FOLD_SUMMARY,
+    "negatives_sample": NEGATIVES_SAMPLE,
+    "shuffled_order": SHUFFLED_ORDER,
+    "exact_dedup": EXACT_DEDUP,
+    "near_dedup": NEAR_DEDUP,
+    "patch_labels": PATCH_LABELS,
+    "parse_label": PARSE_LABEL,
+    "label_stats": LABEL_STATS,
+    "label_argmax": LABEL_ARGMAX,
+    "one_per_query": ONE_PER_QUERY,
+    "count_summaries": COUNT_SUMMARIES,
+    "relevance_mean": RELEVANCE_MEAN,
+    "coverage": COVERAGE,
+    "ndcg_annotated": NDCG_ANNOTATED,
+    "ndcg_full": NDCG_FULL,
+})

@@ -64,3 +64,216 @@ QUERIES = {
     "knn_join_exact": knn_join_exact,
     "knn_by_key": knn_by_key,
 }
+
+
+# ---------------------------------------------------------------------------
+# Text functions, folds, sampling
+
+from quarry.functions import text as tx  # noqa: E402
+from quarry.operators import dedup as dd  # noqa: E402
+from quarry.operators import pairs as pr  # noqa: E402
+from quarry.operators import split as sp  # noqa: E402
+from quarry.operators import stats as st  # noqa: E402
+from quarry.plans import fixtures as fx  # noqa: E402
+
+SHUFFLE_SEED = "20181026"
+NEGATIVE_SEED = "42"
+
+
+def _documents(spark, sf_dir):
+    return read_table(spark, sf_dir, "documents")
+
+
+def docstring_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T1 over whole document texts: token count and digest of the list."""
+    toks = tx.docstring_tokens("text")
+    return _documents(spark, sf_dir).select(
+        "doc_id", F.size(toks).cast("long").alias("n_tokens"),
+        F.md5(F.array_join(toks, " ")).alias("tokens_md5"))
+
+
+def keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T4 over whole document texts with the default stop list."""
+    kw = tx.keywords("text")
+    return _documents(spark, sf_dir).select(
+        "doc_id", F.size(kw).cast("long").alias("n_keywords"),
+        F.md5(F.array_join(kw, "|")).alias("keywords_md5"))
+
+
+def _folded(spark, sf_dir):
+    docs = _documents(spark, sf_dir).select(
+        "doc_id", F.col("source").alias("repo"), F.col("doc_id").cast("string").alias("path"))
+    return sp.label_folds(docs)
+
+
+def fold_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """File-level fold per document (repo = source, path = doc_id)."""
+    return _folded(spark, sf_dir).select("doc_id", "hash_key", "hash_val", "partition")
+
+
+def fold_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows per fold and share of the total."""
+    return sp.fold_summary(_folded(spark, sf_dir)).select(
+        "partition", "count", F.round("pct", 6).alias("pct"))
+
+
+def negatives_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labelled-good documents are positives; all others are kept as
+    negatives with probability 0.1, repeatably."""
+    docs = _documents(spark, sf_dir).select("doc_id")
+    labels = read_table(spark, sf_dir, "labels").select("doc_id", "quality")
+    rows = docs.join(labels, "doc_id", "left").select(
+        "doc_id", F.coalesce("quality", F.lit(0)).alias("relevance"))
+    pos = rows.where(F.col("relevance") == 1)
+    neg = sp.sample_negatives(rows.where(F.col("relevance") != 1), 0.1, NEGATIVE_SEED, "doc_id")
+    return pos.unionByName(neg)
+
+
+def shuffled_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Position of each document in the seeded shuffle."""
+    docs = _documents(spark, sf_dir).select(
+        "doc_id", F.md5(F.concat(F.lit(SHUFFLE_SEED), F.col("doc_id").cast("string"))).alias("k"))
+    return sp.with_row_index(docs, ["k", "doc_id"], "pos").select("doc_id", "pos")
+
+
+# ---------------------------------------------------------------------------
+# Dedup (D1, D2)
+
+def exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One survivor (smallest id) per identical text, with copy count."""
+    docs = _documents(spark, sf_dir).select("doc_id", "text")
+    return dd.exact_dedup(docs, "text", ["doc_id"], count_col="n_copies").select(
+        "doc_id", F.col("n_copies").cast("long").alias("n_copies"))
+
+
+def near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cluster of every document with >= 10 distinct identifiers,
+    compared within its language; survivor = smallest id."""
+    docs = _documents(spark, sf_dir).select("doc_id", "lang", tx.identifiers("text").alias("toks"))
+    clusters = dd.near_dedup_clusters(docs, "doc_id", "toks", "lang")
+    return clusters.select("doc_id", "cluster_id",
+                           (F.col("doc_id") == F.col("cluster_id")).alias("kept"))
+
+
+# ---------------------------------------------------------------------------
+# Change requests
+
+def patch_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Function and class names found in each generated patch."""
+    req = pr.labels_from_patch(fx.change_requests(spark, sf_dir))
+    return req.select("request_id", "save_path",
+                      F.array_join("label.functions", ",").alias("functions"),
+                      F.array_join("label.classes", ",").alias("classes"))
+
+
+def _parsed_labels(spark, sf_dir):
+    lt = fx.label_texts(spark, sf_dir)
+    return st.label_counts(pr.labelled(lt.withColumn("label", tx.parse_label("label_text"))))
+
+
+def parse_label(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored label text parsed back; unlabelled requests dropped."""
+    return _parsed_labels(spark, sf_dir).select(
+        "request_id", F.array_join("label.functions", ",").alias("functions"),
+        F.array_join("label.classes", ",").alias("classes"),
+        F.col("n_functions").cast("long").alias("n_functions"),
+        F.col("n_classes").cast("long").alias("n_classes"))
+
+
+def label_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean / sample std / max / min of label list sizes."""
+    out = st.label_stats(_parsed_labels(spark, sf_dir))
+    return out.select(*[F.round(c, 6).alias(c) if c.endswith(("mean", "std")) else
+                        F.col(c).cast("long").alias(c) for c in out.columns])
+
+
+def label_argmax(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests with the largest total label count (ties kept)."""
+    return st.argmax_rows(_parsed_labels(spark, sf_dir), "n_total").select(
+        "request_id", F.col("n_total").cast("long").alias("n_total"))
+
+
+def one_per_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First request (by id) per problem statement."""
+    lt = fx.label_texts(spark, sf_dir)
+    return st.one_per_key(lt, "problem_statement", ["request_id"]).select(
+        "problem_statement", "request_id", "label_text")
+
+
+def count_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A1/A2/A5: rows per language, per source, distinct sources, total."""
+    docs = _documents(spark, sf_dir)
+    by_lang = docs.groupBy(F.col("lang").alias("value")).agg(F.count(F.lit(1)).alias("n")) \
+        .select(F.lit("lang").alias("dimension"), "value", "n")
+    by_src = docs.groupBy(F.col("source").alias("value")).agg(F.count(F.lit(1)).alias("n")) \
+        .select(F.lit("source").alias("dimension"), "value", "n")
+    totals = docs.agg(F.countDistinct("source").alias("d"), F.count(F.lit(1)).alias("t"))
+    extra = totals.select(F.explode(F.array(
+        F.struct(F.lit("distinct_source").alias("dimension"), F.lit(None).cast("string").alias("value"),
+                 F.col("d").alias("n")),
+        F.struct(F.lit("total").alias("dimension"), F.lit(None).cast("string").alias("value"),
+                 F.col("t").alias("n")))).alias("s")).select("s.*")
+    return by_lang.unionByName(by_src).unionByName(extra)
+
+
+# ---------------------------------------------------------------------------
+# Relevance evaluation
+
+MAX_URLS = 10
+
+
+def _rel_cut(spark, sf_dir):
+    rel = ev.relevance_table(fx.annotations(spark, sf_dir))
+    cut = ev.cut_predictions(fx.predictions(spark, sf_dir), MAX_URLS)
+    return rel, cut
+
+
+def relevance_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean relevance per case-folded (language, query, url)."""
+    rel = ev.relevance_table(fx.annotations(spark, sf_dir))
+    return rel.select("language", "query", "url", F.round("relevance", 6).alias("relevance"))
+
+
+def coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Coverage of annotations by the first 10 predictions."""
+    rel, cut = _rel_cut(spark, sf_dir)
+    return (ev.coverage(rel, cut).withColumnRenamed("coverage", "coverage_all")
+            .join(ev.coverage(rel, cut, positive_only=True)
+                  .withColumnRenamed("coverage", "coverage_positive"), "language")
+            .select("language", F.round("coverage_all", 6).alias("coverage_all"),
+                    F.round("coverage_positive", 6).alias("coverage_positive")))
+
+
+def ndcg_annotated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """NDCG with ranks counted over annotated predictions only."""
+    rel, cut = _rel_cut(spark, sf_dir)
+    return ev.ndcg(rel, cut).select("language", F.round("ndcg", 6).alias("ndcg"))
+
+
+def ndcg_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """NDCG with every prediction taking a rank."""
+    rel, cut = _rel_cut(spark, sf_dir)
+    return ev.ndcg(rel, cut, full_ranking=True).select(
+        "language", F.round("ndcg", 6).alias("ndcg_full"))
+
+
+QUERIES.update({
+    "docstring_tokens": docstring_tokens,
+    "keywords": keywords,
+    "fold_labels": fold_labels,
+    "fold_summary": fold_summary,
+    "negatives_sample": negatives_sample,
+    "shuffled_order": shuffled_order,
+    "exact_dedup": exact_dedup,
+    "near_dedup": near_dedup,
+    "patch_labels": patch_labels,
+    "parse_label": parse_label,
+    "label_stats": label_stats,
+    "label_argmax": label_argmax,
+    "one_per_query": one_per_query,
+    "count_summaries": count_summaries,
+    "relevance_mean": relevance_mean,
+    "coverage": coverage,
+    "ndcg_annotated": ndcg_annotated,
+    "ndcg_full": ndcg_full,
+})
