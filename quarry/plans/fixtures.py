@@ -105,3 +105,24 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranked = with_group_index(docs, ["lang", "source"], ["neg_chars", "doc_id"], "idx")
     return ranked.select(F.col("lang").alias("language"), F.col("source").alias("query"),
                          _s("doc_id").alias("url"), (F.col("idx") + 1).alias("rank"))
+
+
+def issue_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests for keyword matching: each document is an issue against the
+    snapshot named by its source."""
+    docs = read_table(spark, sf_dir, "documents")
+    return docs.select(F.col("doc_id").alias("request_id"), F.col("source").alias("save_path"),
+                       F.col("text").alias("problem_statement"))
+
+
+def line_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tag index: one tag per line of every document of a snapshot;
+    name = first identifier of the line (or '')."""
+    from quarry.functions.text import identifiers
+
+    docs = read_table(spark, sf_dir, "documents")
+    lines = docs.select(F.col("source").alias("save_path"), F.col("doc_id").cast("string").alias("path"),
+                        F.posexplode(F.split("text", "\n", -1)).alias("pos", "pattern"))
+    return lines.select("save_path", "path", (F.col("pos") + 1).cast("int").alias("line"),
+                        F.coalesce(F.try_element_at(identifiers("pattern"), F.lit(1)), F.lit("")).alias("name"),
+                        "pattern")

@@ -290,3 +290,67 @@ ORACLE_SQL.update({
     "ndcg_annotated": NDCG_ANNOTATED,
     "ndcg_full": NDCG_FULL,
 })
+
+
+# ---------------------------------------------------------------------------
+# Keyword context, prompts, rewriting: brute force over every
+# (issue, tag line) pair of a snapshot.
+
+from quarry.operators import match as _mt  # noqa: E402
+
+_KW = (f"list_sort(list_filter(list_distinct(list_concat({_IDENTIFIERS}, {_TYPES})), "
+       f"lambda w: length(w) >= 3 AND NOT list_contains({_STOPS}, lower(w))))")
+_LINE_IDS = _IDENTIFIERS.replace("text", "pattern")
+
+_MATCH = f"""
+req AS (SELECT doc_id AS request_id, source AS save_path, text, {_KW} AS kw FROM documents),
+lines AS (SELECT source AS save_path, doc_id::VARCHAR AS path, string_split(text, chr(10)) AS ls FROM documents),
+tags AS (SELECT save_path, path, line, ls[line] AS pattern
+         FROM (SELECT save_path, path, ls, unnest(generate_series(1, len(ls))) AS line FROM lines)),
+tags2 AS (SELECT save_path, path, line::BIGINT AS line, coalesce(list_extract({_LINE_IDS}, 1), '') AS name, pattern
+          FROM tags WHERE NOT contains(pattern, 'test') AND NOT contains(pattern, 'Test')),
+hits AS (SELECT r.request_id, t.path, t.line, t.name, t.pattern,
+                len(list_filter(r.kw, lambda k: contains(t.pattern, k))) AS hits
+         FROM req r JOIN tags2 t USING (save_path) WHERE len(r.kw) > 0),
+top AS (SELECT * FROM (
+          SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY hits DESC, path, line, name) AS rank
+          FROM hits WHERE hits >= 3) WHERE rank <= 10)
+"""
+
+TAG_CONTEXT = f"WITH {_MATCH} SELECT request_id, rank, path, line, hits FROM top"
+
+_before, _rest = _mt.DEFAULT_TEMPLATE.split("{issue}", 1)
+_middle, _after = _rest.split("{context}", 1)
+
+
+def _q(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+_PROMPTS = f"""
+ctx AS (SELECT request_id,
+               string_agg(path || ':' || line::VARCHAR || ': ' || pattern || ' (' || hits::VARCHAR || ')',
+                          chr(10) ORDER BY rank) AS context
+        FROM top GROUP BY request_id),
+prompts AS (SELECT r.request_id,
+                   {_q(_before)} || r.text || {_q(_middle)} || coalesce(c.context, '') || {_q(_after)} AS prompt
+            FROM req r LEFT JOIN ctx c USING (request_id) WHERE len(r.kw) > 0)
+"""
+
+PROMPT_TABLE = f"WITH {_MATCH}, {_PROMPTS} SELECT request_id, prompt FROM prompts"
+
+REWRITE_QUERIES = f"""
+WITH {_MATCH}, {_PROMPTS}
+SELECT r.request_id,
+       CASE WHEN p.prompt IS NULL OR md5(p.prompt) LIKE 'f%' THEN NULL ELSE md5(p.prompt) END AS rewritten_query,
+       CASE WHEN p.prompt IS NULL THEN 0 WHEN md5(p.prompt) LIKE 'a%' THEN 2 ELSE 1 END::BIGINT AS attempts,
+       CASE WHEN p.prompt IS NULL THEN 'skipped' WHEN md5(p.prompt) LIKE 'f%' THEN 'http_503' ELSE 'ok' END
+         AS status
+FROM req r LEFT JOIN prompts p USING (request_id)
+"""
+
+ORACLE_SQL.update({
+    "tag_context": TAG_CONTEXT,
+    "prompt_table": PROMPT_TABLE,
+    "rewrite_queries": REWRITE_QUERIES,
+})

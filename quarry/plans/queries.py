@@ -277,3 +277,46 @@ QUERIES.update({
     "ndcg_annotated": ndcg_annotated,
     "ndcg_full": ndcg_full,
 })
+
+
+# ---------------------------------------------------------------------------
+# Keyword context, prompts, rewriting
+
+from quarry.operators import match as mt  # noqa: E402
+
+
+def _matched(spark, sf_dir):
+    req = mt.with_keywords(fx.issue_requests(spark, sf_dir))
+    return req, mt.match_tags(req, fx.line_tags(spark, sf_dir))
+
+
+def tag_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Top 10 tag lines (>= 3 keyword hits) per issue."""
+    _, matched = _matched(spark, sf_dir)
+    return matched.select("request_id", F.col("rank").cast("long").alias("rank"), "path",
+                          F.col("line").cast("long").alias("line"), F.col("hits").cast("long").alias("hits"))
+
+
+def prompt_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T5: prompt per issue with keywords."""
+    req, matched = _matched(spark, sf_dir)
+    return mt.build_prompts(req, matched)
+
+
+def rewrite_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prompts sent to a deterministic local client (md5 answer,
+    injected transport errors and 503s). Requests without keywords are not
+    sent. No back-off delay: the client is a local function."""
+    req, matched = _matched(spark, sf_dir)
+    prompts = mt.build_prompts(req, matched)
+    out = mt.rewrite_queries(prompts, mt.md5_client_factory, retries=3, delay=0.0)
+    return req.select("request_id").join(out, "request_id", "left").select(
+        "request_id", "rewritten_query", F.coalesce("attempts", F.lit(0)).cast("long").alias("attempts"),
+        F.coalesce("status", F.lit("skipped")).alias("status"))
+
+
+QUERIES.update({
+    "tag_context": tag_context,
+    "prompt_table": prompt_table,
+    "rewrite_queries": rewrite_queries,
+})
