@@ -126,3 +126,42 @@ def line_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.select("save_path", "path", (F.col("pos") + 1).cast("int").alias("line"),
                         F.coalesce(F.try_element_at(identifiers("pattern"), F.lit(1)), F.lit("")).alias("name"),
                         "pattern")
+
+
+def python_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One Python module per ``part`` row (repo = brand): a class with a
+    documented method and a test method, a documented function (short
+    docstring for sizes above 25) and an undocumented one. PROMO parts
+    live under ``tests/``."""
+    part = read_table(spark, sf_dir, "part")
+    k, s = _s("p_partkey"), _s("p_size")
+    doc = F.when(F.col("p_size") > 25, F.lit('    """Price."""')).otherwise(
+        F.lit('    """Compute the retail price quickly."""'))
+    content = F.concat_ws(
+        "\n",
+        F.lit("import os"), F.lit(""), F.lit(""),
+        F.concat(F.lit("class "), F.col("p_type"), F.lit("Widget"), k, F.lit("(Base):")),
+        F.concat(F.lit('    """Holds '), F.col("p_name"), F.lit(' parts."""')),
+        F.lit(""),
+        F.concat(F.lit("    def size_"), k, F.lit("(self):")),
+        F.lit('        """Return the size of the part."""'),
+        F.concat(F.lit("        total = "), s),
+        F.lit("        return total"),
+        F.lit(""),
+        F.concat(F.lit("    def test_"), k, F.lit("(self):")),
+        F.lit('        """A test method that is skipped."""'),
+        F.lit("        return None"),
+        F.lit(""), F.lit(""),
+        F.concat(F.lit("def price_"), k, F.lit("(x):")),
+        doc,
+        F.lit("    # scale by the size"),
+        F.concat(F.lit("    return x * "), s),
+        F.lit(""), F.lit(""),
+        F.concat(F.lit("def tiny_"), k, F.lit("():")),
+        F.lit("    return 1"),
+        F.lit(""),
+    )
+    path = F.when(F.col("p_type") == "PROMO", F.concat(F.lit("tests/test_mod_"), k, F.lit(".py"))) \
+        .otherwise(F.concat(F.lit("pkg/mod_"), k, F.lit(".py")))
+    return part.select(F.concat(F.lit("acme/"), F.lower(F.regexp_replace("p_brand", "#", ""))).alias("repo"),
+                       path.alias("path"), content.alias("content"))

@@ -354,3 +354,85 @@ ORACLE_SQL.update({
     "prompt_table": PROMPT_TABLE,
     "rewrite_queries": REWRITE_QUERIES,
 })
+
+
+# ---------------------------------------------------------------------------
+# Source parsing: closed forms of the generated modules.
+
+_MOD = '''
+  SELECT p_partkey::VARCHAR AS k, p_size::VARCHAR AS s, p_size, p_type, p_name,
+         'acme/' || lower(replace(p_brand, '#', '')) AS repo,
+         CASE WHEN p_type = 'PROMO' THEN 'tests/test_mod_' || p_partkey::VARCHAR || '.py'
+              ELSE 'pkg/mod_' || p_partkey::VARCHAR || '.py' END AS path
+  FROM part
+'''
+
+EXTRACT_FUNCTIONS = f'''
+WITH m AS ({_MOD})
+SELECT repo, path, 'price_' || k AS func_name, 17::BIGINT AS lineno, 'python' AS language,
+       'def price_' || k || '(x):' || chr(10) || '    """Compute the retail price quickly."""' || chr(10)
+         || '    # scale by the size' || chr(10) || '    return x * ' || s AS code,
+       '"""Compute the retail price quickly."""' AS docstring
+FROM m WHERE p_size <= 25
+UNION ALL
+SELECT repo, path, 'size_' || k, 7::BIGINT, 'python',
+       'def size_' || k || '(self):' || chr(10) || '    """Return the size of the part."""' || chr(10)
+         || '    total = ' || s || chr(10) || '    return total',
+       '"""Return the size of the part."""'
+FROM m
+'''
+
+_DOC_PRICE = ("CASE WHEN p_size > 25 THEN '" + '"""Price."""' + "' ELSE '"
+              + '"""Compute the retail price quickly."""' + "' END")
+
+EXTRACT_DEFINITIONS = f'''
+WITH m AS ({_MOD})
+SELECT path, 'class' AS kind, p_type || 'Widget' || k AS name, 4::BIGINT AS start_line, 14::BIGINT AS end_line,
+       '"""Holds ' || p_name || ' parts."""' || chr(10) || chr(10) || '    def size_' || k || '(self):' || chr(10)
+       || '        """Return the size of the part."""' || chr(10) || '        total = ' || s || chr(10)
+       || '        return total' || chr(10) || chr(10) || '    def test_' || k || '(self):' || chr(10)
+       || '        """A test method that is skipped."""' || chr(10) || '        return None' AS body
+FROM m
+UNION ALL
+SELECT path, 'function', 'size_' || k, 7, 10,
+       '"""Return the size of the part."""' || chr(10) || '        total = ' || s || chr(10) || '        return total'
+FROM m
+UNION ALL
+SELECT path, 'function', 'test_' || k, 12, 14,
+       '"""A test method that is skipped."""' || chr(10) || '        return None'
+FROM m
+UNION ALL
+SELECT path, 'function', 'price_' || k, 17, 20,
+       {_DOC_PRICE} || chr(10) || '    # scale by the size' || chr(10) || '    return x * ' || s
+FROM m
+UNION ALL
+SELECT path, 'function', 'tiny_' || k, 23, 24, 'return 1' FROM m
+'''
+
+BUILD_TAGS = f'''
+WITH m AS ({_MOD} WHERE p_type <> 'PROMO')
+SELECT path, 'class' AS kind, p_type || 'Widget' || k AS name, 4::BIGINT AS line, 14::BIGINT AS "end",
+       '/^class ' || p_type || 'Widget' || k || '(Base):$/' AS pattern FROM m
+UNION ALL SELECT path, 'function', 'size_' || k, 7, 10, '/^    def size_' || k || '(self):$/' FROM m
+UNION ALL SELECT path, 'function', 'test_' || k, 12, 14, '/^    def test_' || k || '(self):$/' FROM m
+UNION ALL SELECT path, 'function', 'price_' || k, 17, 20, '/^def price_' || k || '(x):$/' FROM m
+UNION ALL SELECT path, 'function', 'tiny_' || k, 23, 24, '/^def tiny_' || k || '():$/' FROM m
+'''
+
+CODE_TOKENS = f'''
+WITH m AS ({_MOD})
+SELECT path, 'price_' || k AS func_name, 10::BIGINT AS n_code_tokens,
+       'def price_' || k || ' ( x ) : return x * ' || s AS code_tokens,
+       'scale by the size' AS comment_tokens
+FROM m WHERE p_size <= 25
+UNION ALL
+SELECT path, 'size_' || k, 11::BIGINT, 'def size_' || k || ' ( self ) : total = ' || s || ' return total', ''
+FROM m
+'''
+
+ORACLE_SQL.update({
+    "extract_functions": EXTRACT_FUNCTIONS,
+    "extract_definitions": EXTRACT_DEFINITIONS,
+    "build_tags": BUILD_TAGS,
+    "code_tokens": CODE_TOKENS,
+})

@@ -320,3 +320,48 @@ QUERIES.update({
     "prompt_table": prompt_table,
     "rewrite_queries": rewrite_queries,
 })
+
+
+# ---------------------------------------------------------------------------
+# Source parsing
+
+from quarry.operators import extract as xt  # noqa: E402
+
+
+def extract_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documented functions and methods of generated modules."""
+    funcs = xt.extract_functions(fx.python_sources(spark, sf_dir))
+    return funcs.select("repo", "path", "func_name", F.col("lineno").cast("long").alias("lineno"),
+                        "language", "code", "docstring")
+
+
+def extract_definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Functions and classes with bodies (methods included)."""
+    defs = xt.extract_definitions(fx.python_sources(spark, sf_dir))
+    return defs.select("path", "kind", "name", F.col("start_line").cast("long").alias("start_line"),
+                       F.col("end_line").cast("long").alias("end_line"), "body")
+
+
+def build_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tag rows of non-test modules."""
+    tags = xt.build_tags(fx.python_sources(spark, sf_dir), path="path")
+    return tags.select("path", "kind", "name", F.col("line").cast("long").alias("line"),
+                       F.col("end").cast("long").alias("end"), "pattern")
+
+
+def code_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Code and comment tokens of the extracted functions."""
+    funcs = xt.extract_functions(fx.python_sources(spark, sf_dir))
+    tok = funcs.select("path", "func_name", xt.code_tokens("code").alias("t"))
+    return tok.select("path", "func_name",
+                      F.size("t.code_tokens").cast("long").alias("n_code_tokens"),
+                      F.array_join("t.code_tokens", " ").alias("code_tokens"),
+                      F.array_join("t.comment_tokens", " ").alias("comment_tokens"))
+
+
+QUERIES.update({
+    "extract_functions": extract_functions,
+    "extract_definitions": extract_definitions,
+    "build_tags": build_tags,
+    "code_tokens": code_tokens,
+})
