@@ -436,3 +436,41 @@ ORACLE_SQL.update({
     "build_tags": BUILD_TAGS,
     "code_tokens": CODE_TOKENS,
 })
+
+
+# ---------------------------------------------------------------------------
+# Sources and sinks: what was written must come back unchanged.
+
+IO_ROUNDTRIP = f"""
+WITH f AS ({FOLD_LABELS})
+SELECT f.doc_id, f.partition, f.partition AS pq_partition, md5(d.text) AS text_md5, md5(d.text) AS chunk_md5
+FROM f JOIN documents d USING (doc_id)
+"""
+
+IO_BLOBS_CSV = """
+SELECT source AS repo, doc_id::VARCHAR AS path, md5(text) AS content_md5, length(text)::BIGINT AS n_chars
+FROM documents
+"""
+
+IO_SOURCES = EXTRACT_DEFINITIONS.replace("SELECT path,", "SELECT repo || '/' || path AS file,")
+
+IO_TAGS = BUILD_TAGS.replace("SELECT path,", "SELECT repo AS save_path, path,")
+
+IO_ANNOTATIONS = f"SELECT language, coverage_all FROM ({COVERAGE})"
+
+IO_REQUESTS = f"""
+WITH r AS ({_REQUESTS})
+SELECT string_split(repo, '/')[-1] || '_' || base_commit AS save_path, md5(patch) AS patch_md5,
+       array_to_string(regexp_extract_all(patch, {_lit(_tx.PATCH_DEF_RE)}, 1), ',') AS functions,
+       array_to_string(regexp_extract_all(patch, {_lit(_tx.PATCH_CLASS_RE)}, 1), ',') AS classes
+FROM r
+"""
+
+ORACLE_SQL.update({
+    "io_roundtrip": IO_ROUNDTRIP,
+    "io_blobs_csv": IO_BLOBS_CSV,
+    "io_sources": IO_SOURCES,
+    "io_tags": IO_TAGS,
+    "io_annotations": IO_ANNOTATIONS,
+    "io_requests": IO_REQUESTS,
+})

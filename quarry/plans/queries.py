@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quarry.operators import evaluate as ev
 from quarry.operators import retrieve as rt
@@ -365,3 +366,106 @@ QUERIES.update({
     "build_tags": build_tags,
     "code_tokens": code_tokens,
 })
+
+
+# ---------------------------------------------------------------------------
+# Sources and sinks (S1-S12, P1, P3, U1-U3, X6). Each query writes Spark-
+# derived data to a fresh folder under the shared checkpoint folder and
+# returns what the reader gives back.
+
+from quarry.session import scratch_dir  # noqa: E402
+from quarry.sources import io as sio  # noqa: E402
+
+
+def io_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Folds written per split (JSON lines + Parquet) and as
+    1000-row chunks, read back with a fixed schema."""
+    root = scratch_dir(spark, "io-roundtrip")
+    docs = _documents(spark, sf_dir).select(
+        "doc_id", F.col("source").alias("repo"), F.col("doc_id").cast("string").alias("path"), "text")
+    folded = sp.label_folds(docs).drop("hash_key")
+    sio.write_splits(folded, f"{root}/splits")
+    sio.write_chunked_jsonl(folded.drop("partition"), f"{root}/chunks", 1000, compression="gzip")
+    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("repo", T.StringType()),
+                           T.StructField("path", T.StringType()), T.StructField("text", T.StringType()),
+                           T.StructField("hash_val", T.IntegerType())])
+    chunks = sio.read_jsonl(spark, f"{root}/chunks", schema)
+    splits = sio.read_jsonl(spark, f"{root}/splits/jsonl",
+                            T.StructType(schema.fields + [T.StructField("partition", T.StringType())]))
+    pq = spark.read.parquet(f"{root}/splits/parquet").select("doc_id", F.col("partition").alias("pq_partition"))
+    return (splits.join(chunks.select("doc_id", F.md5("text").alias("chunk_md5")), "doc_id")
+            .join(pq, "doc_id")
+            .select("doc_id", "partition", "pq_partition", F.md5("text").alias("text_md5"), "chunk_md5"))
+
+
+def io_blobs_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as two CSV folders of (repo_path, content),
+    read back as one scan and split into repo and path."""
+    root = scratch_dir(spark, "io-blobs")
+    blobs = _documents(spark, sf_dir).select(
+        F.concat_ws(" ", "source", F.col("doc_id").cast("string")).alias("repo_path"),
+        F.col("text").alias("content"), "lang")
+    sio.write_table(blobs.where(F.col("lang").isin("en", "fr")).drop("lang"), f"{root}/a", "csv")
+    sio.write_table(blobs.where(~F.col("lang").isin("en", "fr")).drop("lang"), f"{root}/b", "csv")
+    back = sio.read_blobs(spark, [f"{root}/a", f"{root}/b"])
+    return back.select("repo", "path", F.md5("content").alias("content_md5"),
+                       F.length("content").cast("long").alias("n_chars"))
+
+
+def io_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Generated modules written as files in nested folders,
+    found again by suffix and parsed."""
+    root = scratch_dir(spark, "io-sources")
+    src = fx.python_sources(spark, sf_dir).select(
+        F.concat_ws("/", "repo", "path").alias("file"), "content")
+    sio.write_files(src, root, "file", "content")
+    defs = xt.extract_definitions(sio.read_sources(spark, root, (".py",)))
+    return defs.select("file", "kind", "name", F.col("start_line").cast("long").alias("start_line"),
+                       F.col("end_line").cast("long").alias("end_line"), "body")
+
+
+def io_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tag index written per snapshot and read back."""
+    root = scratch_dir(spark, "io-tags")
+    tags = xt.build_tags(fx.python_sources(spark, sf_dir).withColumnRenamed("repo", "save_path"), path="path")
+    sio.write_tags(tags, root)
+    back = sio.read_tags(spark, root)
+    return back.select("save_path", "path", "name", "kind", "line", "end", "pattern")
+
+
+def io_annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Annotations and ranked predictions through CSV, then the
+    relevance table computed from what was read."""
+    root = scratch_dir(spark, "io-ann")
+    sio.write_table(fx.annotations(spark, sf_dir).withColumn("Relevance", F.col("Relevance").cast("double")),
+                    f"{root}/annotations", "csv")
+    sio.write_table(fx.predictions(spark, sf_dir), f"{root}/predictions", "csv")
+    ann = sio.read_annotations(spark, f"{root}/annotations")
+    pred = sio.read_predictions(spark, f"{root}/predictions")
+    cov = ev.coverage(ev.relevance_table(ann), ev.cut_predictions(pred, MAX_URLS))
+    return cov.select("language", F.round("coverage", 6).alias("coverage_all"))
+
+
+def io_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labelled change requests exported as JSON lines and read
+    with the change-request schema."""
+    root = scratch_dir(spark, "io-req")
+    req = pr.labels_from_patch(fx.change_requests(spark, sf_dir)).select(
+        "repo", "base_commit", "patch", "problem_statement",
+        F.lit("").alias("hints_text"), F.lit("2024-01-01T00:00:00Z").alias("created_at"),
+        F.lit("1.0").alias("version"), "label", "save_path")
+    sio.write_table(req, f"{root}/requests", "json")
+    back = sio.read_change_requests(spark, f"{root}/requests")
+    return back.select("save_path", F.md5("patch").alias("patch_md5"),
+                       F.array_join("label.functions", ",").alias("functions"),
+                       F.array_join("label.classes", ",").alias("classes"))
+
+
+QUERIES.update({
+    "io_roundtrip": io_roundtrip,
+    "io_blobs_csv": io_blobs_csv,
+    "io_sources": io_sources,
+    "io_tags": io_tags,
+    "io_annotations": io_annotations,
+    "io_requests": io_requests,
+})
