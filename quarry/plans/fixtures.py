@@ -61,7 +61,7 @@ def snapshot_definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     file = F.concat(F.lit("mod"), _s("p_size"), F.lit(".py"))
     funcs = part.select(sp.alias("save_path"), file.alias("file"), F.lit("function").alias("kind"),
                         F.regexp_replace("p_name", " ", "_").alias("name"),
-                        F.concat(F.lit("    return "), _s("p_retailprice")).alias("body"),
+                        F.concat(F.lit("    return "), _s("p_partkey")).alias("body"),
                         F.col("p_partkey").cast("int").alias("start_line"))
     classes = part.select(sp.alias("save_path"), file.alias("file"), F.lit("class").alias("kind"),
                           F.col("p_type").alias("name"),

@@ -474,3 +474,24 @@ ORACLE_SQL.update({
     "io_annotations": IO_ANNOTATIONS,
     "io_requests": IO_REQUESTS,
 })
+
+
+PAIR_POSITIVES = f"""
+WITH r AS (
+  SELECT request_id, string_split(repo, '/')[-1] || '_' || base_commit AS save_path,
+         regexp_extract_all(patch, {_lit(_tx.PATCH_DEF_RE)}, 1) AS functions,
+         regexp_extract_all(patch, {_lit(_tx.PATCH_CLASS_RE)}, 1) AS classes
+  FROM ({_REQUESTS})),
+d AS (
+  SELECT lower(replace(p_brand, '#', '')) || '_' || md5(p_brand) AS save_path, 'function' AS kind,
+         replace(p_name, ' ', '_') AS name, '    return ' || p_partkey::VARCHAR AS body FROM part
+  UNION ALL
+  SELECT lower(replace(p_brand, '#', '')) || '_' || md5(p_brand), 'class', p_type,
+         '    size = ' || p_size::VARCHAR FROM part)
+SELECT r.request_id, d.kind, d.save_path || '#' || d.name AS GitHubUrl, 1 AS Relevance, md5(d.body) AS code_md5
+FROM r JOIN d USING (save_path)
+WHERE (d.kind = 'function' AND list_contains(r.functions, d.name))
+   OR (d.kind = 'class' AND list_contains(r.classes, d.name))
+"""
+
+ORACLE_SQL.update({"pair_positives": PAIR_POSITIVES})

@@ -469,3 +469,56 @@ QUERIES.update({
     "io_annotations": io_annotations,
     "io_requests": io_requests,
 })
+
+
+# ---------------------------------------------------------------------------
+# Relevance pairs (J1, J2, N1, P6, P7, P12, S9) and encoding
+
+PAIR_SEED = "7"
+
+
+def _pairs(spark, sf_dir, p):
+    root = scratch_dir(spark, "io-defs")
+    sio.write_table(fx.snapshot_definitions(spark, sf_dir), f"{root}/definitions", "parquet")
+    defs = sio.read_definitions(spark, f"{root}/definitions")
+    req = pr.labels_from_patch(fx.change_requests(spark, sf_dir))
+    return pr.build_pairs(req, defs, p=p, seed=PAIR_SEED)
+
+
+def build_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Positives plus negatives kept with probability 0.1
+    (drawn per request from a seeded generator, so no SQL twin)."""
+    return _pairs(spark, sf_dir, 0.1).select(
+        "request_id", "kind", "GitHubUrl", "Relevance", F.md5("Code").alias("code_md5"))
+
+
+def pair_positives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The positive pairs alone (p = 0), checked exactly."""
+    return _pairs(spark, sf_dir, 0.0).select(
+        "request_id", "kind", "GitHubUrl", "Relevance", F.md5("Code").alias("code_md5"))
+
+
+def encode_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole document texts encoded in batches of 32 by the default
+    hashing encoder."""
+    enc = rt.encode(_documents(spark, sf_dir).select("doc_id", "text"), "text")
+    return enc.select("doc_id", F.size("vec").cast("long").alias("dim"),
+                      F.round(F.sqrt(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x)), 6).alias("norm"))
+
+
+def knn_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """E1 -> E3/E5 -> E7: benchmark passages encoded as queries against all
+    encoded documents; five nearest documents per passage."""
+    bench = read_table(spark, sf_dir, "benchmark")
+    q = rt.encode(bench.select(F.col("item_id"), "text"), "text")
+    items = rt.encode(_documents(spark, sf_dir).select("doc_id", "text"), "text")
+    knn = rt.knn_join(q, items, TOPK, query_id="item_id", item_id="doc_id")
+    return knn.select("query_id", "item_id", "score", F.col("rank").cast("long").alias("rank"))
+
+
+QUERIES.update({
+    "build_pairs": build_pairs,
+    "pair_positives": pair_positives,
+    "encode_hash": encode_hash,
+    "knn_text": knn_text,
+})
