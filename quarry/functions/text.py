@@ -93,16 +93,24 @@ def comment_tokens(col) -> Column:
 # ---------------------------------------------------------------------------
 # T4 / T6
 
+# JVM forms with look-arounds: one regex pass, no per-element filter. They
+# give the same matches as the run-and-filter forms above (which DuckDB,
+# lacking look-arounds, uses): an identifier must be a whole word run.
+_NOT_WORD_BEFORE = r"(?<![" + WORD + r"])"
+_NOT_WORD_AFTER = r"(?![" + WORD + r"])"
+IDENT_WORD_RE = _NOT_WORD_BEFORE + IDENT + _NOT_WORD_AFTER
+TYPE_WORD_RE = (_NOT_WORD_BEFORE + IDENT + r"[" + WS + r"]*:[" + WS + r"]*" + IDENT
+                + _NOT_WORD_AFTER)
+
+
 def identifiers(col) -> Column:
     """Whole word runs that are ASCII identifiers (Python ``\\b..\\b``)."""
-    runs = F.regexp_extract_all(_c(col), F.lit(WORD_RUN_RE), 0)
-    return F.filter(runs, lambda w: w.rlike(IDENT_FULL_RE))
+    return F.regexp_extract_all(_c(col), F.lit(IDENT_WORD_RE), 0)
 
 
 def type_phrases(col) -> Column:
     """``name: type`` phrases whose two names are whole identifier runs."""
-    found = F.regexp_extract_all(_c(col), F.lit(TYPE_PHRASE_RE), 1)
-    return F.filter(found, lambda w: w.rlike(TYPE_FULL_RE))
+    return F.regexp_extract_all(_c(col), F.lit(TYPE_WORD_RE), 0)
 
 
 def keywords(col, stop_words: list[str] | None = None, min_length: int = 3) -> Column:

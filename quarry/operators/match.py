@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarry.functions.text import keywords as keywords_expr
+from quarry.operators.split import with_row_index
 
 
 def trigrams(col) -> Column:
@@ -84,16 +85,21 @@ def match_tags(requests: DataFrame, tags: DataFrame, *, min_hits: int = 3, k: in
     least three characters, as produced by ``keywords``).
     ``tags``: save_path, path, line, name, pattern.
     Returns request_id, save_path, path, line, name, pattern, hits, rank.
+
+    Tags get a dense ``tag_id`` in (save_path, path, line, name) order, so the
+    heavy (request, keyword, tag) join and the hit count run on two longs,
+    and ``tag_id`` order is the tie-break order inside a snapshot.
     """
     tag_key = ["save_path", "path", "line", "name"]
     req_kw = (requests.where(F.size("keywords") > 0)
               .select(request_id, "save_path", F.explode("keywords").alias("kw")))
     kept = tags.where(~F.col("pattern").contains("test") & ~F.col("pattern").contains("Test"))
+    indexed = with_row_index(kept.select(*tag_key, "pattern"), tag_key, "tag_id")
     keys = req_kw.select("save_path", "kw").distinct()
     is_ident = F.col("kw").rlike(IDENT_ONLY_RE)
 
     # Identifier keywords: via the distinct identifier runs of the snapshot.
-    run_tags = kept.select(*tag_key, F.explode(F.array_distinct(
+    run_tags = indexed.select("save_path", "tag_id", F.explode(F.array_distinct(
         F.regexp_extract_all("pattern", F.lit(IDENT_RUN_RE), 0))).alias("run"))
     run_tri = (run_tags.select("save_path", "run").distinct()
                .select("save_path", "run", F.explode(trigrams("run")).alias("tri")))
@@ -102,24 +108,24 @@ def match_tags(requests: DataFrame, tags: DataFrame, *, min_hits: int = 3, k: in
                .where(F.instr(F.col("run"), F.col("kw")) > 0)
                .select("save_path", "kw", "run"))
     ident_hits = (kw_runs.join(run_tags, ["save_path", "run"])
-                  .select("save_path", "kw", *tag_key[1:]).distinct())
+                  .select("save_path", "kw", "tag_id").distinct())
 
     # Phrase keywords: via colon trigrams of the lines, verified on the line.
-    line_tri = kept.select(*tag_key, F.explode(colon_trigrams("pattern")).alias("tri"))
+    line_tri = indexed.select("save_path", "tag_id", F.explode(colon_trigrams("pattern")).alias("tri"))
     phrase_choice = _rarest(keys.where(~is_ident), line_tri, colon_trigrams)
     phrase_hits = (phrase_choice.join(line_tri, ["save_path", "tri"])
-                   .join(kept.select(*tag_key, "pattern"), tag_key)
+                   .join(indexed.select("tag_id", "pattern"), "tag_id")
                    .where(F.instr(F.col("pattern"), F.col("kw")) > 0)
-                   .select("save_path", "kw", *tag_key[1:]))
+                   .select("save_path", "kw", "tag_id"))
 
     matches = ident_hits.unionByName(phrase_hits)
-    cand = req_kw.join(matches, ["save_path", "kw"])
-    hits = (cand.groupBy(request_id, *tag_key)
+    hits = (req_kw.join(matches, ["save_path", "kw"])
+            .groupBy(request_id, "tag_id")
             .agg(F.count(F.lit(1)).alias("hits"))
             .where((F.col("hits") >= min_hits) & (F.col("hits") > 0)))
-    w = Window.partitionBy(request_id).orderBy(F.col("hits").desc(), "path", "line", "name")
+    w = Window.partitionBy(request_id).orderBy(F.col("hits").desc(), F.col("tag_id"))
     top = hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-    return top.join(kept.select(*tag_key, "pattern"), tag_key)
+    return top.join(indexed, "tag_id").select(request_id, *tag_key, "pattern", "hits", "rank")
 
 
 # ---------------------------------------------------------------------------

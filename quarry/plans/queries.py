@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from quarry.operators import evaluate as ev
 from quarry.operators import retrieve as rt
-from quarry.session import read_table
+from quarry.session import read_table, spread
 
 TOPK = 5
 
@@ -85,10 +85,15 @@ def _documents(spark, sf_dir):
     return read_table(spark, sf_dir, "documents")
 
 
+def _documents_spread(spark, sf_dir):
+    """Documents for CPU-heavy text work (regex over whole texts)."""
+    return spread(read_table(spark, sf_dir, "documents"))
+
+
 def docstring_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """T1 over whole document texts: token count and digest of the list."""
     toks = tx.docstring_tokens("text")
-    return _documents(spark, sf_dir).select(
+    return _documents_spread(spark, sf_dir).select(
         "doc_id", F.size(toks).cast("long").alias("n_tokens"),
         F.md5(F.array_join(toks, " ")).alias("tokens_md5"))
 
@@ -96,7 +101,7 @@ def docstring_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 def keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
     """T4 over whole document texts with the default stop list."""
     kw = tx.keywords("text")
-    return _documents(spark, sf_dir).select(
+    return _documents_spread(spark, sf_dir).select(
         "doc_id", F.size(kw).cast("long").alias("n_keywords"),
         F.md5(F.array_join(kw, "|")).alias("keywords_md5"))
 
@@ -150,7 +155,7 @@ def exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cluster of every document with >= 10 distinct identifiers,
     compared within its language; survivor = smallest id."""
-    docs = _documents(spark, sf_dir).select("doc_id", "lang", tx.identifiers("text").alias("toks"))
+    docs = _documents_spread(spark, sf_dir).select("doc_id", "lang", tx.identifiers("text").alias("toks"))
     clusters = dd.near_dedup_clusters(docs, "doc_id", "toks", "lang")
     return clusters.select("doc_id", "cluster_id",
                            (F.col("doc_id") == F.col("cluster_id")).alias("kept"))
@@ -287,8 +292,15 @@ from quarry.operators import match as mt  # noqa: E402
 
 
 def _matched(spark, sf_dir):
-    req = mt.with_keywords(fx.issue_requests(spark, sf_dir))
-    return req, mt.match_tags(req, fx.line_tags(spark, sf_dir))
+    """Keywords are extracted once per request and checkpointed (they feed
+    the index join, the hit join and the prompts); the issue text is joined
+    back only where the prompt needs it."""
+    base = spread(fx.issue_requests(spark, sf_dir))
+    kw = (mt.with_keywords(base).select("request_id", "save_path", "keywords", "keyword_num")
+          .checkpoint(eager=True))
+    matched = mt.match_tags(kw, fx.line_tags(spark, sf_dir))
+    req = kw.join(base.select("request_id", "problem_statement"), "request_id")
+    return req, matched
 
 
 def tag_context(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -501,7 +513,7 @@ def pair_positives(spark: SparkSession, sf_dir: str) -> DataFrame:
 def encode_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole document texts encoded in batches of 32 by the default
     hashing encoder."""
-    enc = rt.encode(_documents(spark, sf_dir).select("doc_id", "text"), "text")
+    enc = rt.encode(_documents_spread(spark, sf_dir).select("doc_id", "text"), "text")
     return enc.select("doc_id", F.size("vec").cast("long").alias("dim"),
                       F.round(F.sqrt(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x)), 6).alias("norm"))
 
