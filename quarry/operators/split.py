@@ -29,13 +29,18 @@ def label_folds(df: DataFrame, train: float = 0.6, valid: float = 0.15, test: fl
                 holdout: float = 0.1, *, repo: str = "repo", path: str = "path") -> DataFrame:
     """Add ``hash_key``, ``hash_val`` and ``partition``; one file always
     lands in one fold. A projection: no shuffle."""
-    t, v, s = fold_bounds(train, valid, test, holdout)
-    hv = F.col("hash_val")
+    bounds = fold_bounds(train, valid, test, holdout)
     return (df.withColumn("hash_key", F.concat_ws(":", F.col(repo), F.col(path)))
               .withColumn("hash_val", split_hash(repo, path))
-              .withColumn("partition",
-                          F.when(hv <= t, "train").when(hv <= v, "valid")
-                           .when(hv <= s, "test").otherwise("holdout")))
+              .withColumn("partition", fold_of("hash_val", bounds)))
+
+
+def fold_of(hash_col, bounds: tuple[int, int, int]):
+    """Fold name for a bucket number; bounds are inclusive upper bounds."""
+    t, v, s = bounds
+    hv = F.col(hash_col) if isinstance(hash_col, str) else hash_col
+    return (F.when(hv <= t, "train").when(hv <= v, "valid")
+             .when(hv <= s, "test").otherwise("holdout"))
 
 
 def fold_summary(folded: DataFrame, *, count_col: str = "repo") -> DataFrame:
