@@ -495,3 +495,18 @@ WHERE (d.kind = 'function' AND list_contains(r.functions, d.name))
 """
 
 ORACLE_SQL.update({"pair_positives": PAIR_POSITIVES})
+
+
+STREAM_CORPUS = f"""
+WITH f AS ({EXTRACT_FUNCTIONS}),
+h AS (SELECT *, ('0x' || right(md5(repo || ':' || path), 4))::INTEGER AS hash_val FROM f)
+SELECT repo, path, func_name, lineno,
+       CASE WHEN hash_val <= 39321 THEN 'train' WHEN hash_val <= 49151 THEN 'valid'
+            WHEN hash_val <= 58981 THEN 'test' ELSE 'holdout' END AS partition,
+       hash_val,
+       CASE WHEN func_name LIKE 'price%' THEN 10 ELSE 11 END::BIGINT AS n_code_tokens,
+       CASE WHEN func_name LIKE 'price%' THEN 6 ELSE 7 END::BIGINT AS n_docstring_tokens
+FROM h
+"""
+
+ORACLE_SQL.update({"stream_corpus": STREAM_CORPUS})

@@ -534,3 +534,31 @@ QUERIES.update({
     "encode_hash": encode_hash,
     "knn_text": knn_text,
 })
+
+
+# ---------------------------------------------------------------------------
+# Streaming corpus build (S1, X1, D1, T1-T3, N3, S11 as one stream)
+
+from quarry.streaming import corpus as cs  # noqa: E402
+
+
+def stream_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Generated modules arrive as two CSV blob files; the streaming corpus
+    build drains them (availableNow) into fold folders, read back here."""
+    root = scratch_dir(spark, "stream")
+    blobs = fx.python_sources(spark, sf_dir).select(
+        F.concat_ws(" ", "repo", "path").alias("repo_path"), "content")
+    sio.write_table(blobs.where(F.col("repo_path").contains("pkg/")), f"{root}/blobs/1", "csv")
+    sio.write_table(blobs.where(~F.col("repo_path").contains("pkg/")), f"{root}/blobs/2", "csv")
+    q = cs.start_corpus_stream(spark, f"{root}/blobs/*", f"{root}/out", f"{root}/ckpt")
+    q.awaitTermination()
+    schema = T.StructType(sio.FUNCTION_SCHEMA.fields + [T.StructField("hash_key", T.StringType()),
+                                                        T.StructField("hash_val", T.IntegerType())])
+    out = spark.read.schema(schema).json(f"{root}/out")
+    return out.select("repo", "path", "func_name", F.col("lineno").cast("long").alias("lineno"),
+                      "partition", "hash_val",
+                      F.size("code_tokens").cast("long").alias("n_code_tokens"),
+                      F.size("docstring_tokens").cast("long").alias("n_docstring_tokens"))
+
+
+QUERIES.update({"stream_corpus": stream_corpus})
