@@ -119,10 +119,9 @@ def match_tags(requests: DataFrame, tags: DataFrame, *, min_hits: int = 3, k: in
                    .select("save_path", "kw", "tag_id"))
 
     matches = ident_hits.unionByName(phrase_hits)
-    hits = (req_kw.join(matches, ["save_path", "kw"])
-            .groupBy(request_id, "tag_id")
-            .agg(F.count(F.lit(1)).alias("hits"))
-            .where((F.col("hits") >= min_hits) & (F.col("hits") > 0)))
+    counted = (req_kw.join(matches, ["save_path", "kw"])
+               .groupBy(request_id, "tag_id").agg(F.count(F.lit(1)).alias("hits")))
+    hits = counted.where((F.col("hits") >= min_hits) & (F.col("hits") > 0))
     w = Window.partitionBy(request_id).orderBy(F.col("hits").desc(), F.col("tag_id"))
     top = hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
     return top.join(indexed, "tag_id").select(request_id, *tag_key, "pattern", "hits", "rank")
