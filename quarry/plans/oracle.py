@@ -510,3 +510,20 @@ FROM h
 """
 
 ORACLE_SQL.update({"stream_corpus": STREAM_CORPUS})
+
+
+EXTRACT_DEFINITIONS_NO_METHODS = f"""
+SELECT * FROM ({EXTRACT_DEFINITIONS}) WHERE NOT (kind = 'function' AND (name LIKE 'size\\_%' ESCAPE '\\'
+                                                                   OR name LIKE 'test\\_%' ESCAPE '\\'))
+"""
+
+EXTRACTION_SUMMARY = f"""
+WITH m AS ({_MOD})
+SELECT repo, count(*) AS n_blobs, (count(*) + count(*) FILTER (WHERE p_size <= 25))::BIGINT AS n_functions
+FROM m GROUP BY repo
+"""
+
+ORACLE_SQL.update({
+    "extract_definitions_no_methods": EXTRACT_DEFINITIONS_NO_METHODS,
+    "extraction_summary": EXTRACTION_SUMMARY,
+})

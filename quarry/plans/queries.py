@@ -562,3 +562,26 @@ def stream_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES.update({"stream_corpus": stream_corpus})
+
+
+def extract_definitions_no_methods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Definitions with class methods ignored (nested classes kept)."""
+    defs = xt.extract_definitions(fx.python_sources(spark, sf_dir), ignore_class_methods=True)
+    return defs.select("path", "kind", "name", F.col("start_line").cast("long").alias("start_line"),
+                       F.col("end_line").cast("long").alias("end_line"), "body")
+
+
+def extraction_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blobs parsed and functions kept, per repository and overall."""
+    src = fx.python_sources(spark, sf_dir)
+    per_blob = (xt.extract_functions(src).groupBy("repo", "path").agg(F.count(F.lit(1)).alias("n_functions")))
+    blobs = src.select("repo", "path").join(per_blob, ["repo", "path"], "left")
+    return (blobs.groupBy("repo")
+            .agg(F.count(F.lit(1)).alias("n_blobs"),
+                 F.coalesce(F.sum("n_functions"), F.lit(0)).cast("long").alias("n_functions")))
+
+
+QUERIES.update({
+    "extract_definitions_no_methods": extract_definitions_no_methods,
+    "extraction_summary": extraction_summary,
+})

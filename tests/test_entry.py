@@ -13,3 +13,4 @@ def test_oracles_cover_queries():
     q, o = entry.queries(), entry.oracle_sql()
     assert set(o) <= set(q)
     assert set(q) - set(o) == {"build_pairs", "encode_hash", "knn_text"}
+    assert len(q) >= 41
