@@ -59,3 +59,11 @@ def argmax_rows(df: DataFrame, col: str) -> DataFrame:
     a one-row aggregate joined back on value (an equi-join, broadcast)."""
     top = df.agg(F.max(col).alias("__max"))
     return df.join(F.broadcast(top), F.col(col) == F.col("__max")).drop("__max")
+
+
+def order_by_counts(counted: DataFrame, col: str, ties: list[str], descending: bool = True) -> DataFrame:
+    """Whole-table sort by a count column (range-partitioned sort); the
+    reference's stable sort keeps frame order on ties, here ``ties`` names
+    the columns that stand for that order."""
+    c = F.col(col).desc() if descending else F.col(col).asc()
+    return counted.orderBy(c, *[F.col(t) for t in ties])

@@ -525,7 +525,9 @@ def knn_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = rt.encode(bench.select(F.col("item_id"), "text"), "text")
     items = rt.encode(_documents(spark, sf_dir).select("doc_id", "text"), "text")
     knn = rt.knn_join(q, items, TOPK, query_id="item_id", item_id="doc_id")
-    return knn.select("query_id", "item_id", "score", F.col("rank").cast("long").alias("rank"))
+    docs = _documents(spark, sf_dir).select("doc_id", "source")
+    ranked = rt.to_predictions(knn, q, docs, query_id="item_id", item_id="doc_id", item_cols=["source"])
+    return ranked.select("query_id", "item_id", "source", "score", F.col("rank").cast("long").alias("rank"))
 
 
 QUERIES.update({
