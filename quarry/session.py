@@ -77,9 +77,12 @@ def spread(df):
     """Spread CPU-heavy per-row work over all cores when a scan yields fewer
     partitions than the cluster has cores (small inputs stored in few row
     groups). Large inputs already have many splits and pass unchanged."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < cores:
-        return df.repartition(cores)
+    try:
+        cores = df.sparkSession.sparkContext.defaultParallelism
+        if df.rdd.getNumPartitions() < cores:
+            return df.repartition(cores)
+    except Exception:  # noqa: BLE001 - no RDD view (e.g. remote sessions): leave as is
+        pass
     return df
 
 
