@@ -53,8 +53,13 @@ def fold_summary(folded: DataFrame, *, count_col: str = "repo") -> DataFrame:
 def sample_negatives(df: DataFrame, p: float, seed: str, key) -> DataFrame:
     """Keep each row with probability ``p``, repeatably (md5 of seed +
     key). ``key`` is a column name or Column identifying the row."""
+    return df.where(kept_by_chance(p, seed, key))
+
+
+def kept_by_chance(p: float, seed: str, key):
+    """The N1 coin as a predicate, for use inside a larger filter."""
     k = F.col(key) if isinstance(key, str) else key
-    return df.where(seeded_unit(seed, k) < F.lit(p))
+    return seeded_unit(seed, k) < F.lit(p)
 
 
 def shuffle(df: DataFrame, seed: str, key) -> DataFrame:

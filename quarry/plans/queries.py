@@ -130,9 +130,7 @@ def negatives_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = read_table(spark, sf_dir, "labels").select("doc_id", "quality")
     rows = docs.join(labels, "doc_id", "left").select(
         "doc_id", F.coalesce("quality", F.lit(0)).alias("relevance"))
-    pos = rows.where(F.col("relevance") == 1)
-    neg = sp.sample_negatives(rows.where(F.col("relevance") != 1), 0.1, NEGATIVE_SEED, "doc_id")
-    return pos.unionByName(neg)
+    return rows.where((F.col("relevance") == 1) | sp.kept_by_chance(0.1, NEGATIVE_SEED, "doc_id"))
 
 
 def shuffled_order(spark: SparkSession, sf_dir: str) -> DataFrame:
