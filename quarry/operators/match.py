@@ -119,7 +119,13 @@ def match_tags(requests: DataFrame, tags: DataFrame, *, min_hits: int = 3, k: in
                    .select("save_path", "kw", "tag_id"))
 
     matches = ident_hits.unionByName(phrase_hits)
+    # Nearly every (request, keyword, tag) triple is a distinct (request,
+    # tag) pair on the join side, so a map-side partial count barely reduces
+    # anything; shuffling the triples by request instead makes the count and
+    # the top-k window below local to one partitioning.
     counted = (req_kw.join(matches, ["save_path", "kw"])
+               .select(request_id, "tag_id")
+               .repartition(request_id)
                .groupBy(request_id, "tag_id").agg(F.count(F.lit(1)).alias("hits")))
     hits = counted.where((F.col("hits") >= min_hits) & (F.col("hits") > 0))
     w = Window.partitionBy(request_id).orderBy(F.col("hits").desc(), F.col("tag_id"))
