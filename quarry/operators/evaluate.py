@@ -11,6 +11,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+IDEAL_CHUNK = 1 << 16
+
+
 def _div(num: Column, den: Column) -> Column:
     return num / F.nullif(den, F.lit(0))
 
@@ -141,15 +144,21 @@ def ndcg(rel: DataFrame, cut: DataFrame, *, full_ranking: bool = False) -> DataF
     # Ideal DCG without ranking every annotation in one task: count the
     # annotations per relevance value; value v then fills the positions
     # [start, start + count) where start = 1 + annotations ranked above it.
+    # The discount sum over a range is computed in chunks of at most
+    # IDEAL_CHUNK positions, spread over tasks, so one query with a huge
+    # number of equal annotations is neither one giant array nor one task.
     per_value = rel.groupBy("language", "query", "relevance").agg(F.count(F.lit(1)).alias("c"))
     above = F.sum("c").over(Window.partitionBy("language", "query")
                             .orderBy(F.col("relevance").desc())
                             .rowsBetween(Window.unboundedPreceding, -1))
-    ideal = (per_value.withColumn("start", F.coalesce(above, F.lit(0)) + 1)
-             .withColumn("disc", F.aggregate(
-                 F.sequence(F.col("start"), F.col("start") + F.col("c") - 1),
-                 F.lit(0.0), lambda acc, i: acc + 1.0 / F.log2(i + 1)))
-             .groupBy("language", "query")
+    ranges = (per_value.withColumn("start", F.coalesce(above, F.lit(0)) + 1)
+              .withColumn("chunk", F.explode(F.sequence(F.lit(0), F.floor((F.col("c") - 1) / IDEAL_CHUNK)))))
+    lo = F.col("start") + F.col("chunk") * IDEAL_CHUNK
+    hi = F.least(F.col("start") + F.col("c") - 1, lo + IDEAL_CHUNK - 1)
+    parts = (ranges.repartition("language", "query", "chunk")
+             .withColumn("disc", F.aggregate(F.sequence(lo, hi), F.lit(0.0),
+                                             lambda acc, i: acc + 1.0 / F.log2(i + 1))))
+    ideal = (parts.groupBy("language", "query")
              .agg(F.sum(gain * F.col("disc")).alias("idcg")))
     per_q = (ideal.where(F.col("idcg") != 0)
              .join(dcg, ["language", "query"], "left")

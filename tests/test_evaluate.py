@@ -83,3 +83,19 @@ def test_relevance_case_folding_last_key_wins(spark):
     r = ev.relevance_table(ann).first()
     # sorted keys: ('Q','Py') < ('q','py'); the later one (mean 3.0) wins
     assert (r["language"], r["query"], r["relevance"]) == ("py", "q", 3.0)
+
+
+def test_ndcg_ideal_chunks_large_group(spark):
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    n = 200_000  # > 3 chunks of positions for one (language, query)
+    ann = (spark.range(n).select(F.lit("py").alias("Language"), F.lit("q").alias("Query"),
+                                 F.concat(F.lit("u"), F.col("id").cast("string")).alias("GitHubUrl"),
+                                 F.lit(1.0).alias("Relevance")))
+    pred = spark.createDataFrame([("py", "q", "u0", 1), ("py", "q", "x", 2), ("py", "q", "u1", 3)],
+                                 "language string, query string, url string, rank int")
+    rel, cut = ev.relevance_table(ann), ev.cut_predictions(pred)
+    idcg = float(np.sum(1.0 / np.log2(np.arange(1, n + 1) + 1)))
+    assert ev.ndcg(rel, cut).first()["ndcg"] == pytest.approx((1 + 1 / np.log2(3)) / idcg, rel=1e-9)
+    assert ev.ndcg(rel, cut, full_ranking=True).first()["ndcg"] == pytest.approx((1 + 1 / np.log2(4)) / idcg, rel=1e-9)
