@@ -40,7 +40,7 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    ensure_checkpoint_dir(spark)
+    prepare(spark)
     return spark
 
 
@@ -65,6 +65,42 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or configured
 
 
+_SHIPPED: set[str] = set()
+_ZIP_PATH: list[str] = []
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``quarry`` importable in every Python worker (mapInPandas,
+    pandas_udf) by adding a zip of the package to the SparkContext once.
+    Needed whenever workers do not start in the folder that holds the
+    package, which is the normal case on a cluster."""
+    import zipfile
+
+    sc = spark.sparkContext
+    app = sc.applicationId
+    if app in _SHIPPED:
+        return
+    if not _ZIP_PATH:
+        pkg = os.path.dirname(os.path.abspath(__file__))
+        root = os.path.dirname(pkg)
+        target = os.path.join(tempfile.mkdtemp(prefix="quarry-pkg-"), "quarry.zip")
+        with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as zf:
+            for folder, _, files in os.walk(pkg):
+                for name in files:
+                    if name.endswith(".py"):
+                        full = os.path.join(folder, name)
+                        zf.write(full, os.path.relpath(full, root))
+        _ZIP_PATH.append(target)
+    sc.addPyFile(_ZIP_PATH[0])
+    _SHIPPED.add(app)
+
+
+def prepare(spark: SparkSession) -> str:
+    """Checkpoint folder + package shipping; call once per session."""
+    ship_package(spark)
+    return ensure_checkpoint_dir(spark)
+
+
 def scratch_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder under the shared checkpoint folder for written tables."""
     base = ensure_checkpoint_dir(spark)

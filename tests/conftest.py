@@ -20,9 +20,9 @@ def spark():
         builder = builder.config(k, v)
     session = builder.getOrCreate()
     session.sparkContext.setLogLevel("ERROR")
-    from quarry.session import ensure_checkpoint_dir
+    from quarry.session import prepare
 
-    ensure_checkpoint_dir(session)
+    prepare(session)
     yield session
     session.stop()
 
