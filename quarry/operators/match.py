@@ -122,7 +122,10 @@ def match_tags(requests: DataFrame, tags: DataFrame, *, min_hits: int = 3, k: in
     # Each match row fans out to every request holding the keyword; spread
     # the (small) match table over the configured width so that fan-out is
     # not left to the few tasks AQE would coalesce it into.
-    width = int(requests.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    try:
+        width = int(requests.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    except (TypeError, ValueError):
+        width = requests.sparkSession.sparkContext.defaultParallelism
     matches = matches.repartition(width, "save_path", "kw")
     # Nearly every (request, keyword, tag) triple is a distinct (request,
     # tag) pair on the join side, so a map-side partial count barely reduces
