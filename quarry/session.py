@@ -124,3 +124,12 @@ def spread(df):
 
 def read_table(spark: SparkSession, sf_dir: str, name: str):
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+
+
+def stored(df, name: str):
+    """Write ``df`` under the shared checkpoint folder and read it back: later
+    uses do not repeat its work, do not depend on the executors that did it,
+    and the optimizer knows its size."""
+    path = scratch_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
