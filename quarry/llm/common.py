@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from quarry.session import read_table, scratch_dir
+from quarry.session import read_table, stored  # noqa: F401
 
 # Words of the quality, mixing and shingle operators: runs without ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -42,14 +42,50 @@ def map_rows(df: DataFrame, schema: str | StructType,
     return df.mapInArrow(run, target)
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` under the shared checkpoint folder and read it back: later
-    uses do not repeat its work and do not depend on the executors that did it."""
-    path = scratch_dir(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def share(key, n):
     """A repeatable number in [0, 1) of the columns ``key``: the same row always gets the same."""
     return F.pmod(F.xxhash64(*key, F.lit(n)), F.lit(1 << 40)) / F.lit(float(1 << 40))
+
+
+def map_groups(df: DataFrame, keys: list[str], schema: str, fn: Callable[[dict], dict | None]) -> DataFrame:
+    """``fn`` on every group of rows with equal ``keys``, given and returned as a
+    dict of lists. Groups are streamed in key order, so many small ones cost no
+    more than the rows they hold; callers bound the size of a group."""
+    names = df.columns
+
+    def run(batches):
+        held, key = {n: [] for n in names}, None
+        for b in batches:
+            own = list(zip(*(b[k] for k in keys)))
+            a = 0
+            while a < len(own):
+                if own[a] != key:
+                    if key is not None and (out := fn(held)):
+                        yield out
+                    held, key = {n: [] for n in names}, own[a]
+                z = a
+                while z < len(own) and own[z] == key:
+                    z += 1
+                for n in names:
+                    held[n] += b[n][a:z]
+                a = z
+        if key is not None and (out := fn(held)):
+            yield out
+
+    return map_rows(df.repartition(*keys).sortWithinPartitions(*keys), schema, _merged(run))
+
+
+def _merged(run, rows: int = 4096):
+    """Join the small results of many groups into fewer batches."""
+    def merged(batches):
+        held, n = {}, 0
+        for out in run(batches):
+            for k, v in out.items():
+                held.setdefault(k, []).extend(v)
+            n += len(next(iter(out.values())))
+            if n >= rows:
+                yield held
+                held, n = {}, 0
+        if n:
+            yield held
+    return merged
