@@ -22,22 +22,27 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "documents")
 
 
-def map_rows(df: DataFrame, schema: str | StructType,
-             fn: Callable[[Iterable[dict]], Iterator[dict]]) -> DataFrame:
+def map_rows(df: DataFrame, schema: str | StructType, fn: Callable[[Iterable[dict]], Iterator[dict]],
+             as_is: Iterable[str] = ()) -> DataFrame:
     """``mapInArrow`` whose function sees each Arrow batch as a dict of Python
-    lists and yields dicts of lists. Columns come out in ``schema`` order."""
+    lists and yields dicts of lists. Columns come out in ``schema`` order.
+    Columns named in ``as_is`` stay Arrow arrays, for rows that are only passed on."""
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     target = df.sparkSession.createDataFrame([], schema).schema
     from pyspark.sql.pandas.types import to_arrow_schema
 
     arrow = to_arrow_schema(target)
-    names = df.columns
+    names, whole = df.columns, frozenset(as_is)
+
+    def column(value, kind) -> pa.Array:
+        if isinstance(value, pa.Array):
+            return value if value.type == kind else value.cast(kind)
+        return pa.array(value, type=kind, from_pandas=False)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lists = ({n: b.column(i).to_pylist() for i, n in enumerate(names)} for b in batches)
+        lists = ({n: b.column(i) if n in whole else b.column(i).to_pylist() for i, n in enumerate(names)} for b in batches)
         for out in fn(lists):
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(out[f.name], type=f.type, from_pandas=False) for f in arrow], schema=arrow)
+            yield pa.RecordBatch.from_arrays([column(out[f.name], f.type) for f in arrow], schema=arrow)
 
     return df.mapInArrow(run, target)
 

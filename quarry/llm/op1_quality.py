@@ -56,7 +56,7 @@ def compile_rules(rules=RULES) -> str:
 
 def quality_columns(df: DataFrame, text: str = "text", prefix: str = "", rules=RULES) -> DataFrame:
     """``df`` with the counts, ``base_failed`` and ``kept``, each name after ``prefix``."""
-    keep = df.columns
+    keep = [F.col(f"`{c}`") for c in df.columns]
     t = "__quality_text"
     stop = ", ".join("'" + w + "'" for w in STOP_WORDS)
     word = WORD.replace("\\", "\\\\")
@@ -96,7 +96,9 @@ def quality_columns(df: DataFrame, text: str = "text", prefix: str = "", rules=R
     exprs = {"n_words": "__n", "word_chars": "__chars", "n_symbols": "__symbols", "n_dup_lines": "__dup_lines",
              "n_repeat_words": repeat, "n_exclamations": "__excl", "n_stop_words": "__stop", "n_lines": "__n_lines"}
     counts = F.struct(*[F.expr(f"CAST({e} AS BIGINT)").alias(n) for n, e in exprs.items()])
-    df = df.select(*keep, counts.alias("__q"))
+    # explode: a filter on the results must not be moved below them, which would
+    # copy the arrays' expressions into the filter and into their own functions.
+    df = df.select(*keep, F.explode(F.array(counts)).alias("__q"))
     base = f"(__q.n_words < {MIN_WORDS} OR 100 * __q.n_repeat_words > {MAX_REPEAT_PERCENT} * __q.n_words)"
     rule = compile_rules(rules)
     for name in sorted(COUNTS, key=len, reverse=True):

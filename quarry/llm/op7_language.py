@@ -28,6 +28,7 @@ import re
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from quarry.llm.common import documents, map_rows, share
 
@@ -208,18 +209,19 @@ def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model:
                   for lang, g in table.groupby("lang")})
 
 
-def predict_language(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
-    """The columns ``keep`` of every row with lang_pred and score, in a struct ``row`` first."""
+def predict_language(docs: DataFrame, model: Model, keep: list[str], prefix: str = "") -> DataFrame:
+    """The columns ``keep`` of every row, passed on as they are, with lang_pred and score named after ``prefix``."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    out = docs.select(*keep, F.col("text").alias("__text"))
-    schema = docs.select(*keep).schema.add("lang_pred", "string").add("score", "double")
+    rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text").alias("__text"))
+    schema = docs.select(*[F.col(f"`{c}`") for c in keep]).schema
+    schema = StructType([*schema.fields, StructField(prefix + "lang_pred", StringType()), StructField(prefix + "score", DoubleType())])
 
     def run(batches):
         for b in batches:
-            langs, scores = shared.value.predict(b.pop("__text"))
-            yield {**b, "lang_pred": langs, "score": scores}
+            langs, scores = shared.value.predict(b.pop("__text").to_pylist())
+            yield {**b, prefix + "lang_pred": langs, prefix + "score": scores}
 
-    return map_rows(out, schema, run)
+    return map_rows(rows, schema, run, as_is=rows.columns)
 
 
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
