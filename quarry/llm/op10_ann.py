@@ -6,10 +6,10 @@ the direction's shadow on its code) are kept. Nothing is fitted to the data.
 
 Search: an inner product is estimated from bit counts of the code against the
 bit planes of the turned query and scaled by the two numbers; the error of
-the estimate is bounded by ``EPSILON`` standard errors. Per query the lower
-bounds give a value that the 20th best must reach, and only vectors whose
-upper bound reaches it are reranked with the exact product in double
-precision on the original vectors.
+the estimate is bounded by ``EPSILON`` standard errors. Per query the
+``FIRST * (k + 1)`` largest estimates are reranked with the exact product in
+double precision on the original vectors; then every vector whose upper bound
+reaches the (k + 1)th best of these is.
 
 Shape: queries against all rows in cells of bounded size (``QUERY_BLOCK`` x
 ``ROW_BLOCK``); a cell returns at most k rows per query, merged by a window
@@ -36,8 +36,9 @@ from quarry.llm.common import map_rows, stored
 from quarry.session import read_table
 
 K = 20
-EPSILON = 4.0
-PLANES = 6
+EPSILON = 2.5
+PLANES = 8
+FIRST = 5
 SEED = 10
 QUERY_BLOCK = 1024
 ROW_BLOCK = 16384
@@ -137,11 +138,7 @@ def _cell(k: int):
             norm, shadow = rows["norm"].to_numpy(), rows["shadow"].to_numpy()
             for query_id, v in zip(queries["query_id"].to_pylist(), q):
                 estimate, error = Query(v, turn).bounds(codes, counts, norm, shadow)
-                # The query's own class may be lost to the query itself: one vector more.
-                least = -np.inf
-                if len(ids) > k + 1:
-                    least = np.partition(estimate - error, len(ids) - k - 1)[len(ids) - k - 1]
-                chosen = np.flatnonzero(estimate + error >= least)
+                chosen = choose(estimate, error, x, v, k)
                 score = (x[chosen] * v).sum(axis=1)
                 best = sorted((-s, i) for s, c in zip(score.tolist(), chosen.tolist())
                               for i in ids[c] if i != query_id)[:k] if len(chosen) <= 4 * k else \
@@ -154,6 +151,17 @@ def _cell(k: int):
     return run
 
 
+def choose(estimate: np.ndarray, error: np.ndarray, x: np.ndarray, v: np.ndarray, k: int) -> np.ndarray:
+    """Rows to rerank. The query's own class may be lost to the query itself: k + 1 classes are wanted."""
+    if len(estimate) <= FIRST * (k + 1):
+        return np.arange(len(estimate))
+    first = np.argpartition(estimate, -FIRST * (k + 1))[-FIRST * (k + 1):]
+    least = np.partition((x[first] * v).sum(axis=1), -k - 1)[-k - 1]
+    reach = estimate + error >= least
+    reach[first] = True
+    return np.flatnonzero(reach)
+
+
 def _best(score: np.ndarray, chosen: np.ndarray, ids: list, query_id: int, k: int) -> list[tuple[float, int]]:
     """The k best of many: only classes that reach the (k + 1)th score can hold one."""
     least = np.partition(score, len(score) - k - 1)[len(score) - k - 1]
