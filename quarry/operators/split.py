@@ -115,6 +115,11 @@ def with_group_index(df: DataFrame, group: list[str], order: list[str],
                                      .rowsBetween(Window.unboundedPreceding, -1)),
                    F.lit(0)).alias("__off"))
     local = Window.partitionBy("__pid", *group).orderBy(*keys)
-    return (sorted_df.join(offsets, ["__pid", *group])
+    # A null group is a group like any other.
+    a, b = sorted_df.alias("a"), offsets.alias("b")
+    same = F.col("a.__pid") == F.col("b.__pid")
+    for g in group:
+        same = same & F.col(f"a.{g}").eqNullSafe(F.col(f"b.{g}"))
+    return (a.join(b, same).select("a.*", "b.__off")
             .withColumn(name, (F.col("__off") + F.row_number().over(local) - 1).cast("long"))
             .drop("__pid", "__off"))

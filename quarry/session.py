@@ -7,7 +7,10 @@ command line.
 
 from __future__ import annotations
 
+import atexit
 import os
+import re
+import shutil
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -47,8 +50,10 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    On a cluster the launcher sets it to a shared file system; we only
-    pick a scratch folder when it is unset (local tests).
+    On a cluster the launcher sets it to a shared file system, and a session
+    without it is refused: executors could not read what others wrote. Only a
+    local master, whose driver and executors are one process, gets a scratch
+    folder, which is removed when Python exits.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -56,11 +61,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        if not re.fullmatch(r"local(\[[^]]*\])?", sc.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="quarry-ckpt-")
-        try:
-            spark.conf.set("spark.checkpoint.dir", configured)
-        except Exception:  # noqa: BLE001 - some deployments reject core confs at runtime
-            pass
+        atexit.register(shutil.rmtree, configured, ignore_errors=True)
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
 
@@ -113,13 +117,8 @@ def spread(df):
     """Spread CPU-heavy per-row work over all cores when a scan yields fewer
     partitions than the cluster has cores (small inputs stored in few row
     groups). Large inputs already have many splits and pass unchanged."""
-    try:
-        cores = df.sparkSession.sparkContext.defaultParallelism
-        if df.rdd.getNumPartitions() < cores:
-            return df.repartition(cores)
-    except Exception:  # noqa: BLE001 - no RDD view (e.g. remote sessions): leave as is
-        pass
-    return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str):
