@@ -17,27 +17,19 @@ def test_topk_fixture(spark):
     assert (r["precision"], r["recall"], r["f1"], r["mrr"], r["topk_accuracy"]) == (0.125, 0.25, 0.1667, 0.25, 0.5)
 
 
-def py_topk(preds, truth, k):
-    ps, rs, fs, mrr, acc, n = [], [], [], 0.0, 0, 0
-    for q, urls in preds.items():
-        t = truth.get(q)
-        if not t or not urls:
+def formula_table(preds, truth, k):
+    """A10-A12 written as formulas over 0/1 relevance vectors, one row per query that has both sides."""
+    rows = []
+    for q in sorted(preds.keys() & truth.keys()):
+        if not (preds[q] and truth[q]):
             continue
-        ret = set(urls[:k])
-        tp = len(ret & t)
-        p = tp / len(ret)
-        r = tp / len(t)
-        ps.append(p)
-        rs.append(r)
-        fs.append(2 * p * r / (p + r) if p + r else 0)
-        for i, u in enumerate(urls[:k]):
-            if u in t:
-                mrr += 1 / (i + 1)
-                break
-        acc += any(u in t for u in urls[:k])
-        n += 1
-    mean = lambda xs: sum(xs) / len(xs) if xs else 0
-    return [round(x, 4) for x in (mean(ps), mean(rs), mean(fs), mrr / n if n else 0, acc / n if n else 0)]
+        gains = [int(u in truth[q]) for u in preds[q]][:k]
+        distinct = dict(zip(preds[q][:k], gains))
+        p, r = sum(distinct.values()) / len(distinct), sum(distinct.values()) / len(truth[q])
+        f1 = 0.0 if not sum(gains) else 2 / (1 / p + 1 / r)
+        rr = max(g / place for place, g in enumerate(gains, start=1))
+        rows.append((p, r, f1, rr, max(gains)))
+    return [round(sum(c) / len(rows), 4) for c in zip(*rows)]
 
 
 @pytest.mark.parametrize("seed", [1, 2])
@@ -49,7 +41,7 @@ def test_topk_matches_python(spark, seed):
                                 "query_id string, url string, rank int")
     tdf = spark.createDataFrame([(q, u) for q, us in truth.items() for u in us], "query_id string, url string")
     r = ev.evaluate_topk(pdf, tdf, k=5).first()
-    assert [r["precision"], r["recall"], r["f1"], r["mrr"], r["topk_accuracy"]] == py_topk(preds, truth, 5)
+    assert [r["precision"], r["recall"], r["f1"], r["mrr"], r["topk_accuracy"]] == formula_table(preds, truth, 5)
 
 
 def _rel_fixture(spark):
