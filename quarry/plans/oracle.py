@@ -234,7 +234,7 @@ cut AS (SELECT * FROM (
           SELECT lower(language) AS language, lower(query) AS query, url,
                  row_number() OVER (PARTITION BY lower(language), lower(query)
                                     ORDER BY rank, language, query, url) AS pos
-          FROM pred) WHERE pos <= 10),
+          FROM pred) WHERE pos <= 300),
 langs AS (SELECT DISTINCT language FROM cut)
 """
 
@@ -527,3 +527,61 @@ ORACLE_SQL.update({
     "extract_definitions_no_methods": EXTRACT_DEFINITIONS_NO_METHODS,
     "extraction_summary": EXTRACTION_SUMMARY,
 })
+
+
+# ---------------------------------------------------------------------------
+# Hashing encoder, deep search, evaluation reports.
+
+_VECTORS = """
+{n}_t AS (SELECT {key} AS id, unnest(string_split(trim(regexp_replace(coalesce(text, ''), {ws}, ' ', 'g'), ' '), ' ')) AS t FROM {table}),
+{n}_c AS (SELECT id, ('0x' || substr(md5(t), 1, 4))::INTEGER AS c, length(t) > 0 AS one FROM {n}_t),
+{n}_s AS (SELECT id, c % 64 AS place, sum(CASE WHEN one THEN CASE WHEN c >= 32768 THEN 1 ELSE -1 END ELSE 0 END) AS s FROM {n}_c GROUP BY ALL),
+{n}_n AS (SELECT id, count(*) FILTER (one) AS n FROM {n}_c GROUP BY id),
+{n} AS (SELECT id, list(coalesce(s, 0)::DOUBLE / greatest(n, 1) ORDER BY p) AS vec
+        FROM {n}_n CROSS JOIN (SELECT unnest(range(64)) AS p) LEFT JOIN {n}_s ON {n}_s.id = {n}_n.id AND place = p GROUP BY ALL)
+"""
+
+def _vectors(n: str, key: str, table: str) -> str:
+    sql = _VECTORS.format(n=n, key=key, table=table, ws=_lit("[" + _WS + "]+"))
+    return sql.replace(f"SELECT id, list(", f"SELECT {n}_n.id AS id, list(").replace("place = p GROUP BY ALL)", f"place = p GROUP BY {n}_n.id)")
+
+
+ENCODE_HASH = f"""
+WITH {_vectors("dv", "doc_id", "documents")}
+SELECT id AS doc_id, 64::BIGINT AS dim, round(sqrt(list_sum(list_transform(vec, lambda x: x * x))), 6) AS norm FROM dv
+"""
+
+KNN_TEXT = f"""
+WITH {_vectors("dv", "doc_id", "documents")}, {_vectors("qv", "item_id", "benchmark")},
+pairs AS (SELECT qv.id AS query_id, dv.id AS item_id, round(list_cosine_similarity(qv.vec, dv.vec), 6) AS score
+          FROM qv JOIN dv ON list_sum(list_transform(dv.vec, lambda x: x * x)) > 0),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS rank FROM pairs)
+SELECT query_id, item_id, source, score, rank FROM ranked JOIN documents ON doc_id = item_id WHERE rank <= 5
+"""
+
+KNN_DEEP = _KNN_RANKED.format(pairs=_KNN_PAIRS.format(extra="")) + """
+SELECT query_id, item_id, score, rank FROM ranked WHERE rank <= 1000
+"""
+
+TOPK_TRUTH = """
+WITH pred AS (SELECT lang || '/' || source AS q, doc_id AS url,
+                     row_number() OVER (PARTITION BY lang, source ORDER BY n_chars DESC, doc_id) AS rank FROM documents),
+truth AS (SELECT DISTINCT d.lang || '/' || d.source AS q, doc_id AS url FROM labels JOIN documents d USING (doc_id) WHERE quality = 1),
+n AS (SELECT q, count(*) AS n_true FROM truth GROUP BY q),
+pq AS (SELECT p.q, count(DISTINCT p.url) AS n_ret, count(DISTINCT t.url) AS tp, min(CASE WHEN t.url IS NOT NULL THEN rank END) AS first_hit
+       FROM pred p LEFT JOIN truth t ON t.q = p.q AND t.url = p.url WHERE rank <= 5 GROUP BY p.q),
+s AS (SELECT tp::DOUBLE / n_ret AS p, tp::DOUBLE / n_true AS r, first_hit, tp FROM pq JOIN n USING (q))
+SELECT round(coalesce(avg(p), 0), 4) AS precision, round(coalesce(avg(r), 0), 4) AS recall,
+       round(coalesce(avg(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END), 0), 4) AS f1,
+       round(coalesce(avg(coalesce(1.0 / first_hit, 0)), 0), 4) AS mrr,
+       round(coalesce(avg(CASE WHEN tp > 0 THEN 1.0 ELSE 0.0 END), 0), 4) AS topk_accuracy, count(*) AS n_queries
+FROM s
+"""
+
+RELEVANCE_REPORT = f"""
+SELECT language, coverage_all, coverage_positive, ndcg, ndcg_full
+FROM ({COVERAGE}) JOIN ({NDCG_ANNOTATED}) USING (language) JOIN ({NDCG_FULL}) USING (language)
+"""
+
+ORACLE_SQL.update({"encode_hash": ENCODE_HASH, "knn_text": KNN_TEXT, "knn_deep": KNN_DEEP, "topk_truth": TOPK_TRUTH,
+                   "relevance_report": RELEVANCE_REPORT})

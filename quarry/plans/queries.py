@@ -223,7 +223,7 @@ def count_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---------------------------------------------------------------------------
 # Relevance evaluation
 
-MAX_URLS = 10
+MAX_URLS = 300
 
 
 def _rel_cut(spark, sf_dir):
@@ -239,7 +239,7 @@ def relevance_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Coverage of annotations by the first 10 predictions."""
+    """Coverage of annotations by the first 300 predictions."""
     rel, cut = _rel_cut(spark, sf_dir)
     return (ev.coverage(rel, cut).withColumnRenamed("coverage", "coverage_all")
             .join(ev.coverage(rel, cut, positive_only=True)
@@ -509,25 +509,62 @@ def pair_positives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def encode_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whole document texts encoded in batches of 32 by the default
-    hashing encoder."""
-    enc = rt.encode(_documents_spread(spark, sf_dir).select("doc_id", "text"), "text")
+    """Whole document texts encoded by the default hashing encoder."""
+    enc = rt.hash_encode(_documents_spread(spark, sf_dir).select("doc_id", "text"), "doc_id", "text")
     return enc.select("doc_id", F.size("vec").cast("long").alias("dim"),
                       F.round(F.sqrt(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x)), 6).alias("norm"))
 
 
+def _text_neighbours(spark, sf_dir, k):
+    bench = read_table(spark, sf_dir, "benchmark")
+    q = rt.hash_encode(bench.select("item_id", "text"), "item_id", "text")
+    items = rt.hash_encode(_documents_spread(spark, sf_dir).select("doc_id", "text"), "doc_id", "text")
+    return q, rt.knn_join(q, items, k, query_id="item_id", item_id="doc_id")
+
+
 def knn_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """E1 -> E3/E5 -> E7: benchmark passages encoded as queries against all
+    """E1 -> E3/E5 -> E7/J7: benchmark passages encoded as queries against all
     encoded documents; five nearest documents per passage."""
-    bench = read_table(spark, sf_dir, "benchmark")
-    q = rt.encode(bench.select(F.col("item_id"), "text"), "text")
-    items = rt.encode(_documents(spark, sf_dir).select("doc_id", "text"), "text")
-    knn = rt.knn_join(q, items, TOPK, query_id="item_id", item_id="doc_id")
+    q, knn = _text_neighbours(spark, sf_dir, TOPK)
     docs = _documents(spark, sf_dir).select("doc_id", "source")
     ranked = rt.to_predictions(knn, q, docs, query_id="item_id", item_id="doc_id", item_cols=["source"])
     return ranked.select("query_id", "item_id", "source", "score", F.col("rank").cast("long").alias("rank"))
 
 
+def knn_deep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """E3/W8 at the reference's search depth: 1000 nearest vectors of every vector."""
+    emb = _embeddings(spark, sf_dir)
+    knn = rt.knn_join(emb, emb, 1000, query_id="vec_id", item_id="vec_id", exclude_self=True)
+    return knn.select("query_id", "item_id", "score", F.col("rank").cast("long").alias("rank"))
+
+
+QUERIES.update({"knn_deep": knn_deep})
+
+
+def topk_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ranked predictions per (language, source) against the
+    documents labelled good, joined on (query, url)."""
+    name = F.concat_ws("/", "language", "query")
+    pred = fx.predictions(spark, sf_dir).select(name.alias("query_id"), "url", "rank")
+    ann = fx.annotations(spark, sf_dir).filter("Relevance = 1")
+    truth = ann.select(F.concat_ws("/", "Language", "Query").alias("query_id"), F.col("GitHubUrl").alias("url"))
+    return ev.evaluate_topk(pred, truth, TOPK)
+
+
+def relevance_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both coverages and both NDCGs per language in one table."""
+    return ev.evaluate_relevance(fx.annotations(spark, sf_dir), fx.predictions(spark, sf_dir), max_urls=MAX_URLS, digits=6)
+
+
+def sources_by_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources ordered by their number of documents."""
+    counts = st.count_by(_documents(spark, sf_dir), "source")
+    return st.order_by_counts(counts, "source")
+
+
+QUERIES.update({"topk_truth": topk_truth, "relevance_report": relevance_report})
+
+
 QUERIES.update({
     "build_pairs": build_pairs,
     "pair_positives": pair_positives,
