@@ -38,12 +38,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.functions.text import docstring_head, exclude_test_paths, keep_function, unindent
+from quarry.functions.text import comment_tokens, docstring_head, exclude_test_paths, keep_function, unindent
 
-# Python's docstring tokeniser regex (T1), used for comments inside the
-# Python worker; the JVM twin lives in quarry.functions.text.
-_DOC_TOKEN = re.compile(
-    r"[^\s,'\"`.():\[\]=*;>{\}+-/\\]+|\\+|\.+|\(\)|{\}|\[\]|\(+|\)+|:+|\[+|\]+|{+|\}+|=+|\*+|;+|>+|\++|-+|/+")
 _WS = re.compile(r"\s+")
 
 _CONTAINERS = (ast.If, ast.For, ast.AsyncFor, ast.While, ast.Try, ast.With, ast.AsyncWith)
@@ -96,6 +92,15 @@ def _cut(line: str, start: int, end: int | None) -> str:
     return raw[start:end].decode("utf-8", errors="replace")
 
 
+def _lead(lines: list[str], fn) -> int:
+    """Index of the first of the comment and blank lines directly above a
+    ``def`` (below its decorators): they belong to its code."""
+    at = fn.lineno - 1
+    while at > 0 and lines[at - 1].strip()[:1] in ("", "#"):
+        at -= 1
+    return at
+
+
 def parse_functions(content: str) -> list[dict]:
     """X1 for one file: raw pieces of each function (no filtering)."""
     try:
@@ -110,7 +115,7 @@ def parse_functions(content: str) -> list[dict]:
     for fn in defs:
         first = lines[fn.lineno - 1]
         indent = _cut(first, 0, fn.col_offset)
-        code = "".join(lines[fn.lineno - 1:fn.end_lineno])
+        code = "".join(lines[_lead(lines, fn):fn.end_lineno])
         out.append({"func_name": fn.name, "lineno": fn.lineno, "raw_code": code,
                     "indent": indent, "docstring": _docstring_literal(lines, fn)})
     return out
@@ -270,7 +275,7 @@ def build_tags(sources: DataFrame, *, path: str = "file", content: str = "conten
 
 def tokenize_code(code: str, func_only: bool = True, only_ids: bool = False,
                   add_keywords: bool = True) -> tuple[list[str], list[str]]:
-    """Token values of one function (see module docstring)."""
+    """Token values and whole comments of one function (see module docstring)."""
     try:
         tree = ast.parse(code)
         start = (1, 0)
@@ -285,13 +290,13 @@ def tokenize_code(code: str, func_only: bool = True, only_ids: bool = False,
             if (isinstance(first, ast.Expr) and isinstance(first.value, ast.Constant)
                     and isinstance(first.value.value, str)):
                 doc_pos = (first.value.lineno, first.value.col_offset)
-        code_tokens, comment_tokens = [], []
+        code_tokens, comments = [], []
         skip = (tokenize.NL, tokenize.NEWLINE, tokenize.INDENT, tokenize.DEDENT, tokenize.ENDMARKER)
         for tok in tokenize.generate_tokens(io.StringIO(code).readline):
             if tok.type in skip or tok.start < start:
                 continue
             if tok.type == tokenize.COMMENT:
-                comment_tokens.extend(t for t in _DOC_TOKEN.findall(tok.string[1:]) if t)
+                comments.append(tok.string)
                 continue
             if doc_pos is not None and tok.type == tokenize.STRING and \
                     (tok.start[0], _byte_col(code, tok)) == doc_pos:
@@ -307,7 +312,7 @@ def tokenize_code(code: str, func_only: bool = True, only_ids: bool = False,
                     code_tokens.append(tok.string)
             else:
                 code_tokens.append(tok.string)
-        return code_tokens, comment_tokens
+        return code_tokens, comments
     except Exception:  # noqa: BLE001 - reference: any error -> empty lists
         return [], []
 
@@ -318,19 +323,18 @@ def _byte_col(code: str, tok) -> int:
 
 
 CODE_TOKENS = T.StructType([T.StructField("code_tokens", T.ArrayType(T.StringType())),
-                            T.StructField("comment_tokens", T.ArrayType(T.StringType()))])
+                            T.StructField("comments", T.ArrayType(T.StringType()))])
 
 
 def code_tokens(col, func_only: bool = True, only_ids: bool = False, add_keywords: bool = True):
-    """T2/T3 as an Arrow pandas_udf: struct<code_tokens, comment_tokens>."""
+    """struct<code_tokens, comment_tokens>. The worker only tokenises;
+    the words of the comments are cut by the column form of T3."""
 
     @F.pandas_udf(CODE_TOKENS)
     def tok(codes: pd.Series) -> pd.DataFrame:
-        ct, cm = [], []
-        for c in codes:
-            a, b = tokenize_code(c, func_only, only_ids, add_keywords) if isinstance(c, str) else ([], [])
-            ct.append(a)
-            cm.append(b)
-        return pd.DataFrame({"code_tokens": ct, "comment_tokens": cm})
-
-    return tok(F.col(col) if isinstance(col, str) else col)
+        both = [tokenize_code(c, func_only, only_ids, add_keywords) if isinstance(c, str) else ([], []) for c in codes]
+        return pd.DataFrame({"code_tokens": [a for a, _ in both], "comments": [b for _, b in both]})
+
+    raw = tok(F.col(col) if isinstance(col, str) else col)
+    words = F.flatten(F.transform(raw["comments"], lambda c: comment_tokens(c)))
+    return F.struct(raw["code_tokens"].alias("code_tokens"), words.alias("comment_tokens"))

@@ -34,6 +34,7 @@ from pyspark.sql import types as T
 
 from quarry.functions.text import keywords as keywords_expr
 from quarry.operators.split import with_row_index
+from quarry.session import stored
 
 
 def trigrams(col) -> Column:
@@ -82,7 +83,8 @@ def match_tags(requests: DataFrame, tags: DataFrame, *, min_hits: int = 3, k: in
     """J3/T6/P8/W1.
 
     ``requests``: request_id, save_path, keywords (distinct strings, each at
-    least three characters, as produced by ``keywords``).
+    least three characters, as produced by ``keywords``; a shorter one has no
+    trigram to be found by and is refused with an error).
     ``tags``: save_path, path, line, name, pattern.
     Returns request_id, save_path, path, line, name, pattern, hits, rank.
 
@@ -91,18 +93,21 @@ def match_tags(requests: DataFrame, tags: DataFrame, *, min_hits: int = 3, k: in
     and ``tag_id`` order is the tie-break order inside a snapshot.
     """
     tag_key = ["save_path", "path", "line", "name"]
+    refuse = F.raise_error(F.lit("match_tags: a keyword has fewer than three characters"))
     req_kw = (requests.where(F.size("keywords") > 0)
-              .select(request_id, "save_path", F.explode("keywords").alias("kw")))
+              .select(request_id, "save_path", F.explode("keywords").alias("kw"))
+              .withColumn("kw", F.when(F.length("kw") >= 3, F.col("kw")).otherwise(refuse)))
     kept = tags.where(~F.col("pattern").contains("test") & ~F.col("pattern").contains("Test"))
     indexed = with_row_index(kept.select(*tag_key, "pattern"), tag_key, "tag_id")
     keys = req_kw.select("save_path", "kw").distinct()
     is_ident = F.col("kw").rlike(IDENT_ONLY_RE)
 
     # Identifier keywords: via the distinct identifier runs of the snapshot.
-    run_tags = indexed.select("save_path", "tag_id", F.explode(F.array_distinct(
-        F.regexp_extract_all("pattern", F.lit(IDENT_RUN_RE), 0))).alias("run"))
-    run_tri = (run_tags.select("save_path", "run").distinct()
-               .select("save_path", "run", F.explode(trigrams("run")).alias("tri")))
+    # Runs and their trigrams feed two branches each: computed once.
+    run_tags = stored(indexed.select("save_path", "tag_id", F.explode(F.array_distinct(
+        F.regexp_extract_all("pattern", F.lit(IDENT_RUN_RE), 0))).alias("run")), "tag-runs")
+    run_tri = stored(run_tags.select("save_path", "run").distinct()
+                     .select("save_path", "run", F.explode(trigrams("run")).alias("tri")), "tag-trigrams")
     ident_choice = _rarest(keys.where(is_ident), run_tri, trigrams)
     kw_runs = (ident_choice.join(run_tri, ["save_path", "tri"])
                .where(F.instr(F.col("run"), F.col("kw")) > 0)
@@ -230,24 +235,3 @@ def rewrite_queries(prompts: DataFrame, client_factory: Callable[[], Client], *,
                                 "attempts": attempts, "status": statuses})
 
     return prompts.select(request_id, "prompt").mapInPandas(run, schema)
-
-
-def md5_client_factory() -> Client:
-    """Deterministic stand-in for a model service: answers md5(prompt);
-    a transport error on every first try when the digest starts with 'a'
-    (so such rows take two attempts), and status 503 when it starts with
-    'f'."""
-    import hashlib
-
-    calls: dict[str, int] = {}
-
-    def call(prompt: str):
-        digest = hashlib.md5(prompt.encode("utf-8")).hexdigest()
-        calls[digest] = calls.get(digest, 0) + 1
-        if digest.startswith("a") and calls[digest] % 2 == 1:
-            raise TransportError("connection reset")
-        if digest.startswith("f"):
-            return 503, None
-        return 200, digest
-
-    return call

@@ -7,18 +7,19 @@ every other definition is kept as a negative with probability ``p``.
 The reference enumerates every (request, definition) pair of a snapshot
 and flips a coin for each. That is quadratic in a hot snapshot, so the
 negatives are drawn instead of filtered: each snapshot's definitions get a
-dense index, each request draws ``Binomial(n, p)`` distinct indices from a
-generator seeded by (seed, request key) -- exactly an independent coin per
-definition -- and only the drawn (snapshot, index) rows are joined. Work is
-proportional to the output. Positives come from an equi-join on the
-label names.
+dense index, and each request walks through them in gaps of
+``ln(u) / ln(1 - p)``, the distance between two successes of independent
+coins, with ``u`` from the md5 of (seed, request, step). Only the drawn
+(snapshot, index) rows are joined, so work is proportional to the output,
+and the draw can be stated in SQL. Positives come from an equi-join on the
+label names. The labelled requests feed three branches and are stored once.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,6 +27,7 @@ from pyspark.sql import types as T
 
 from quarry.functions.text import definition_url, patch_label, save_path
 from quarry.operators.split import with_group_index
+from quarry.session import stored
 
 
 def labels_from_patch(requests: DataFrame, *, patch: str = "patch", repo: str = "repo",
@@ -41,26 +43,25 @@ def labelled(requests: DataFrame, label: str = "label") -> DataFrame:
                           | (F.size(F.col(f"{label}.classes")) > 0))
 
 
-def _seed_int(seed: str, key: str) -> int:
-    return int(hashlib.md5(f"{seed}:{key}".encode()).hexdigest()[:16], 16)
-
-
 def sample_index_udf(p: float, seed: str):
-    """pandas_udf(key string, n long) -> array<long>: a Bernoulli(p) subset
-    of range(n), drawn as Binomial(n, p) distinct indices."""
+    """pandas_udf(key string, n long) -> array<long>: the successes among n coins of chance p."""
+
+    def walk(key: str, n: int) -> list[int]:
+        if p >= 1:
+            return list(range(n))
+        out, at, step = [], -1, 0
+        while p > 0:
+            u = (int(hashlib.md5(f"{seed}:{key}:{step}".encode()).hexdigest()[:13], 16) + 1) / float(1 << 52)
+            at += 1 + math.floor(math.log(u) / math.log(1 - p))
+            if at >= n:
+                break
+            out.append(at)
+            step += 1
+        return out
 
     @F.pandas_udf(T.ArrayType(T.LongType()))
     def draw(keys: pd.Series, ns: pd.Series) -> pd.Series:
-        out = []
-        for key, n in zip(keys, ns):
-            n = int(n) if n is not None and not pd.isna(n) else 0
-            if n <= 0 or p <= 0:
-                out.append(np.zeros(0, dtype=np.int64))
-                continue
-            rng = np.random.default_rng(_seed_int(seed, str(key)))
-            k = int(rng.binomial(n, min(p, 1.0)))
-            out.append(np.sort(rng.choice(n, size=k, replace=False)).astype(np.int64))
-        return pd.Series(out)
+        return pd.Series([walk(k, int(n)) if pd.notna(n) else [] for k, n in zip(keys, ns)])
 
     return draw
 
@@ -75,7 +76,7 @@ def build_pairs(requests: DataFrame, definitions: DataFrame, p: float = 0.1, see
     start_line. Returns Language, Query, Code, GitHubUrl, Relevance, Notes
     plus request_id and kind.
     """
-    req = labelled(requests).select(request_id, "save_path", F.col(query).alias("Query"), "label")
+    req = stored(labelled(requests).select(request_id, "save_path", F.col(query).alias("Query"), "label"), "pair-requests")
     defs = definitions.select("save_path", "file", "kind", "name", "body", "start_line")
 
     # Positives: label names x definitions of the snapshot with that name.

@@ -20,8 +20,17 @@ def _s(c) -> F.Column:
     return F.col(c).cast("string")
 
 
+# Rows of a driver table per release: a snapshot is a repository at one
+# release, so its size stays bounded while the number of snapshots grows.
+RELEASE_ROWS = 1000
+
+
+def _release(row_id: str) -> F.Column:
+    return F.floor(F.col(row_id) / RELEASE_ROWS).cast("string")
+
+
 def change_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One change request per ``part`` row; snapshot = brand.
+    """One change request per ``part`` row; snapshot = brand at a release.
 
     The patch holds the cases the label regexes must keep or miss: a hunk
     header, removed / added / typed / multi-line defs, a class with and one
@@ -46,7 +55,7 @@ def change_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return part.select(
         F.col("p_partkey").alias("request_id"),
         F.concat(F.lit("acme/"), F.lower(F.regexp_replace("p_brand", "#", ""))).alias("repo"),
-        F.md5("p_brand").alias("base_commit"),
+        F.md5(F.concat("p_brand", F.lit(":"), _release("p_partkey"))).alias("base_commit"),
         patch.alias("patch"),
         F.concat(F.lit("Fix "), F.col("p_name"), F.lit(" handling for "), F.col("p_type"),
                  F.lit(" parts of size "), _s("p_size")).alias("problem_statement"),
@@ -54,10 +63,11 @@ def change_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def snapshot_definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Definitions of each brand snapshot: one function and one class per
+    """Definitions of each snapshot: one function and one class per
     part row, located in file ``mod<size>.py`` at line ``p_partkey``."""
     part = read_table(spark, sf_dir, "part")
-    sp = F.concat(F.lower(F.regexp_replace("p_brand", "#", "")), F.lit("_"), F.md5("p_brand"))
+    sp = F.concat(F.lower(F.regexp_replace("p_brand", "#", "")), F.lit("_"),
+                  F.md5(F.concat("p_brand", F.lit(":"), _release("p_partkey"))))
     file = F.concat(F.lit("mod"), _s("p_size"), F.lit(".py"))
     funcs = part.select(sp.alias("save_path"), file.alias("file"), F.lit("function").alias("kind"),
                         F.regexp_replace("p_name", " ", "_").alias("name"),
@@ -109,9 +119,10 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def issue_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Requests for keyword matching: each document is an issue against the
-    snapshot named by its source."""
+    snapshot of its source at its release."""
     docs = read_table(spark, sf_dir, "documents")
-    return docs.select(F.col("doc_id").alias("request_id"), F.col("source").alias("save_path"),
+    return docs.select(F.col("doc_id").alias("request_id"),
+                       F.concat("source", F.lit("@"), _release("doc_id")).alias("save_path"),
                        F.col("text").alias("problem_statement"))
 
 
@@ -121,7 +132,7 @@ def line_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarry.functions.text import identifiers
 
     docs = read_table(spark, sf_dir, "documents")
-    lines = docs.select(F.col("source").alias("save_path"), F.col("doc_id").cast("string").alias("path"),
+    lines = docs.select(F.concat("source", F.lit("@"), _release("doc_id")).alias("save_path"), F.col("doc_id").cast("string").alias("path"),
                         F.posexplode(F.split("text", "\n", -1)).alias("pos", "pattern"))
     return lines.select("save_path", "path", (F.col("pos") + 1).cast("int").alias("line"),
                         F.coalesce(F.try_element_at(identifiers("pattern"), F.lit(1)), F.lit("")).alias("name"),

@@ -145,7 +145,7 @@ FROM reach GROUP BY node
 _REQUESTS = """
   SELECT p_partkey AS request_id,
          'acme/' || lower(replace(p_brand, '#', '')) AS repo,
-         md5(p_brand) AS base_commit,
+         md5(p_brand || ':' || (p_partkey // 1000)::VARCHAR) AS base_commit,
          concat_ws(chr(10),
            '@@ -1,3 +1,4 @@ def ' || split_part(p_name, ' ', 1) || '(self):',
            '-    def ' || replace(p_name, ' ', '_') || '(a):',
@@ -303,8 +303,8 @@ _KW = (f"list_sort(list_filter(list_distinct(list_concat({_IDENTIFIERS}, {_TYPES
 _LINE_IDS = _IDENTIFIERS.replace("text", "pattern")
 
 _MATCH = f"""
-req AS (SELECT doc_id AS request_id, source AS save_path, text, {_KW} AS kw FROM documents),
-lines AS (SELECT source AS save_path, doc_id::VARCHAR AS path, string_split(text, chr(10)) AS ls FROM documents),
+req AS (SELECT doc_id AS request_id, source || '@' || (doc_id // 1000)::VARCHAR AS save_path, text, {_KW} AS kw FROM documents),
+lines AS (SELECT source || '@' || (doc_id // 1000)::VARCHAR AS save_path, doc_id::VARCHAR AS path, string_split(text, chr(10)) AS ls FROM documents),
 tags AS (SELECT save_path, path, line, ls[line] AS pattern
          FROM (SELECT save_path, path, ls, unnest(generate_series(1, len(ls))) AS line FROM lines)),
 tags2 AS (SELECT save_path, path, line::BIGINT AS line, coalesce(list_extract({_LINE_IDS}, 1), '') AS name, pattern
@@ -339,20 +339,9 @@ prompts AS (SELECT r.request_id,
 
 PROMPT_TABLE = f"WITH {_MATCH}, {_PROMPTS} SELECT request_id, prompt FROM prompts"
 
-REWRITE_QUERIES = f"""
-WITH {_MATCH}, {_PROMPTS}
-SELECT r.request_id,
-       CASE WHEN p.prompt IS NULL OR md5(p.prompt) LIKE 'f%' THEN NULL ELSE md5(p.prompt) END AS rewritten_query,
-       CASE WHEN p.prompt IS NULL THEN 0 WHEN md5(p.prompt) LIKE 'a%' THEN 2 ELSE 1 END::BIGINT AS attempts,
-       CASE WHEN p.prompt IS NULL THEN 'skipped' WHEN md5(p.prompt) LIKE 'f%' THEN 'http_503' ELSE 'ok' END
-         AS status
-FROM req r LEFT JOIN prompts p USING (request_id)
-"""
-
 ORACLE_SQL.update({
     "tag_context": TAG_CONTEXT,
     "prompt_table": PROMPT_TABLE,
-    "rewrite_queries": REWRITE_QUERIES,
 })
 
 
@@ -370,7 +359,7 @@ _MOD = '''
 EXTRACT_FUNCTIONS = f'''
 WITH m AS ({_MOD})
 SELECT repo, path, 'price_' || k AS func_name, 17::BIGINT AS lineno, 'python' AS language,
-       'def price_' || k || '(x):' || chr(10) || '    """Compute the retail price quickly."""' || chr(10)
+       chr(10) || chr(10) || 'def price_' || k || '(x):' || chr(10) || '    """Compute the retail price quickly."""' || chr(10)
          || '    # scale by the size' || chr(10) || '    return x * ' || s AS code,
        '"""Compute the retail price quickly."""' AS docstring
 FROM m WHERE p_size <= 25
@@ -476,25 +465,54 @@ ORACLE_SQL.update({
 })
 
 
-PAIR_POSITIVES = f"""
-WITH r AS (
-  SELECT request_id, string_split(repo, '/')[-1] || '_' || base_commit AS save_path,
+_PAIR_TABLES = f"""
+r AS (
+  SELECT request_id, problem_statement, string_split(repo, '/')[-1] || '_' || base_commit AS save_path,
          regexp_extract_all(patch, {_lit(_tx.PATCH_DEF_RE)}, 1) AS functions,
          regexp_extract_all(patch, {_lit(_tx.PATCH_CLASS_RE)}, 1) AS classes
   FROM ({_REQUESTS})),
 d AS (
-  SELECT lower(replace(p_brand, '#', '')) || '_' || md5(p_brand) AS save_path, 'function' AS kind,
-         replace(p_name, ' ', '_') AS name, '    return ' || p_partkey::VARCHAR AS body FROM part
+  SELECT *, row_number() OVER (PARTITION BY save_path ORDER BY file, start_line, kind, name) - 1 AS idx FROM (
+  SELECT lower(replace(p_brand, '#', '')) || '_' || md5(p_brand || ':' || (p_partkey // 1000)::VARCHAR) AS save_path,
+         'function' AS kind, replace(p_name, ' ', '_') AS name, '    return ' || p_partkey::VARCHAR AS body,
+         'mod' || p_size::VARCHAR || '.py' AS file, p_partkey AS start_line FROM part
+  UNION ALL
+  SELECT lower(replace(p_brand, '#', '')) || '_' || md5(p_brand || ':' || (p_partkey // 1000)::VARCHAR), 'class', p_type,
+         '    size = ' || p_size::VARCHAR, 'mod' || p_size::VARCHAR || '.py', p_partkey FROM part)),
+pos AS (
+  SELECT r.request_id, d.kind, d.save_path || '#' || d.name AS GitHubUrl, 1 AS Relevance, problem_statement, d.body
+  FROM r JOIN d USING (save_path)
+  WHERE (d.kind = 'function' AND list_contains(r.functions, d.name))
+     OR (d.kind = 'class' AND list_contains(r.classes, d.name)))
+"""
+
+_PAIR_COLUMNS = """request_id, kind, 'Python' AS Language, md5(problem_statement) AS query_md5, GitHubUrl, Relevance,
+       '' AS Notes, md5(body) AS code_md5"""
+
+PAIR_POSITIVES = f"WITH {_PAIR_TABLES} SELECT {_PAIR_COLUMNS} FROM pos"
+
+# Negatives: every request skips through its snapshot's definitions by gaps
+# ln(u) / ln(1 - p), which is a coin of chance p for each definition.
+BUILD_PAIRS = f"""
+WITH RECURSIVE {_PAIR_TABLES},
+sizes AS (SELECT save_path, count(*) AS n FROM d GROUP BY save_path),
+walk(request_id, save_path, n, j, idx) AS (
+  SELECT request_id, save_path, n, 0, floor(ln((('0x' || substr(md5('7:' || request_id::VARCHAR || ':0'), 1, 13))::BIGINT + 1)
+         / 4503599627370496.0::DOUBLE) / ln(0.9::DOUBLE))::BIGINT
+  FROM r JOIN sizes USING (save_path) WHERE len(functions) > 0 OR len(classes) > 0
   UNION ALL
-  SELECT lower(replace(p_brand, '#', '')) || '_' || md5(p_brand), 'class', p_type,
-         '    size = ' || p_size::VARCHAR FROM part)
-SELECT r.request_id, d.kind, d.save_path || '#' || d.name AS GitHubUrl, 1 AS Relevance, md5(d.body) AS code_md5
-FROM r JOIN d USING (save_path)
-WHERE (d.kind = 'function' AND list_contains(r.functions, d.name))
-   OR (d.kind = 'class' AND list_contains(r.classes, d.name))
+  SELECT request_id, save_path, n, j + 1, idx + 1 + floor(ln((('0x' || substr(md5('7:' || request_id::VARCHAR || ':'
+         || (j + 1)::VARCHAR), 1, 13))::BIGINT + 1) / 4503599627370496.0::DOUBLE) / ln(0.9::DOUBLE))::BIGINT
+  FROM walk WHERE idx < n),
+neg AS (
+  SELECT r.request_id, d.kind, d.save_path || '#' || d.name AS GitHubUrl, 0 AS Relevance, problem_statement, d.body
+  FROM walk JOIN r ON r.request_id = walk.request_id JOIN d ON d.save_path = walk.save_path AND d.idx = walk.idx
+  WHERE NOT (d.kind = 'function' AND list_contains(r.functions, d.name))
+    AND NOT (d.kind = 'class' AND list_contains(r.classes, d.name)))
+SELECT {_PAIR_COLUMNS} FROM (SELECT * FROM pos UNION ALL SELECT * FROM neg)
 """
 
-ORACLE_SQL.update({"pair_positives": PAIR_POSITIVES})
+ORACLE_SQL.update({"pair_positives": PAIR_POSITIVES, "build_pairs": BUILD_PAIRS})
 
 
 STREAM_CORPUS = f"""
@@ -520,7 +538,7 @@ SELECT * FROM ({EXTRACT_DEFINITIONS}) WHERE NOT (kind = 'function' AND (name LIK
 EXTRACTION_SUMMARY = f"""
 WITH m AS ({_MOD})
 SELECT repo, count(*) AS n_blobs, (count(*) + count(*) FILTER (WHERE p_size <= 25))::BIGINT AS n_functions
-FROM m GROUP BY repo
+FROM m GROUP BY ROLLUP (repo)
 """
 
 ORACLE_SQL.update({
@@ -585,3 +603,18 @@ FROM ({COVERAGE}) JOIN ({NDCG_ANNOTATED}) USING (language) JOIN ({NDCG_FULL}) US
 
 ORACLE_SQL.update({"encode_hash": ENCODE_HASH, "knn_text": KNN_TEXT, "knn_deep": KNN_DEEP, "topk_truth": TOPK_TRUTH,
                    "relevance_report": RELEVANCE_REPORT})
+
+BATCH_CORPUS = STREAM_CORPUS
+
+LABELS_BY_COUNT = f"""
+SELECT request_id, n_functions + n_classes AS n_total,
+       row_number() OVER (ORDER BY n_functions + n_classes DESC, request_id) - 1 AS place
+FROM ({_PARSED})
+"""
+
+IO_BROKEN_LINES = """
+SELECT source, count(*) AS n_good FROM documents GROUP BY source
+UNION ALL SELECT 'broken lines', count(*) FROM documents
+"""
+
+ORACLE_SQL.update({"batch_corpus": BATCH_CORPUS, "labels_by_count": LABELS_BY_COUNT, "io_broken_lines": IO_BROKEN_LINES})

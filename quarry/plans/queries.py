@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from quarry.operators import evaluate as ev
 from quarry.operators import retrieve as rt
-from quarry.session import read_table, spread
+from quarry.session import read_table, spread, stored
 
 TOPK = 5
 
@@ -314,22 +314,9 @@ def prompt_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mt.build_prompts(req, matched)
 
 
-def rewrite_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Prompts sent to a deterministic local client (md5 answer,
-    injected transport errors and 503s). Requests without keywords are not
-    sent. No back-off delay: the client is a local function."""
-    req, matched = _matched(spark, sf_dir)
-    prompts = mt.build_prompts(req, matched)
-    out = mt.rewrite_queries(prompts, mt.md5_client_factory, retries=3, delay=0.0)
-    return req.select("request_id").join(out, "request_id", "left").select(
-        "request_id", "rewritten_query", F.coalesce("attempts", F.lit(0)).cast("long").alias("attempts"),
-        F.coalesce("status", F.lit("skipped")).alias("status"))
-
-
 QUERIES.update({
     "tag_context": tag_context,
     "prompt_table": prompt_table,
-    "rewrite_queries": rewrite_queries,
 })
 
 
@@ -495,17 +482,19 @@ def _pairs(spark, sf_dir, p):
     return pr.build_pairs(req, defs, p=p, seed=PAIR_SEED)
 
 
+def _pair_columns(pairs):
+    return pairs.select("request_id", "kind", "Language", F.md5("Query").alias("query_md5"), "GitHubUrl", "Relevance",
+                        "Notes", F.md5("Code").alias("code_md5"))
+
+
 def build_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Positives plus negatives kept with probability 0.1
-    (drawn per request from a seeded generator, so no SQL twin)."""
-    return _pairs(spark, sf_dir, 0.1).select(
-        "request_id", "kind", "GitHubUrl", "Relevance", F.md5("Code").alias("code_md5"))
+    """Positives plus negatives kept with probability 0.1."""
+    return _pair_columns(_pairs(spark, sf_dir, 0.1))
 
 
 def pair_positives(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The positive pairs alone (p = 0), checked exactly."""
-    return _pairs(spark, sf_dir, 0.0).select(
-        "request_id", "kind", "GitHubUrl", "Relevance", F.md5("Code").alias("code_md5"))
+    """The positive pairs alone (p = 0)."""
+    return _pair_columns(_pairs(spark, sf_dir, 0.0))
 
 
 def encode_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -556,12 +545,6 @@ def relevance_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.evaluate_relevance(fx.annotations(spark, sf_dir), fx.predictions(spark, sf_dir), max_urls=MAX_URLS, digits=6)
 
 
-def sources_by_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sources ordered by their number of documents."""
-    counts = st.count_by(_documents(spark, sf_dir), "source")
-    return st.order_by_counts(counts, "source")
-
-
 QUERIES.update({"topk_truth": topk_truth, "relevance_report": relevance_report})
 
 
@@ -576,6 +559,7 @@ QUERIES.update({
 # ---------------------------------------------------------------------------
 # Streaming corpus build (S1, X1, D1, T1-T3, N3, S11 as one stream)
 
+from quarry.plans import corpus as bc  # noqa: E402
 from quarry.streaming import corpus as cs  # noqa: E402
 
 
@@ -609,16 +593,49 @@ def extract_definitions_no_methods(spark: SparkSession, sf_dir: str) -> DataFram
 
 
 def extraction_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Blobs parsed and functions kept, per repository and overall."""
+    """Blobs parsed and functions kept, per repository and (repo null) overall."""
     src = fx.python_sources(spark, sf_dir)
     per_blob = (xt.extract_functions(src).groupBy("repo", "path").agg(F.count(F.lit(1)).alias("n_functions")))
     blobs = src.select("repo", "path").join(per_blob, ["repo", "path"], "left")
-    return (blobs.groupBy("repo")
+    return (blobs.rollup("repo")
             .agg(F.count(F.lit(1)).alias("n_blobs"),
                  F.coalesce(F.sum("n_functions"), F.lit(0)).cast("long").alias("n_functions")))
 
 
+def batch_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corpus build in one batch, near duplicates included."""
+    out = bc.build_corpus(fx.python_sources(spark, sf_dir), min_tokens=1)
+    return out.select("repo", "path", "func_name", F.col("lineno").cast("long").alias("lineno"), "partition", "hash_val",
+                      F.size("code_tokens").cast("long").alias("n_code_tokens"),
+                      F.size("docstring_tokens").cast("long").alias("n_docstring_tokens"))
+
+
+def labels_by_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests in the order of their label counts, ties by id, with their place."""
+    counted = _parsed_labels(spark, sf_dir).select("request_id", "n_total")
+    ordered = st.order_by_counts(counted, "n_total", ["request_id"])
+    return sp.with_row_index(ordered, [F.col("n_total").desc(), "request_id"], "place").select(
+        "request_id", F.col("n_total").cast("long").alias("n_total"), "place")
+
+
+def io_broken_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S3: a JSON-lines folder in which every document's line is followed by
+    a cut copy of it; good rows and the count of broken lines come back."""
+    root = scratch_dir(spark, "io-broken")
+    docs = _documents(spark, sf_dir).select("doc_id", "source")
+    line = F.to_json(F.struct("doc_id", "source"))
+    lines = docs.select(F.explode(F.array(line, F.expr("left(to_json(struct(doc_id, source)), 9)"))).alias("value"))
+    lines.write.text(f"{root}/lines")
+    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("source", T.StringType())])
+    good, broken = sio.read_jsonl_reporting(spark, f"{root}/lines", schema)
+    return good.groupBy("source").agg(F.count("*").alias("n_good")).unionByName(
+        broken.agg(F.lit("broken lines").alias("source"), F.count("*").alias("n_good")))
+
+
 QUERIES.update({
+    "batch_corpus": batch_corpus,
+    "labels_by_count": labels_by_count,
+    "io_broken_lines": io_broken_lines,
     "extract_definitions_no_methods": extract_definitions_no_methods,
     "extraction_summary": extraction_summary,
 })

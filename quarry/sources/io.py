@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarry.functions.text import split_repo_path
+from quarry.session import stored
 
 BLOB_CSV_SCHEMA = T.StructType([T.StructField("repo_path", T.StringType()),
                                 T.StructField("content", T.StringType())])
@@ -61,8 +62,11 @@ DEFINITION_RECORD_SCHEMA = T.StructType([
 CSV_OPTIONS = {
     "header": "true", "multiLine": "true", "quote": '"', "escape": '"',
     "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false",
-    "nullValue": "", "emptyValue": "",
+    "nullValue": "\\N", "emptyValue": "",
 }
+# Written, an empty text is a pair of quotes and a null is \\N, so each comes
+# back as it was; an empty field without quotes is read as null.
+CSV_WRITE_OPTIONS = {**CSV_OPTIONS, "emptyValue": '""'}
 
 
 def _paths(path) -> list[str]:
@@ -95,7 +99,7 @@ def read_jsonl_reporting(spark: SparkSession, path, schema: T.StructType):
     s = T.StructType(schema.fields + [T.StructField("_corrupt_record", T.StringType())])
     df = (spark.read.schema(s).option("mode", "PERMISSIVE")
           .option("columnNameOfCorruptRecord", "_corrupt_record").json(_paths(path)))
-    df = df.persist()
+    df = stored(df, "json-lines")
     good = df.where(F.col("_corrupt_record").isNull()).drop("_corrupt_record")
     bad = df.where(F.col("_corrupt_record").isNotNull()).select("_corrupt_record")
     return good, bad
@@ -197,7 +201,7 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", *, mode: str = "
         out = out.coalesce(1)
     w = out.write.mode(mode)
     if fmt == "csv":
-        w.options(**CSV_OPTIONS).csv(path)
+        w.options(**CSV_WRITE_OPTIONS).csv(path)
     elif fmt == "json":
         w.json(path)
     else:

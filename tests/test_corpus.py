@@ -29,13 +29,3 @@ def test_build_corpus(spark):
     assert built[0]["docstring_tokens"][:3] == ["Combine", "the", "two"]
     summary = st.order_by_counts(corpus.corpus_summary(corpus.build_corpus(blobs)), "count", ["partition"])
     assert summary.first()["count"] == 1
-
-
-def test_hashing_encoder_mean_pools_with_padding():
-    import numpy as np
-
-    enc = rt.hashing_encoder(dim=8, max_tokens=4)
-    one_a, one_b = enc(["a"])[0] * 4, enc(["b"])[0] * 4
-    assert np.abs(one_a).sum() == 1 and np.abs(one_b).sum() == 1  # one signed one-hot per token
-    assert np.allclose(enc(["a b"])[0], (one_a + one_b) / 4)      # mean over 4 padded positions
-    assert np.allclose(enc(["a b a b a b"])[0], enc(["a b a b"])[0])  # truncated at max_tokens

@@ -10,7 +10,10 @@ def test_entry_runs(spark):
 
 
 def test_oracles_cover_queries():
+    from quarry.plans.oracle import ORACLE_SQL
+    from quarry.plans.queries import QUERIES
+
     q, o = entry.queries(), entry.oracle_sql()
-    assert set(o) <= set(q)
-    assert set(q) - set(o) == {"build_pairs", "encode_hash", "knn_text"}
-    assert len(q) >= 41
+    assert set(o) <= set(q) and set(QUERIES) <= set(q)
+    assert set(QUERIES) == set(ORACLE_SQL)
+    assert len(QUERIES) >= 43

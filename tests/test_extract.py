@@ -47,6 +47,16 @@ def test_extract_functions(spark):
     assert got["method"]["docstring"] == '"""Return the value twice."""'
 
 
+def test_lines_above_a_function_are_its_code(spark):
+    src = ("import os\n\n# first\n\n# second\ndef two(a):\n    return 1\n\nclass A:\n    # kept\n\n    def method(self):\n"
+           "        return 2\n\n@deco\n# below the decorator\ndef three(a):\n    return 3\n")
+    df = spark.createDataFrame([("r", "p.py", src)], "repo string, path string, content string")
+    got = {r["func_name"]: r["code"] for r in xt.extract_functions(df, require_docstring=False).collect()}
+    assert got["two"] == "\n# first\n\n# second\ndef two(a):\n    return 1"
+    assert got["method"] == "# kept\ndef method(self):\n    return 2"
+    assert got["three"] == "# below the decorator\ndef three(a):\n    return 3"
+
+
 def test_extract_definitions(spark):
     df = spark.createDataFrame([("p.py", SRC)], "file string, content string")
     rows = [(r["kind"], r["name"]) for r in xt.extract_definitions(df).orderBy("start_line", "kind").collect()]
@@ -62,11 +72,24 @@ def test_extract_definitions(spark):
     assert xt.extract_definitions(err, with_errors=True).first()["error"].startswith("SyntaxError")
 
 
+def test_code_tokens_column(spark):
+    code = 'def f(a, b=1):\n    """Doc string."""\n    # add them up\n    return a + b  # done\n'
+    df = spark.createDataFrame([(code,), (None,), ("def (",)], "code string").select(
+        xt.code_tokens("code").alias("t"), xt.code_tokens("code", only_ids=True).alias("ids"),
+        xt.code_tokens("code", add_keywords=False).alias("plain"), xt.code_tokens("code", func_only=False).alias("whole"))
+    rows = df.collect()
+    assert rows[0]["t"]["comment_tokens"] == ["add", "them", "up", "done"]
+    assert rows[0]["ids"]["code_tokens"] == ["f", "a", "b", "a", "b"]
+    assert "return" not in rows[0]["plain"]["code_tokens"] and "+" in rows[0]["plain"]["code_tokens"]
+    assert '"""Doc string."""' in rows[0]["whole"]["code_tokens"]
+    assert rows[1]["t"]["code_tokens"] == rows[2]["t"]["code_tokens"] == []
+
+
 def test_code_tokens():
     code = 'def f(a, b=1):\n    """Doc string."""\n    # add them up\n    return a + b  # done\n'
     toks, comments = xt.tokenize_code(code)
     assert toks == ["def", "f", "(", "a", ",", "b", "=", "1", ")", ":", "return", "a", "+", "b"]
-    assert comments == ["add", "them", "up", "done"]
+    assert comments == ["# add them up", "# done"]
     assert xt.tokenize_code(code, only_ids=True)[0] == ["f", "a", "b", "a", "b"]
     assert xt.tokenize_code(code, add_keywords=False)[0][:2] == ["f", "("]
     assert xt.tokenize_code("x = (") == ([], [])

@@ -10,12 +10,12 @@ from quarry.sources import io as sio
 
 def test_blob_csv_roundtrip(spark):
     root = tempfile.mkdtemp()
-    texts = ['  lead and trail  ', 'quote " inside, comma', 'multi\nline\r\nx', "", "é ü 中"]
+    texts = ['  lead and trail  ', 'quote " inside, comma', 'multi\nline\r\nx', "", "é ü 中", None]
     df = spark.createDataFrame([(f"org/r{i} path/{i}.py", t) for i, t in enumerate(texts)],
                                "repo_path string, content string")
     sio.write_table(df, f"{root}/a", "csv")
     back = {r["path"]: r["content"] for r in sio.read_blobs(spark, f"{root}/a").collect()}
-    assert [back[f"path/{i}.py"] or "" for i in range(len(texts))] == texts
+    assert [back[f"path/{i}.py"] for i in range(len(texts))] == texts
 
 
 def test_jsonl_malformed_dropped_and_reported(spark):

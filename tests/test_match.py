@@ -62,3 +62,12 @@ def test_rewrite_retries_and_failures(spark):
            for r in mt.rewrite_queries(df, factory, retries=3, delay=0.0).collect()}
     assert got == {1: ("OK", 1, "ok"), 2: ("FLAKY", 3, "ok"), 3: (None, 3, "failed"), 4: (None, 1, "http_500")}
     assert calls["n"] == 0
+
+
+def test_short_keywords_are_refused(spark):
+    import pytest
+
+    req = spark.createDataFrame([(1, "s", ["ab", "abc"])], "request_id long, save_path string, keywords array<string>")
+    tags = spark.createDataFrame([("s", "p", 1, "n", "abc ab")], "save_path string, path string, line int, name string, pattern string")
+    with pytest.raises(Exception, match="fewer than three"):
+        mt.match_tags(req, tags, min_hits=1).collect()

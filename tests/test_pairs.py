@@ -47,6 +47,12 @@ def test_group_index_is_dense_and_ordered(spark):
     assert [(r["g"], r["v"]) for r in by_pos] == sorted(rows)
 
 
+def test_a_null_group_has_an_index(spark):
+    df = spark.createDataFrame([(None, 1), (None, 2), ("a", 1)], "g string, v long")
+    got = sorted((str(r["g"]), r["v"], r["idx"]) for r in sp.with_group_index(df, ["g"], ["v"]).collect())
+    assert got == [("None", 1, 0), ("None", 2, 1), ("a", 1, 0)]
+
+
 def test_sample_negatives_repeatable(spark):
     df = spark.range(2000).withColumn("k", F.col("id"))
     a = {r["id"] for r in sp.sample_negatives(df, 0.1, "42", "k").collect()}
