@@ -58,7 +58,8 @@ def labelled_rows(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_
             .groupBy("doc_id").agg(F.max("toxic").alias("toxic")))
     total = kept.count()
     kept = kept.filter(share(["doc_id"], 5) * max(total, 1) < sample_docs)
-    rows = docs.select("doc_id", "text").filter(F.col("text").isNotNull()).join(kept, "doc_id")
+    # About sample_docs ids, by construction: broadcast, so that no other text is shuffled.
+    rows = docs.select("doc_id", "text").filter(F.col("text").isNotNull()).join(F.broadcast(kept), "doc_id")
     # Copies of one text are one observation.
     return rows.groupBy(F.xxhash64("text").alias("h"), F.length("text").alias("n")).agg(
         F.first("text").alias("text"), F.max("toxic").alias("toxic")).select("text", "toxic")

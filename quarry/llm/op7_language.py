@@ -10,8 +10,9 @@ bytes; the shortest one is predicted. Costs depend on the last ``ORDER`` + 1
 bytes only, so those of all strings in the sample are tabulated once and
 looked up by hash, the others are computed by escaping.
 
-The fit is the only bounded part: about ``SAMPLE_DOCS`` documents per
-language drawn by a hash of the id, whole texts. Every row is scored whole,
+The fit is the only bounded part: about ``SAMPLE_DOCS`` documents of each of
+the ``MAX_LANGUAGES`` most frequent labels, drawn by a hash of the id, whole
+texts. Every row is scored whole,
 where it is read, without a shuffle. The tables that are broadcast grow with
 the sample, not with the corpus.
 
@@ -34,6 +35,7 @@ from quarry.llm.common import documents, map_rows, share
 
 ORDER = 3
 SAMPLE_DOCS = 400      # labelled documents per language that the fit reads, about
+MAX_LANGUAGES = 1000   # labels that are learned, the most frequent ones
 MIN_SCORE = 0.5        # below it a document is rejected as of no sure language
 SLICE = 1 << 20        # bytes scored at a time
 PAD = b"\n" * ORDER    # context of a text's first bytes
@@ -55,8 +57,9 @@ def training_rows(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
     """text, lang of the rows the fit may read: labelled, not held out, sampled by id hash."""
     rows = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()
                        & (F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) != 2))
-    sizes = rows.groupBy("lang").count()
-    return (rows.select("doc_id", "text", "lang").join(sizes, "lang")
+    sizes = rows.groupBy("lang").count().orderBy(F.col("count").desc(), "lang").limit(MAX_LANGUAGES)
+    # At most MAX_LANGUAGES rows: broadcast, so that no text is shuffled by language.
+    return (rows.select("doc_id", "text", "lang").join(F.broadcast(sizes), "lang")
             .filter(share(["doc_id"], 7) * F.col("count") < sample_docs).select("lang", "text"))
 
 
