@@ -18,8 +18,10 @@ from quarry.session import stored
 
 
 def _star(pairs: DataFrame) -> DataFrame:
-    """pairs(u, v) with the smallest of u and its v as ``m``."""
-    least = pairs.groupBy("u").agg(F.min("v").alias("m"))
+    """pairs(u, v) with the smallest of u and its v as ``m``. The minimums are
+    stored: read back, they are broadcast if small, and else joined on plain
+    shuffles, which Spark splits where one node has many pairs."""
+    least = stored(pairs.groupBy("u").agg(F.min("v").alias("m")), "component-minimums")
     return pairs.join(least, "u").withColumn("m", F.least("u", "m"))
 
 
