@@ -54,27 +54,50 @@ ORACLE_SQL = {
 
 
 # ---------------------------------------------------------------------------
-# Regexes shared with the Spark expressions, as SQL literals. RE2's `.`
-# already stops at `\n`, so the JVM-only `(?d)` flag is dropped.
-
-from quarry.functions import text as _tx  # noqa: E402
+# Fixed values, spelled once more in RE2's dialect (`.` stops at `\\n`), so
+# that a wrong constant in the package is not wrong on both sides.
+
+_WS = r"\t\n\x0b\x0c\r\x1c-\x1f \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+_IDENT = "[a-zA-Z_][a-zA-Z_0-9]*"
+_WORD_RUN = r"[\p{L}\p{N}_]+"
+_TYPE_PHRASE = rf"(?:^|[^\p{{L}}\p{{N}}_])({_IDENT}[{_WS}]*:[{_WS}]*[\p{{L}}\p{{N}}_]+)"
+_DOC_TOKEN = (r"[^" + _WS + r",'\"`.():\[\]=*;>{\}+-/\\]+|\\+|\.+|\(\)|\{\}|\[\]|\(+|\)+|:+|\[+|\]+"
+              r"|\{+|\}+|=+|\*+|;+|>+|\++|-+|/+")
+_PATCH_DEF = rf"[{_WS}]*def[{_WS}]+({_IDENT})[{_WS}]*\(.*\):"
+_PATCH_CLASS = rf"[{_WS}]*class[{_WS}]+({_IDENT})[{_WS}]*\(.*\):"
+_STOP_WORDS = """
+a about above after again against all am an and any are as at be because been before
+being below between both but by can did do does doing down during each few for from
+further had has have having he her here hers herself him himself his how i if in into
+is it its itself just me more most my myself no nor not now of off on once only or
+other our ours ourselves out over own same she should so some such than that the
+their theirs them themselves then there these they this those through to too under
+until up very was we were what when where which while who whom why will with you your
+yours yourself yourselves
+""".split()
+_PROMPT = (
+    "### Task\n"
+    "Rewrite the issue below into a search query that retrieves the functions "
+    "a fix will touch. Use the tag context when it helps.\n\n"
+    "### Issue\n{issue}\n\n"
+    "### Tag context\n{context}\n\n"
+    "Return only the rewritten query.\n"
+)
 
 
 def _lit(pattern: str) -> str:
-    return "'" + pattern.replace("(?d)", "").replace("'", "''") + "'"
+    return "'" + pattern.replace("'", "''") + "'"
 
 
-_IDENT = _tx.IDENT
-_WS = _tx.WS
-_STOPS = "[" + ", ".join("'" + w + "'" for w in _tx.STOP_WORDS) + "]"
-_IDENTIFIERS = (f"list_filter(regexp_extract_all(text, {_lit(_tx.WORD_RUN_RE)}), "
+_STOPS = "[" + ", ".join("'" + w + "'" for w in _STOP_WORDS) + "]"
+_IDENTIFIERS = (f"list_filter(regexp_extract_all(text, {_lit(_WORD_RUN)}), "
                 f"lambda w: regexp_full_match(w, {_lit(_IDENT)}))")
-_TYPES = (f"list_filter(regexp_extract_all(text, {_lit(_tx.TYPE_PHRASE_RE)}, 1), "
+_TYPES = (f"list_filter(regexp_extract_all(text, {_lit(_TYPE_PHRASE)}, 1), "
           f"lambda w: regexp_full_match(w, {_lit(_IDENT + '[' + _WS + ']*:[' + _WS + ']*' + _IDENT)}))")
 
 DOCSTRING_TOKENS = f"""
 SELECT doc_id, len(t) AS n_tokens, md5(array_to_string(t, ' ')) AS tokens_md5
-FROM (SELECT doc_id, regexp_extract_all(text, {_lit(_tx.DOCSTRING_TOKEN_RE)}) AS t FROM documents)
+FROM (SELECT doc_id, regexp_extract_all(text, {_lit(_DOC_TOKEN)}) AS t FROM documents)
 """
 
 KEYWORDS = f"""
@@ -163,8 +186,8 @@ _REQUESTS = """
 
 PATCH_LABELS = f"""
 SELECT request_id, string_split(repo, '/')[-1] || '_' || base_commit AS save_path,
-       array_to_string(regexp_extract_all(patch, {_lit(_tx.PATCH_DEF_RE)}, 1), ',') AS functions,
-       array_to_string(regexp_extract_all(patch, {_lit(_tx.PATCH_CLASS_RE)}, 1), ',') AS classes
+       array_to_string(regexp_extract_all(patch, {_lit(_PATCH_DEF)}, 1), ',') AS functions,
+       array_to_string(regexp_extract_all(patch, {_lit(_PATCH_CLASS)}, 1), ',') AS classes
 FROM ({_REQUESTS})
 """
 
@@ -296,8 +319,6 @@ ORACLE_SQL.update({
 # Keyword context, prompts, rewriting: brute force over every
 # (issue, tag line) pair of a snapshot.
 
-from quarry.operators import match as _mt  # noqa: E402
-
 _KW = (f"list_sort(list_filter(list_distinct(list_concat({_IDENTIFIERS}, {_TYPES})), "
        f"lambda w: length(w) >= 3 AND NOT list_contains({_STOPS}, lower(w))))")
 _LINE_IDS = _IDENTIFIERS.replace("text", "pattern")
@@ -319,7 +340,7 @@ top AS (SELECT * FROM (
 
 TAG_CONTEXT = f"WITH {_MATCH} SELECT request_id, rank, path, line, hits FROM top"
 
-_before, _rest = _mt.DEFAULT_TEMPLATE.split("{issue}", 1)
+_before, _rest = _PROMPT.split("{issue}", 1)
 _middle, _after = _rest.split("{context}", 1)
 
 
@@ -450,8 +471,8 @@ IO_ANNOTATIONS = f"SELECT language, coverage_all FROM ({COVERAGE})"
 IO_REQUESTS = f"""
 WITH r AS ({_REQUESTS})
 SELECT string_split(repo, '/')[-1] || '_' || base_commit AS save_path, md5(patch) AS patch_md5,
-       array_to_string(regexp_extract_all(patch, {_lit(_tx.PATCH_DEF_RE)}, 1), ',') AS functions,
-       array_to_string(regexp_extract_all(patch, {_lit(_tx.PATCH_CLASS_RE)}, 1), ',') AS classes
+       array_to_string(regexp_extract_all(patch, {_lit(_PATCH_DEF)}, 1), ',') AS functions,
+       array_to_string(regexp_extract_all(patch, {_lit(_PATCH_CLASS)}, 1), ',') AS classes
 FROM r
 """
 
@@ -468,8 +489,8 @@ ORACLE_SQL.update({
 _PAIR_TABLES = f"""
 r AS (
   SELECT request_id, problem_statement, string_split(repo, '/')[-1] || '_' || base_commit AS save_path,
-         regexp_extract_all(patch, {_lit(_tx.PATCH_DEF_RE)}, 1) AS functions,
-         regexp_extract_all(patch, {_lit(_tx.PATCH_CLASS_RE)}, 1) AS classes
+         regexp_extract_all(patch, {_lit(_PATCH_DEF)}, 1) AS functions,
+         regexp_extract_all(patch, {_lit(_PATCH_CLASS)}, 1) AS classes
   FROM ({_REQUESTS})),
 d AS (
   SELECT *, row_number() OVER (PARTITION BY save_path ORDER BY file, start_line, kind, name) - 1 AS idx FROM (
