@@ -143,7 +143,10 @@ def python_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One Python module per ``part`` row (repo = brand): a class with a
     documented method and a test method, a documented function (short
     docstring for sizes above 25) and an undocumented one. PROMO parts
-    live under ``tests/``."""
+    live under ``tests/``; SMALL ones decorate the function, STANDARD ones
+    have a comment above it, MEDIUM ones hold letters outside ASCII, LARGE
+    ones indent with tabs, ECONOMY ones end lines with CR LF, and sizes above
+    45 do not parse."""
     part = read_table(spark, sf_dir, "part")
     k, s = _s("p_partkey"), _s("p_size")
     doc = F.when(F.col("p_size") > 25, F.lit('    """Price."""')).otherwise(
@@ -152,7 +155,8 @@ def python_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
         "\n",
         F.lit("import os"), F.lit(""), F.lit(""),
         F.concat(F.lit("class "), F.col("p_type"), F.lit("Widget"), k, F.lit("(Base):")),
-        F.concat(F.lit('    """Holds '), F.col("p_name"), F.lit(' parts."""')),
+        F.concat(F.lit('    """Holds '), F.col("p_name"),
+                 F.when(F.col("p_type") == "MEDIUM", F.lit(" größere — 部品")).otherwise(F.lit("")), F.lit(' parts."""')),
         F.lit(""),
         F.concat(F.lit("    def size_"), k, F.lit("(self):")),
         F.lit('        """Return the size of the part."""'),
@@ -163,6 +167,8 @@ def python_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit('        """A test method that is skipped."""'),
         F.lit("        return None"),
         F.lit(""), F.lit(""),
+        # concat_ws leaves nulls out: only these two kinds have a line above.
+        F.when(F.col("p_type") == "SMALL", F.lit("@cached")).when(F.col("p_type") == "STANDARD", F.lit("# priced by size")),
         F.concat(F.lit("def price_"), k, F.lit("(x):")),
         doc,
         F.lit("    # scale by the size"),
@@ -170,8 +176,11 @@ def python_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(""), F.lit(""),
         F.concat(F.lit("def tiny_"), k, F.lit("():")),
         F.lit("    return 1"),
+        F.when(F.col("p_size") > 45, F.lit("def broken_(:")),
         F.lit(""),
     )
+    content = F.when(F.col("p_type") == "LARGE", F.replace(content, F.lit("    "), F.lit("\t"))) \
+        .when(F.col("p_type") == "ECONOMY", F.replace(content, F.lit("\n"), F.lit("\r\n"))).otherwise(content)
     path = F.when(F.col("p_type") == "PROMO", F.concat(F.lit("tests/test_mod_"), k, F.lit(".py"))) \
         .otherwise(F.concat(F.lit("pkg/mod_"), k, F.lit(".py")))
     return part.select(F.concat(F.lit("acme/"), F.lower(F.regexp_replace("p_brand", "#", ""))).alias("repo"),

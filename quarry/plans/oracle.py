@@ -371,66 +371,79 @@ ORACLE_SQL.update({
 
 _MOD = '''
   SELECT p_partkey::VARCHAR AS k, p_size::VARCHAR AS s, p_size, p_type, p_name,
+         (p_type IN ('SMALL', 'STANDARD'))::BIGINT AS x, (p_type = 'SMALL')::BIGINT AS deco,
          'acme/' || lower(replace(p_brand, '#', '')) AS repo,
          CASE WHEN p_type = 'PROMO' THEN 'tests/test_mod_' || p_partkey::VARCHAR || '.py'
               ELSE 'pkg/mod_' || p_partkey::VARCHAR || '.py' END AS path
   FROM part
 '''
 
+
+def _tabs(sql: str) -> str:
+    return f"CASE WHEN p_type = 'LARGE' THEN replace({sql}, '    ', chr(9)) ELSE {sql} END"
+
+
+def _raw(sql: str) -> str:
+    return (f"CASE WHEN p_type = 'LARGE' THEN replace({sql}, '    ', chr(9)) "
+            f"WHEN p_type = 'ECONOMY' THEN replace({sql}, chr(10), chr(13) || chr(10)) ELSE {sql} END")
+
+
+_Q = '"""'
+_ABOVE = ("CASE p_type WHEN 'SMALL' THEN '' WHEN 'STANDARD' THEN chr(10) || chr(10) || '# priced by size' || chr(10) "
+          "ELSE chr(10) || chr(10) END")
+_PRICE_CODE = _tabs(_ABOVE + " || 'def price_' || k || '(x):' || chr(10) || '    " + _Q + "Compute the retail price quickly." + _Q + "' "
+                    "|| chr(10) || '    # scale by the size' || chr(10) || '    return x * ' || s")
+_SIZE_CODE = _tabs("'def size_' || k || '(self):' || chr(10) || '    " + _Q + "Return the size of the part." + _Q + "' || chr(10) "
+                   "|| '    total = ' || s || chr(10) || '    return total'")
+
 EXTRACT_FUNCTIONS = f'''
-WITH m AS ({_MOD})
-SELECT repo, path, 'price_' || k AS func_name, 17::BIGINT AS lineno, 'python' AS language,
-       chr(10) || chr(10) || 'def price_' || k || '(x):' || chr(10) || '    """Compute the retail price quickly."""' || chr(10)
-         || '    # scale by the size' || chr(10) || '    return x * ' || s AS code,
-       '"""Compute the retail price quickly."""' AS docstring
+WITH m AS ({_MOD} WHERE p_size <= 45)
+SELECT repo, path, 'price_' || k AS func_name, 17 + x AS lineno, 'python' AS language,
+       {_PRICE_CODE} AS code, '"""Compute the retail price quickly."""' AS docstring
 FROM m WHERE p_size <= 25
 UNION ALL
-SELECT repo, path, 'size_' || k, 7::BIGINT, 'python',
-       'def size_' || k || '(self):' || chr(10) || '    """Return the size of the part."""' || chr(10)
-         || '    total = ' || s || chr(10) || '    return total',
-       '"""Return the size of the part."""'
+SELECT repo, path, 'size_' || k, 7::BIGINT, 'python', {_SIZE_CODE}, '"""Return the size of the part."""'
 FROM m
 '''
 
-_DOC_PRICE = ("CASE WHEN p_size > 25 THEN '" + '"""Price."""' + "' ELSE '"
-              + '"""Compute the retail price quickly."""' + "' END")
+_DOC_PRICE = ("CASE WHEN p_size > 25 THEN '" + _Q + "Price." + _Q + "' ELSE '" + _Q
+              + "Compute the retail price quickly." + _Q + "' END")
+_CLASS_BODY = _raw("'" + _Q + "Holds ' || p_name || CASE WHEN p_type = 'MEDIUM' THEN ' größere — 部品' ELSE '' END || ' parts." + _Q + "' "
+                   "|| chr(10) || chr(10) || '    def size_' || k || '(self):' || chr(10) "
+                   "|| '        " + _Q + "Return the size of the part." + _Q + "' || chr(10) || '        total = ' || s || chr(10) "
+                   "|| '        return total' || chr(10) || chr(10) || '    def test_' || k || '(self):' || chr(10) "
+                   "|| '        " + _Q + "A test method that is skipped." + _Q + "' || chr(10) || '        return None'")
+_SIZE_BODY = _raw("'" + _Q + "Return the size of the part." + _Q + "' || chr(10) || '        total = ' || s || chr(10) || '        return total'")
+_TEST_BODY = _raw("'" + _Q + "A test method that is skipped." + _Q + "' || chr(10) || '        return None'")
+_PRICE_BODY = _raw(f"{_DOC_PRICE} || chr(10) || '    # scale by the size' || chr(10) || '    return x * ' || s")
 
 EXTRACT_DEFINITIONS = f'''
-WITH m AS ({_MOD})
+WITH m AS ({_MOD} WHERE p_size <= 45)
 SELECT path, 'class' AS kind, p_type || 'Widget' || k AS name, 4::BIGINT AS start_line, 14::BIGINT AS end_line,
-       '"""Holds ' || p_name || ' parts."""' || chr(10) || chr(10) || '    def size_' || k || '(self):' || chr(10)
-       || '        """Return the size of the part."""' || chr(10) || '        total = ' || s || chr(10)
-       || '        return total' || chr(10) || chr(10) || '    def test_' || k || '(self):' || chr(10)
-       || '        """A test method that is skipped."""' || chr(10) || '        return None' AS body
+       {_CLASS_BODY} AS body
 FROM m
 UNION ALL
-SELECT path, 'function', 'size_' || k, 7, 10,
-       '"""Return the size of the part."""' || chr(10) || '        total = ' || s || chr(10) || '        return total'
-FROM m
+SELECT path, 'function', 'size_' || k, 7, 10, {_SIZE_BODY} FROM m
 UNION ALL
-SELECT path, 'function', 'test_' || k, 12, 14,
-       '"""A test method that is skipped."""' || chr(10) || '        return None'
-FROM m
+SELECT path, 'function', 'test_' || k, 12, 14, {_TEST_BODY} FROM m
 UNION ALL
-SELECT path, 'function', 'price_' || k, 17, 20,
-       {_DOC_PRICE} || chr(10) || '    # scale by the size' || chr(10) || '    return x * ' || s
-FROM m
+SELECT path, 'function', 'price_' || k, 17 + x - deco, 20 + x, {_PRICE_BODY} FROM m
 UNION ALL
-SELECT path, 'function', 'tiny_' || k, 23, 24, 'return 1' FROM m
+SELECT path, 'function', 'tiny_' || k, 23 + x, 24 + x, 'return 1' FROM m
 '''
 
 BUILD_TAGS = f'''
-WITH m AS ({_MOD} WHERE p_type <> 'PROMO')
+WITH m AS ({_MOD} WHERE p_type <> 'PROMO' AND p_size <= 45)
 SELECT path, 'class' AS kind, p_type || 'Widget' || k AS name, 4::BIGINT AS line, 14::BIGINT AS "end",
        '/^class ' || p_type || 'Widget' || k || '(Base):$/' AS pattern FROM m
-UNION ALL SELECT path, 'function', 'size_' || k, 7, 10, '/^    def size_' || k || '(self):$/' FROM m
-UNION ALL SELECT path, 'function', 'test_' || k, 12, 14, '/^    def test_' || k || '(self):$/' FROM m
-UNION ALL SELECT path, 'function', 'price_' || k, 17, 20, '/^def price_' || k || '(x):$/' FROM m
-UNION ALL SELECT path, 'function', 'tiny_' || k, 23, 24, '/^def tiny_' || k || '():$/' FROM m
+UNION ALL SELECT path, 'function', 'size_' || k, 7, 10, {_tabs("'/^    def size_' || k || '(self):$/'")} FROM m
+UNION ALL SELECT path, 'function', 'test_' || k, 12, 14, {_tabs("'/^    def test_' || k || '(self):$/'")} FROM m
+UNION ALL SELECT path, 'function', 'price_' || k, 17 + x - deco, 20 + x, '/^def price_' || k || '(x):$/' FROM m
+UNION ALL SELECT path, 'function', 'tiny_' || k, 23 + x, 24 + x, '/^def tiny_' || k || '():$/' FROM m
 '''
 
 CODE_TOKENS = f'''
-WITH m AS ({_MOD})
+WITH m AS ({_MOD} WHERE p_size <= 45)
 SELECT path, 'price_' || k AS func_name, 10::BIGINT AS n_code_tokens,
        'def price_' || k || ' ( x ) : return x * ' || s AS code_tokens,
        'scale by the size' AS comment_tokens
@@ -558,7 +571,8 @@ SELECT * FROM ({EXTRACT_DEFINITIONS}) WHERE NOT (kind = 'function' AND (name LIK
 
 EXTRACTION_SUMMARY = f"""
 WITH m AS ({_MOD})
-SELECT repo, count(*) AS n_blobs, (count(*) + count(*) FILTER (WHERE p_size <= 25))::BIGINT AS n_functions
+SELECT repo, count(*) AS n_blobs,
+       (count(*) FILTER (WHERE p_size <= 45) + count(*) FILTER (WHERE p_size <= 25))::BIGINT AS n_functions
 FROM m GROUP BY ROLLUP (repo)
 """
 
@@ -639,3 +653,9 @@ UNION ALL SELECT 'broken lines', count(*) FROM documents
 """
 
 ORACLE_SQL.update({"batch_corpus": BATCH_CORPUS, "labels_by_count": LABELS_BY_COUNT, "io_broken_lines": IO_BROKEN_LINES})
+
+EXTRACTION_ERRORS = f"""
+WITH m AS ({_MOD}) SELECT repo, count(*) AS n_broken FROM m WHERE p_size > 45 GROUP BY repo
+"""
+
+ORACLE_SQL.update({"extraction_errors": EXTRACTION_ERRORS})

@@ -602,6 +602,12 @@ def extraction_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
                  F.coalesce(F.sum("n_functions"), F.lit(0)).cast("long").alias("n_functions")))
 
 
+def extraction_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files that do not parse, counted per repository instead of vanishing."""
+    defs = xt.extract_definitions(fx.python_sources(spark, sf_dir), with_errors=True)
+    return defs.where(F.col("error").isNotNull()).groupBy("repo").agg(F.count("*").alias("n_broken"))
+
+
 def batch_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The corpus build in one batch, near duplicates included."""
     out = bc.build_corpus(fx.python_sources(spark, sf_dir), min_tokens=1)
@@ -633,6 +639,7 @@ def io_broken_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES.update({
+    "extraction_errors": extraction_errors,
     "batch_corpus": batch_corpus,
     "labels_by_count": labels_by_count,
     "io_broken_lines": io_broken_lines,
