@@ -121,19 +121,12 @@ def keywords(col, stop_words: list[str] | None = None, min_length: int = 3) -> C
     extracted twice); length >= ``min_length``; stop words compared
     lower-cased.
     """
-    stops = F.array(*[F.lit(s) for s in (STOP_WORDS if stop_words is None else stop_words)])
+    stops = STOP_WORDS if stop_words is None else list(stop_words)
     words = F.array_distinct(F.concat(identifiers(col), type_phrases(col)))
-    kept = F.filter(words, lambda w: (F.length(w) >= min_length)
-                    & ~F.array_contains(stops, F.lower(w)))
+    kept = F.filter(words, lambda w: (F.length(w) >= min_length) & ~F.lower(w).isin(stops))
     return F.array_sort(kept)
 
 
-def keyword_hits(keywords_col, pattern_col) -> Column:
-    """Number of keywords that occur in ``pattern`` (case-sensitive)."""
-    pattern = _c(pattern_col)
-    return F.size(F.filter(_c(keywords_col), lambda k: F.instr(pattern, k) > 0))
-
-
 # ---------------------------------------------------------------------------
 # T8 / split helpers
 

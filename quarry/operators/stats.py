@@ -1,4 +1,4 @@
-"""Summary statistics.
+"""Summary statistics.
 
 All are grouped aggregates with partial aggregation; nothing here sorts
 or collects the whole table, and the only un-keyed windows run over
@@ -18,12 +18,6 @@ def count_by(df: DataFrame, col: str, name: str = "count") -> DataFrame:
     return df.groupBy(col).agg(F.count(F.lit(1)).alias(name)).orderBy(F.col(name).desc(), F.col(col))
 
 
-def extraction_summary(blobs_with_lists: DataFrame, list_col: str) -> DataFrame:
-    """A4: number of blobs and total extracted items."""
-    return blobs_with_lists.agg(F.count(F.lit(1)).alias("n_blobs"),
-                                F.sum(list_len(list_col)).alias("n_items"))
-
-
 def distinct_count(df: DataFrame, col: str, name: str) -> DataFrame:
     """A5: number of distinct values (exact)."""
     return df.agg(F.countDistinct(col).alias(name))

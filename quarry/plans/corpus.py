@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from quarry.functions.text import docstring_tokens
 from quarry.operators.dedup import exact_dedup, near_dedup
 from quarry.operators.extract import code_tokens, extract_functions
-from quarry.operators.split import fold_summary, label_folds
+from quarry.operators.split import fold_summary, label_folds, with_row_index
 
 CORPUS_COLUMNS = ["repo", "path", "lineno", "func_name", "language", "code", "code_tokens",
                   "comment_tokens", "docstring", "docstring_tokens"]
@@ -33,8 +33,8 @@ def build_corpus(blobs: DataFrame, *, ratios=(0.6, 0.15, 0.15, 0.1), min_tokens:
     shuffles before writing; a fold is a pure function of (repo, path), so
     the shuffle only affects file order and is left to the writer
     (``quarry.operators.split.shuffle`` when an order is wanted)."""
-    funcs = functions_table(blobs).withColumn(
-        "doc_id", F.xxhash64("repo", "path", "lineno", "func_name"))
+    # A dense index as the id: no two functions share it.
+    funcs = with_row_index(functions_table(blobs), ["repo", "path", "lineno", "func_name"], "doc_id")
     kept = near_dedup(funcs, "doc_id", "code_tokens", "language", min_tokens=min_tokens)
     return label_folds(kept.drop("cluster_id"), *ratios)
 

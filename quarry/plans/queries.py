@@ -207,17 +207,12 @@ def one_per_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def count_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A1/A2/A5: rows per language, per source, distinct sources, total."""
     docs = _documents(spark, sf_dir)
-    by_lang = docs.groupBy(F.col("lang").alias("value")).agg(F.count(F.lit(1)).alias("n")) \
-        .select(F.lit("lang").alias("dimension"), "value", "n")
-    by_src = docs.groupBy(F.col("source").alias("value")).agg(F.count(F.lit(1)).alias("n")) \
-        .select(F.lit("source").alias("dimension"), "value", "n")
-    totals = docs.agg(F.countDistinct("source").alias("d"), F.count(F.lit(1)).alias("t"))
-    extra = totals.select(F.explode(F.array(
-        F.struct(F.lit("distinct_source").alias("dimension"), F.lit(None).cast("string").alias("value"),
-                 F.col("d").alias("n")),
-        F.struct(F.lit("total").alias("dimension"), F.lit(None).cast("string").alias("value"),
-                 F.col("t").alias("n")))).alias("s")).select("s.*")
-    return by_lang.unionByName(by_src).unionByName(extra)
+    by = [st.count_by(docs, c, "n").select(F.lit(c).alias("dimension"), F.col(c).alias("value"), "n") for c in ("lang", "source")]
+    distinct = st.distinct_count(docs, "source", "n").select(
+        F.lit("distinct_source").alias("dimension"), F.lit(None).cast("string").alias("value"), "n")
+    total = docs.agg(F.count(F.lit(1)).alias("n")).select(
+        F.lit("total").alias("dimension"), F.lit(None).cast("string").alias("value"), "n")
+    return by[0].unionByName(by[1]).unionByName(distinct).unionByName(total)
 
 
 # ---------------------------------------------------------------------------

@@ -188,8 +188,7 @@ def write_splits(df: DataFrame, path: str, *, partition_col: str = "partition",
     df.write.mode(mode).partitionBy(partition_col).parquet(f"{base}/parquet")
 
 
-def write_table(df: DataFrame, path: str, fmt: str = "parquet", *, mode: str = "overwrite",
-                single_file: bool = False) -> None:
+def write_table(df: DataFrame, path: str, fmt: str = "parquet", *, mode: str = "overwrite") -> None:
     """One table as CSV, JSON lines or Parquet. CSV cannot hold arrays
     or structs, so those columns are written as JSON text."""
     out = df
@@ -197,8 +196,6 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", *, mode: str = "
         out = df.select(*[F.to_json(F.col(f.name)).alias(f.name)
                           if isinstance(f.dataType, (T.ArrayType, T.StructType, T.MapType)) else F.col(f.name)
                           for f in df.schema.fields])
-    if single_file:
-        out = out.coalesce(1)
     w = out.write.mode(mode)
     if fmt == "csv":
         w.options(**CSV_WRITE_OPTIONS).csv(path)

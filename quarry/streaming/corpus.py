@@ -3,9 +3,11 @@
 The batch path (read blobs -> extract functions -> exact dedup -> tokens
 -> folds -> write splits) as one streaming query: new blob files in a
 folder are picked up, processed and appended to the fold folders. Exact
-dedup keeps the first function seen per code digest across all batches
-(``dropDuplicates`` on the digest; the state holds one digest per distinct
-function, so use the RocksDB state store for large corpora). Folds are a
+dedup keeps the first function seen per code digest across all batches, in
+order of arrival, where the batch build keeps the smallest (repo, path,
+line); the batch build also removes near duplicates, which needs all rows.
+The state of ``dropDuplicates`` holds one digest per distinct function, so
+use the RocksDB state store for large corpora. Folds are a
 pure function of (repo, path), so a file lands in the same fold whichever
 batch brings it. Run with ``availableNow`` to drain what is there and stop,
 or with a processing-time trigger to keep following the folder.
@@ -42,7 +44,8 @@ def corpus_stream(spark: SparkSession, blob_dir: str, *, dedup: bool = True,
            .select("repo", "path", "lineno", "func_name", "language", "code",
                    F.col("t.code_tokens").alias("code_tokens"),
                    F.col("t.comment_tokens").alias("comment_tokens"),
-                   "docstring", docstring_tokens("docstring").alias("docstring_tokens")))
+                   "docstring", docstring_tokens("docstring").alias("docstring_tokens"))
+           .dropna(subset=["code_tokens", "comment_tokens", "docstring_tokens"]))
     return label_folds(out, *ratios)
 
 
