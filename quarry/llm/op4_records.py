@@ -26,12 +26,14 @@ the text; an empty table writes no record; other columns are not read.
 
 from __future__ import annotations
 
+import re
 import struct
 import uuid
 import zlib
 
 import numpy as np
 import pyarrow.fs as pafs
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -207,7 +209,10 @@ def read_stream(path: str, checksums: Checksums, chunk: int = 4 << 20):
 class Pieces(dict):
     """Piece -> its ids as bytes, by the tokenizers library. The normalizer and the
     split of the file never reach over ASCII white space, so a text's ids are
-    those of its space-free pieces, and each distinct piece is encoded once."""
+    those of its space-free pieces, and each distinct piece is encoded once.
+    Pieces of Latin-1 letters and signs, which the normalizer only lower-cases,
+    are cut further by the file's own split, so that a word is encoded once
+    whatever its case and the signs beside it."""
 
     def __init__(self, path: str | None):
         super().__init__()
@@ -224,21 +229,43 @@ class Pieces(dict):
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.width = 2 if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
+        self.parts: dict[str, bytes] = {}
+
+    def _learn(self, new: list[str]) -> None:
+        cut = list(map(_parts, new))
+        parts, kind = self.parts, f"<u{self.width}"
+        unknown = list({x for own in cut for x in own}.difference(parts))
+        for x, e in zip(unknown, self.tokenizer.encode_batch_fast(unknown, add_special_tokens=False)):
+            parts[x] = np.array(e.ids, kind).tobytes()
+        for p, own in zip(new, cut):
+            self[p] = parts[own[0]] if len(own) == 1 else b"".join(map(parts.__getitem__, own))
 
     def encode(self, texts: list[str], end_id: int) -> list[bytes]:
-        kind = f"<u{self.width}"
-        cut = [t.split() if t.isascii() and not any(c in t for c in "\x1c\x1d\x1e\x1f") else _pieces(t) for t in texts]
-        new = list({p for pieces in cut for p in pieces}.difference(self))
-        for p, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            self[p] = np.array(e.ids, kind).tobytes()
-        end = np.array([end_id], kind).tobytes()
+        cut = [_pieces(t) for t in texts]
+        self._learn(list({p for pieces in cut for p in pieces}.difference(self)))
+        end = np.array([end_id], f"<u{self.width}").tobytes()
         out = [b"".join(map(self.__getitem__, pieces)) + end for pieces in cut]
-        if len(self) > KNOWN_PIECES:
+        if len(self) + len(self.parts) > KNOWN_PIECES:
             self.clear()
+            self.parts.clear()
         return out
 
 
-_SPACES = {ord(c): " " for c in "\t\n\x0b\x0c\r"}
+# The split of the vocabulary file (fixed value), and the pieces it is applied to here.
+SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+PLAIN = re.compile(r"[\x21-\x7e\xa1-\xff]+")
+
+
+def _parts(piece: str) -> list[str]:
+    """The parts of a piece that the library encodes one by one."""
+    if PLAIN.fullmatch(piece):
+        if piece.isalpha():
+            return [piece.lower()]
+        if piece[-1] in ".,;:!?" and piece[:-1].isalpha():
+            return [piece[:-1].lower(), piece[-1]]
+        if "<|" not in piece:
+            return SPLIT.findall(piece.lower())
+    return [piece]
 
 
 def _pieces(text: str) -> list[str]:
