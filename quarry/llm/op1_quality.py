@@ -112,7 +112,8 @@ def quality_columns(df: DataFrame, text: str = "text", prefix: str = "", rules=R
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
-    return quality_columns(docs).drop("text")
+    first = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
+    return quality_columns(docs).select(*first, "n_exclamations", "n_stop_words", "n_lines")
 
 
 def oracle() -> str:
