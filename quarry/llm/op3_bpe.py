@@ -32,8 +32,8 @@ from pyspark.sql import functions as F
 from quarry.llm.common import documents, map_rows
 
 TOKENIZER = "byte_bpe_50k.json"
-STRETCH_CHARS = 8_000_000
-KNOWN_PIECES = 1_000_000
+STRETCH_CHARS = 4_000_000
+KNOWN_PIECES = 250_000
 
 # The split of byte-level BPE vocabularies of this family (fixed value).
 SPLIT = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""

@@ -54,7 +54,7 @@ SEED = 8
 BUCKET_BLOCK = 512        # classes of one bucket that a task compares with as many others
 FAMILY_BLOCK = 512        # classes of one family that a task compares with as many others
 FAMILY_SHINGLES = 400_000  # and the shingles they may hold together
-KNOWN_WORDS = 1_000_000
+KNOWN_WORDS = 250_000
 WORDS = re.compile(WORD)
 
 
