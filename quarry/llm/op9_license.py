@@ -1,8 +1,11 @@
 """Operator 9: license scan by an exact set-similarity join.
 
-Text blocks (lines; of lines over ``BLOCK_WORDS`` words, windows of that
-length at every half length) are joined with license templates where a block
-holds at least ``CONTAINMENT`` of a template's distinct words. The words of
+Text blocks are joined with license templates where a block holds at least
+``CONTAINMENT`` of a template's distinct words. Blocks are the lines (of lines
+over ``BLOCK_WORDS`` words, windows of that length at every half length) and,
+for notices wrapped over several lines, the windows of that length at every
+half length over the words of the whole text. They hold every run of
+``BLOCK_WORDS // 2 + 1`` words, so every template. The words of
 the templates are ordered by how many documents of the corpus hold them,
 rarest first. A block that reaches the threshold must hold one of a
 template's first ``|T| - need + 1`` words in that order (prefix filter); it
@@ -23,6 +26,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 
 from pyspark.sql import DataFrame, SparkSession
@@ -89,7 +93,10 @@ def corpus_counts(docs: DataFrame, templates=TEMPLATES) -> dict[bytes, int]:
 class Matcher:
     """The templates in the corpus order of words, and the index of their prefixes."""
 
-    def __init__(self, counts: dict[bytes, int], templates=TEMPLATES, containment: float = CONTAINMENT):
+    def __init__(self, counts: dict[bytes, int], templates=TEMPLATES, containment: float = CONTAINMENT,
+                 across_lines: bool = False):
+        """``across_lines``: the windows over the whole text as well as the lines."""
+        self.across_lines = across_lines
         sets = template_sets(templates)
         words = sorted(frozenset().union(*(t for _, t in sets)), key=lambda w: (counts.get(w, 0), w))
         self.place = {w: i for i, w in enumerate(words)}
@@ -120,18 +127,39 @@ class Matcher:
                     found[label] = max(found.get(label, 0.0), common / len(t))
         return found
 
+    @staticmethod
+    def _windows(words: list[bytes]):
+        half = BLOCK_WORDS // 2
+        for a in range(0, max(1, len(words) - half), half):
+            yield a, words[a:a + BLOCK_WORDS]
+
     def blocks(self, text: str):
-        """Word lists of the text's blocks, with the number of words before each."""
+        """Word lists of the text's lines, with the number of words before each."""
         before = 0
         for line in text.encode().lower().split(b"\n"):
             words = WORDS.findall(line)
-            if len(words) <= BLOCK_WORDS:
-                yield before, words
-            else:
-                for a in range(0, len(words) - BLOCK_WORDS // 2, BLOCK_WORDS // 2):
-                    yield before + a, words[a:a + BLOCK_WORDS]
+            for a, block in self._windows(words):
+                yield before + a, block
             before += len(words)
 
+    def matches(self, text: str):
+        """(first word, number of words, label, share) of the blocks at or above the threshold. A window over
+        the whole text is passed over for a label that a line within it holds to the same share."""
+        in_lines = []
+        for at, block in self.blocks(text):
+            for label, share in sorted(self.match(block).items()):
+                in_lines.append((at, len(block), label, share))
+        yield from in_lines
+        if not self.across_lines or "\n" not in text:
+            return
+        starts = [found[0] for found in in_lines]
+        for at, block in self._windows(tokens(text)):
+            end = at + len(block)
+            within = in_lines[bisect_left(starts, at):bisect_left(starts, end)]
+            for label, share in sorted(self.match(block).items()):
+                if not any(name == label and s >= share and a + n <= end for a, n, name, s in within):
+                    yield at, len(block), label, share
+
     def scan(self, text: str | None) -> dict:
         words = tokens(text)
         places: list[int] = []
@@ -148,9 +176,8 @@ class Matcher:
                     base.add(label)
                     at = line.find(sought, at + 1)
         if not present.isdisjoint(self.prefixes):
-            for _, block in self.blocks(text):
-                for label, share in self.match(block).items():
-                    labels[label] = max(labels.get(label, 0.0), share)
+            for _, _, label, share in self.matches(text):
+                labels[label] = max(labels.get(label, 0.0), share)
         return {"n_words": len(words), "n_base": len(places),
                 "first_word": min(places, default=None), "last_word": max(places, default=None),
                 "base_labels": ",".join(sorted(base)), "labels": ",".join(sorted(base | labels.keys())),
@@ -163,7 +190,7 @@ PHRASE_WORDS = frozenset(p.split()[-1].encode() for p in PHRASES)
 
 def scan_licenses(docs: DataFrame, containment: float = CONTAINMENT) -> DataFrame:
     """Per row: doc_id, the places of the phrases, labels and score."""
-    shared = docs.sparkSession.sparkContext.broadcast(Matcher(corpus_counts(docs), containment=containment))
+    shared = docs.sparkSession.sparkContext.broadcast(Matcher(corpus_counts(docs), containment=containment, across_lines=True))
     schema = ("doc_id long, n_words long, n_base long, first_word long, last_word long, "
               "base_labels string, labels string, score double")
 
@@ -177,13 +204,11 @@ def scan_licenses(docs: DataFrame, containment: float = CONTAINMENT) -> DataFram
 
 def matching_blocks(docs: DataFrame, containment: float = CONTAINMENT) -> DataFrame:
     """doc_id, first_word, n_words, label, containment of every block that meets the threshold."""
-    shared = docs.sparkSession.sparkContext.broadcast(Matcher(corpus_counts(docs), containment=containment))
+    shared = docs.sparkSession.sparkContext.broadcast(Matcher(corpus_counts(docs), containment=containment, across_lines=True))
 
     def run(batches):
         for b in batches:
-            m = shared.value
-            rows = [(d, at, len(block), label, share) for d, t in zip(b["doc_id"], b["text"]) if t
-                    for at, block in m.blocks(t) for label, share in sorted(m.match(block).items())]
+            rows = [(d, *found) for d, t in zip(b["doc_id"], b["text"]) if t for found in shared.value.matches(t)]
             names = ("doc_id", "first_word", "n_words", "label", "containment")
             yield {n: [r[i] for r in rows] for i, n in enumerate(names)}
 

@@ -84,3 +84,64 @@ def test_planted_lines(spark):
 
 def test_empty_table(spark, none):
     assert op.op9_license_scan(spark, none).count() == 0
+
+
+def plain_across(text):
+    """label -> largest share over lines and over windows of the whole text, by a block definition of its own:
+    64 words from every 32nd word on, as long as words are left that no window before holds."""
+    blocks = []
+    for part in [text] + text.split("\n"):
+        w = WORD.findall(part.lower())
+        at = 0
+        while True:
+            blocks.append(set(w[at:at + 64]))
+            if at + 64 >= len(w):
+                break
+            at += 32
+    out = {}
+    for block in blocks:
+        for label, words in op.TEMPLATES:
+            t = set(words.split())
+            if 10 * len(t & block) >= 9 * len(t):
+                out[label] = max(out.get(label, 0), len(t & block) / len(t))
+    return out
+
+
+def wrapped():
+    """(label, text): copies of every template, wrapped at many widths, among other words and behind comment signs."""
+    r = random.Random(3)
+    for label, t in op.TEMPLATES:
+        own = t.split()
+        for width in (1, 2, 3, 5, 8, 13, 21):
+            for sign in ("", " * ", "# ", "// "):
+                lines = [sign + " ".join(own[a:a + width]) for a in range(0, len(own), width)]
+                before = [" ".join(f"a{r.randint(0, 99)}" for _ in range(r.randint(0, 12))) for _ in range(r.randint(0, 20))]
+                yield label, "\n".join(before + lines + ["other words"] * r.randint(0, 40))
+
+
+def test_wrapped_copies_of_every_template(spark):
+    rows = list(wrapped())
+    docs = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id long, text string")
+    got = {r.doc_id: r for r in op.scan_licenses(docs).collect()}
+    places = {}
+    for r in op.matching_blocks(docs).collect():
+        places.setdefault(r.doc_id, set()).add(r.label)
+    for i, (label, text) in enumerate(rows):
+        want = plain_across(text)
+        assert label in want and label in got[i].labels.split(","), text
+        assert set(got[i].labels.split(",")) == set(want) | set(filter(None, got[i].base_labels.split(","))), text
+        assert got[i].score == (1.0 if got[i].base_labels else max(want.values())) and places[i] == set(want)
+
+
+def test_notice_of_three_lines():
+    text = ("Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated "
+            "documentation files (the \"Software\"), to deal\nin the Software without restriction")
+    assert op.Matcher({}, across_lines=True).scan(text)["labels"] == "mit"
+
+
+def test_lines_and_windows_equal_their_definition():
+    m = op.Matcher({}, across_lines=True)
+    for text in filter(None, cases()):
+        r = m.scan(text)
+        want = plain_across("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text))
+        assert set(filter(None, r["labels"].split(","))) == set(want) | set(filter(None, r["base_labels"].split(","))), text
