@@ -162,10 +162,11 @@ def _linked_parts(linked: np.ndarray) -> np.ndarray:
     return label
 
 
-def _across(block: list[int]) -> np.ndarray:
-    """Pairs that a task is for: of two blocks those across, of one block all but the diagonal."""
+def _across(block: list[int], b1: int, b2: int) -> np.ndarray:
+    """Pairs that the cell (b1, b2) is for: of two blocks those across, of one block all but the diagonal.
+    A cell of two blocks may hold rows of one only, if hashing left the other empty: then it has no pairs."""
     b = np.array(block)
-    if (b == b[0]).all():
+    if b1 == b2:
         return ~np.eye(len(b), dtype=bool)
     return b[:, None] != b[None, :]
 
@@ -184,7 +185,7 @@ def bucket_edges(g: dict) -> dict | None:
         return None
     marks = np.frombuffer(b"".join(g["marks"]), np.uint8).reshape(len(g["cls"]), N_HASHES)
     n = np.array(g["n"], np.int64)
-    allowed = _across(g["block"])
+    allowed = _across(g["block"], g["b1"][0], g["b2"][0])
     p, q = THRESHOLD.numerator, THRESHOLD.denominator
     allowed &= (np.minimum(n[:, None], n[None, :]) * q >= np.maximum(n[:, None], n[None, :]) * p)
     agree = np.zeros(allowed.shape, bool)
@@ -209,7 +210,8 @@ def family_links(g: dict) -> dict | None:
     size = np.array([len(s) for s in sets], np.int64)
     common = common_shingles(sets)
     p, q = THRESHOLD.numerator, THRESHOLD.denominator
-    linked = (common * (p + q) >= p * (size[:, None] + size[None, :])) & _across([g["block"][i] for i in rows])
+    linked = (common * (p + q) >= p * (size[:, None] + size[None, :])) \
+        & _across([g["block"][i] for i in rows], g["b1"][0], g["b2"][0])
     root = _linked_parts(linked)
     links = linked @ np.array([g["m"][i] for i in rows], np.int64)
     own = np.flatnonzero(root >= 0)

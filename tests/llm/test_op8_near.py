@@ -107,3 +107,23 @@ def test_intersections_by_parts():
     got = op.common_shingles(sets, step=17)
     off = ~np.eye(30, dtype=bool)
     assert (got[off] == np.array(want)[off]).all()
+
+
+def test_empty_blocks_of_a_family(spark, monkeypatch):
+    """Families of two to six long texts, cut by their shingles so that hashing leaves some of their blocks empty."""
+    r = random.Random(9)
+    rows = []
+    for f in range(12):
+        base = [f"f{f}w{i}" for i in range(200)]
+        for _ in range(2 + f % 5):
+            w = list(base)
+            w[r.randrange(200)] = f"x{len(rows)}"
+            rows.append((len(rows), " ".join(w)))
+    monkeypatch.setattr(op, "FAMILY_SHINGLES", 150)
+    assert run(spark, rows) == plain(rows)
+
+
+def test_pairs_of_a_cell():
+    assert op._across([1, 1], 1, 1).tolist() == [[False, True], [True, False]]
+    assert not op._across([1, 1], 0, 1).any() and not op._across([1, 1], 1, 2).any()
+    assert op._across([0, 1, 1], 0, 1).tolist() == [[False, True, True], [True, False, False], [True, False, False]]
