@@ -18,7 +18,8 @@ comments and footers under the names that sites use for them. The trees are a
 few kilobytes; every page is parsed whole where it is read, without a shuffle.
 
 Defined results: a null or empty page has an empty text; markup that is not
-closed or not opened is taken as browsers take it; repeated rows repeat; an
+closed or not opened is taken as browsers take it, but of a select or button
+left open only the tag is passed over; repeated rows repeat; an
 empty table gives an empty result; columns other than page_id, url and html
 are not read.
 """
@@ -27,6 +28,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from html import unescape
 
 import numpy as np
@@ -46,16 +48,23 @@ CONTAINER_WEIGHT = 0.1  # share of its subtree's text by which a block's own log
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small "
                    "span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe object svg textarea title select button".split())
+RAW = frozenset("script style noscript template iframe textarea title".split())  # template: no text of the page
+CONTROLS = frozenset("select button".split())
 CLOSES_P = frozenset("address article aside blockquote center details div dl fieldset figcaption figure footer form "
                      "h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"},
         "th": {"td", "th"}, "option": {"option"}}
-FENCE = frozenset("table ul ol dl div article section main body html nav aside header footer form".split())
+FENCE = frozenset("table ul ol dl div article section main body html nav aside header footer form object".split())
+# Within svg: elements that hold markup of the page again, and elements that end an open svg where they begin.
+SVG_HOLDS_PAGE = frozenset("foreignobject desc title".split())
+ENDS_SVG = frozenset("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li "
+                     "listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split())
 
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
                  r"|<[a-zA-Z!?/][^>]*+(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"\b(class|id|role|itemprop|hidden|aria-hidden)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", re.I)
+QUOTED = re.compile(r"\"[^\"]*\"|'[^']*'")
+UNQUOTED_END = re.compile(r"=\s*[^\s\"']\S*\Z")
 TOKEN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 SENTENCE_END = re.compile(r"[.!?](?:\s|$)")
 
@@ -71,6 +80,57 @@ class Block:
         self.chars = self.linked = self.tags = self.ends = 0
 
 
+def self_closed(attributes: str) -> bool:
+    """Whether the slash before ``>`` is one of its own and not the end of an unquoted value."""
+    return attributes.endswith("/") and not UNQUOTED_END.search(QUOTED.sub('""', attributes))
+
+
+def svg_end(html: str, at: int, stack: list[Block]) -> int:
+    """Where the page goes on after an svg tag that ends at ``at``: behind its end tag, or, if it is left open, at
+    the first tag that belongs to the page: one that svg cannot hold, or the end of an element around it."""
+    held, n_held = ["svg"], Counter(["svg"])
+    for m in TAG.finditer(html, at):
+        name = (m.group(2) or "").lower()
+        if not name:
+            continue
+        page_again = any(n_held[x] for x in SVG_HOLDS_PAGE)
+        if not m.group(1):
+            if name in ENDS_SVG and not page_again:
+                return m.start()
+            if not self_closed(m.group(3)) and not (page_again and name in VOID):
+                held.append(name)
+                n_held[name] += 1
+        elif n_held[name]:
+            last = ""
+            while last != name:
+                last = held.pop()
+                n_held[last] -= 1
+            if not held:
+                return m.end()
+        elif not page_again and (name in ("p", "br") or name in INLINE or any(b.tag == name for b in stack)):
+            return m.start()
+    return len(html)
+
+
+def control_end(html: str, at: int, control: str, stack: list[Block]) -> int:
+    """Behind the end tag of a select or button that ends at ``at``; ``at`` if it is left open, that is if another
+    one begins, or an element around it ends, before: then the page is read on."""
+    held = Counter()
+    for m in TAG.finditer(html, at):
+        name = (m.group(2) or "").lower()
+        if name == control:
+            return m.end() if m.group(1) else at
+        if not name or name in VOID or name in INLINE:
+            continue
+        if not m.group(1):
+            held[name] += 1
+        elif held[name]:
+            held[name] -= 1
+        elif any(b.tag == name for b in stack):
+            return at
+    return at
+
+
 def parse(html: str) -> list[Block]:
     """Blocks in page order, the root first; each holds its runs of text, numbered in page order."""
     root = Block(None, "", (), 0, 0)
@@ -127,9 +187,18 @@ def parse(html: str) -> list[Block]:
                         break
             continue
         if name in RAW:
+            # Without an end tag these run to the end of the page; the slash of <script/> closes nothing.
             end = re.compile("</" + re.escape(name) + r"\s*>", re.I).search(html, at)
-            # Without an end tag these run to the end of the page, but for select and button.
-            at = end.end() if end else (at if name in ("select", "button") else n)
+            at = end.end() if end else n
+            run.append(" ")
+            continue
+        if name in CONTROLS:
+            at = control_end(html, at, name, stack)
+            run.append(" ")
+            continue
+        if name == "svg":
+            if not self_closed(m.group(3)):
+                at = svg_end(html, at, stack)
             run.append(" ")
             continue
         if name in VOID:

@@ -89,3 +89,55 @@ def test_null_columns_and_repeated_rows(spark):
     rows = [(1, None, None), (1, None, None), (None, "u", "<p>x"), (2, "u", "")]
     out = op.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string"), EX).collect()
     assert len(out) == 4 and all(r.text is not None and r.n_chars == len(r.text) for r in out)
+
+
+def read(page):
+    """All text that the parser takes from a page, in page order."""
+    return " ".join(t for _, t in sorted(run for b in op.parse(page) for run in b.parts))
+
+
+def test_self_closed_and_open_svg_and_object_lose_no_text():
+    article = "<article><h1>Head</h1><p>First.</p><p>Second.</p></article>"
+    want = "Head First. Second."
+    heads = ["<svg class='icon'/>", "<svg/>", "<svg class=icon />", "<svg hidden/>", "<svg data-x='a=b'/>",
+             "<svg class='icon'><path d='M0'/><title>t</title></svg>", "<svg><svg><g></svg>lost</svg>", "<svg><svg/>lost</svg>",
+             "<svg class='icon'><path d='M0'>", "<svg class=icon/>", "<svg><style>a > b {}</style>", "<svg><foreignObject><p>in</p><br></foreignObject></svg>",
+             "<object data='x'>", "<object data='x'/>", "<object data='x'><param name='a'>", "<object data='x'></object>"]
+    for head in heads:
+        for later in ("", "<footer><svg><path></svg></footer>", "<footer><object></object></footer>"):
+            page = f"<body><header>{head}</header>{article}{later}</body>"
+            assert read(page) == want, page
+    assert read(f"<body><a href='/'><svg class='icon'></a>{article}") == want
+    assert read("<p>a <svg class='icon'/> b <svg/> c</p>") == "a b c"
+    assert read("<div>a<object data='x'>b</object>c</div>") == "a b c"
+    assert read("<div><svg class='icon'><g><p>a</p></div>b") == "a b"
+
+
+def test_open_buttons_and_selects_lose_no_text():
+    article = "<article><h1>Head</h1><p>First.</p></article>"
+    for name in ("button", "select"):
+        for later in ("", f"<footer><{name}>x</{name}></footer>"):
+            assert read(f"<body><header><{name}></header>{article}{later}</body>") == "Head First."
+            assert read(f"<body><{name}>{article}{later}</body>") == "Head First."
+        assert read(f"<div><{name}><div>x</div><br></{name}>a</div>") == "a"
+    assert read("<button><select>" * 20_000 + "a") == "a"
+
+
+def test_raw_text_without_an_end_runs_to_the_end_of_the_page():
+    for name in ("script", "style", "textarea", "title", "iframe", "noscript"):
+        assert read(f"<p>a</p><{name}><p>b</p>") == "a"
+        assert read(f"<p>a</p><{name}/><p>b</p></{name}>c") == "a c"
+
+
+def test_articles_behind_self_closed_and_open_elements():
+    body = "".join(f"<p>{s} {s} {s}</p>" for s in SENTENCES[:6])
+    want = "\n".join(["A headline of words"] + [f"{s} {s} {s}" for s in SENTENCES[:6]])
+    for head in ("<svg class='icon'/>", "<svg class='icon'><path d='M0'>", "<object data='x'>"):
+        page = (f"<html><body><header class='site-header'>{head}<h2>Site</h2></header><nav><ul><li><a href='/a'>Home</a></li></ul></nav>"
+                f"<article><h1>A headline of words</h1>{body}</article><footer>&copy; someone</footer></body></html>")
+        assert EX.texts([page]) == [want], head
+
+
+def test_many_open_svgs_stay_linear():
+    assert read("<svg><g>" * 20_000 + "<p>a") == "a"
+    assert read("<div><svg></div>" * 20_000 + "a") == "a"
