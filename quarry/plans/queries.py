@@ -397,8 +397,9 @@ def io_blobs_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     blobs = _documents(spark, sf_dir).select(
         F.concat_ws(" ", "source", F.col("doc_id").cast("string")).alias("repo_path"),
         F.col("text").alias("content"), "lang")
-    sio.write_table(blobs.where(F.col("lang").isin("en", "fr")).drop("lang"), f"{root}/a", "csv")
-    sio.write_table(blobs.where(~F.col("lang").isin("en", "fr")).drop("lang"), f"{root}/b", "csv")
+    first = F.coalesce(F.col("lang").isin("en", "fr"), F.lit(False))  # a null lang is in the second folder
+    sio.write_table(blobs.where(first).drop("lang"), f"{root}/a", "csv")
+    sio.write_table(blobs.where(~first).drop("lang"), f"{root}/b", "csv")
     back = sio.read_blobs(spark, [f"{root}/a", f"{root}/b"])
     return back.select("repo", "path", F.md5("content").alias("content_md5"),
                        F.length("content").cast("long").alias("n_chars"))

@@ -35,3 +35,12 @@ def test_read_sources_by_suffix(spark):
     sio.write_files(df, root, "file", "content")
     got = {r["file"]: r["content"] for r in sio.read_sources(spark, root).collect()}
     assert got == {"a/x.py": "x = 1\n", "a/b/y.py": "y = 2"}
+
+
+def test_blobs_query_keeps_rows_without_lang(spark, tmp_path):
+    from quarry.plans.queries import io_blobs_csv
+
+    rows = [(i, f"text {i}", lang, "src", 6) for i, lang in enumerate(["en", "fr", "de", None, None])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    assert sorted(r.path for r in io_blobs_csv(spark, str(tmp_path)).collect()) == ["0", "1", "2", "3", "4"]
