@@ -37,7 +37,7 @@ def odd(spark, tmp_path_factory):
 def none(spark, tmp_path_factory):
     """The same tables without a row."""
     root = tmp_path_factory.mktemp("none")
-    for name in ("documents", "labels", "pages", "embeddings"):
+    for name in ("documents", "labels", "pages", "embeddings", "conversations"):
         spark.read.parquet(f"{SOURCE}/{name}.parquet").filter("false").write.parquet(f"{root}/{name}.parquet")
     return str(root)
 
