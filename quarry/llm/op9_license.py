@@ -5,7 +5,8 @@ Text blocks are joined with license templates where a block holds at least
 over ``BLOCK_WORDS`` words, windows of that length at every half length) and,
 for notices wrapped over several lines, the windows of that length at every
 half length over the words of the whole text. They hold every run of
-``BLOCK_WORDS // 2 + 1`` words, so every template. The words of
+``BLOCK_WORDS // 2 + 1`` words; with a template longer than that, windows are
+twice as long as the longest one. The words of
 the templates are ordered by how many documents of the corpus hold them,
 rarest first. A block that reaches the threshold must hold one of a
 template's first ``|T| - need + 1`` words in that order (prefix filter); it
@@ -97,6 +98,8 @@ class Matcher:
                  across_lines: bool = False):
         """``across_lines``: the windows over the whole text as well as the lines."""
         self.across_lines = across_lines
+        # A window holds every passage of half its words: two windows' step covers the longest template.
+        self.window = max([BLOCK_WORDS, *(2 * len(tokens(words)) for _, words in templates)])
         sets = template_sets(templates)
         words = sorted(frozenset().union(*(t for _, t in sets)), key=lambda w: (counts.get(w, 0), w))
         self.place = {w: i for i, w in enumerate(words)}
@@ -127,11 +130,10 @@ class Matcher:
                     found[label] = max(found.get(label, 0.0), common / len(t))
         return found
 
-    @staticmethod
-    def _windows(words: list[bytes]):
-        half = BLOCK_WORDS // 2
+    def _windows(self, words: list[bytes]):
+        half = self.window // 2
         for a in range(0, max(1, len(words) - half), half):
-            yield a, words[a:a + BLOCK_WORDS]
+            yield a, words[a:a + 2 * half]
 
     def blocks(self, text: str):
         """Word lists of the text's lines, with the number of words before each."""
@@ -170,9 +172,11 @@ class Matcher:
             line = b" " + b" ".join(words) + b" "
             for phrase, label in PHRASES.items():
                 sought = b" " + phrase.encode() + b" "
-                at = line.find(sought)
+                at, last, before = line.find(sought), 0, 0
                 while at >= 0:
-                    places.append(line.count(b" ", 0, at))
+                    before += line.count(b" ", last, at)  # the words before this place
+                    last = at
+                    places.append(before)
                     base.add(label)
                     at = line.find(sought, at + 1)
         if not present.isdisjoint(self.prefixes):

@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 from quarry.llm import op9_license as op
 
@@ -145,3 +146,25 @@ def test_lines_and_windows_equal_their_definition():
         r = m.scan(text)
         want = plain_across("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text))
         assert set(filter(None, r["labels"].split(","))) == set(want) | set(filter(None, r["base_labels"].split(","))), text
+
+
+def test_time_is_linear_in_places():
+    matcher = op.Matcher({}, across_lines=True)
+
+    def seconds(n):
+        text = "under the mit license " * n
+        start = time.perf_counter()
+        assert matcher.scan(text)["n_base"] == n
+        return time.perf_counter() - start
+
+    small = min(seconds(10_000) for _ in range(3))
+    assert seconds(40_000) < 8 * small + 0.3
+
+
+def test_longer_templates_are_found_across_lines():
+    """The window grows with the longest template."""
+    words = [f"word{i}" for i in range(150)]
+    matcher = op.Matcher({}, templates=[("long", " ".join(words))], across_lines=True)
+    for lead in (0, 1, 63, 148, 149, 150, 299):
+        text = "\n".join(["other"] * lead + words + ["end"] * 40)
+        assert matcher.scan(text)["labels"] == "long"
