@@ -85,7 +85,35 @@ def self_closed(attributes: str) -> bool:
     return attributes.endswith("/") and not UNQUOTED_END.search(QUOTED.sub('""', attributes))
 
 
-def svg_end(html: str, at: int, stack: list[Block]) -> int:
+class OpenElements:
+    """The open elements, and where in them each name and the nearest fence stand,
+    so that no tag has to look through all of them."""
+
+    def __init__(self, root: Block):
+        self.stack = [root]
+        self.places: dict[str, list[int]] = {}
+        self.fences: list[int] = []
+
+    def add(self, b: Block) -> None:
+        self.places.setdefault(b.tag, []).append(len(self.stack))
+        if b.tag in FENCE:
+            self.fences.append(len(self.stack))
+        self.stack.append(b)
+
+    def nearest(self, names, fenced: bool) -> int:
+        """Place of the nearest open element of these names, 0 if there is none (``fenced``: none before a fence)."""
+        at = max((self.places[x][-1] for x in names if self.places.get(x)), default=0)
+        return 0 if fenced and self.fences and at < self.fences[-1] else at
+
+    def close(self, at: int) -> None:
+        while len(self.stack) > at:
+            tag = self.stack.pop().tag
+            self.places[tag].pop()
+            if tag in FENCE:
+                self.fences.pop()
+
+
+def svg_end(html: str, at: int, around: OpenElements) -> int:
     """Where the page goes on after an svg tag that ends at ``at``: behind its end tag, or, if it is left open, at
     the first tag that belongs to the page: one that svg cannot hold, or the end of an element around it."""
     held, n_held = ["svg"], Counter(["svg"])
@@ -107,12 +135,12 @@ def svg_end(html: str, at: int, stack: list[Block]) -> int:
                 n_held[last] -= 1
             if not held:
                 return m.end()
-        elif not page_again and (name in ("p", "br") or name in INLINE or any(b.tag == name for b in stack)):
+        elif not page_again and (name in ("p", "br") or name in INLINE or around.nearest((name,), False)):
             return m.start()
     return len(html)
 
 
-def control_end(html: str, at: int, control: str, stack: list[Block]) -> int:
+def control_end(html: str, at: int, control: str, around: OpenElements) -> int:
     """Behind the end tag of a select or button that ends at ``at``; ``at`` if it is left open, that is if another
     one begins, or an element around it ends, before: then the page is read on."""
     held = Counter()
@@ -126,7 +154,7 @@ def control_end(html: str, at: int, control: str, stack: list[Block]) -> int:
             held[name] += 1
         elif held[name]:
             held[name] -= 1
-        elif any(b.tag == name for b in stack):
+        elif around.nearest((name,), False):
             return at
     return at
 
@@ -134,7 +162,8 @@ def control_end(html: str, at: int, control: str, stack: list[Block]) -> int:
 def parse(html: str) -> list[Block]:
     """Blocks in page order, the root first; each holds its runs of text, numbered in page order."""
     root = Block(None, "", (), 0, 0)
-    blocks, stack = [root], [root]
+    blocks, around = [root], OpenElements(root)
+    stack = around.stack
     inline: list[str] = []          # open inline elements that matter: links
     run: list[str] = []
     order = 0
@@ -151,11 +180,6 @@ def parse(html: str) -> list[Block]:
                 order += 1
             run = []
 
-    def pop_to(k):
-        flush()
-        del stack[k:]
-        inline.clear()
-
     at, n = 0, len(html)
     while at < n:
         m = TAG.search(html, at)
@@ -179,12 +203,11 @@ def parse(html: str) -> list[Block]:
                 if inline:
                     inline.pop()
             elif name not in INLINE and name not in VOID:
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k].tag == name:
-                        pop_to(k)
-                        break
-                    if name == "p" and stack[k].tag in FENCE:
-                        break
+                k = around.nearest((name,), name == "p")
+                if k:
+                    flush()
+                    around.close(k)
+                    inline.clear()
             continue
         if name in RAW:
             # Without an end tag these run to the end of the page; the slash of <script/> closes nothing.
@@ -193,12 +216,12 @@ def parse(html: str) -> list[Block]:
             run.append(" ")
             continue
         if name in CONTROLS:
-            at = control_end(html, at, name, stack)
+            at = control_end(html, at, name, around)
             run.append(" ")
             continue
         if name == "svg":
             if not self_closed(m.group(3)):
-                at = svg_end(html, at, stack)
+                at = svg_end(html, at, around)
             run.append(" ")
             continue
         if name in VOID:
@@ -213,25 +236,16 @@ def parse(html: str) -> list[Block]:
             continue
         flush()
         inline.clear()
-        if name in CLOSES_P:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == "p":
-                    del stack[k:]
-                    break
-                if stack[k].tag in FENCE:
-                    break
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k].tag in SAME.get(name, ()):
-                del stack[k:]
-                break
-            if stack[k].tag in FENCE:
-                break
+        if name in CLOSES_P and (k := around.nearest(("p",), True)):
+            around.close(k)
+        if name in SAME and (k := around.nearest(SAME[name], True)):
+            around.close(k)
         tokens = ["<" + name]
         for key, value in ATTRIBUTE.findall(m.group(3)) if m.group(3) else ():
             tokens += (t.lower() for t in TOKEN.findall(key + " " + value if "hidden" in key else value))
         b = Block(stack[-1], name, tuple(tokens), len(stack), at)
         stack[-1].children.append(b)
-        stack.append(b)
+        around.add(b)
         blocks.append(b)
     flush()
     for b in blocks:
