@@ -5,8 +5,8 @@ Parsing a file is per-row work, done with the standard library (``ast``,
 ``tokenize``) inside ``mapInPandas`` / ``pandas_udf``: Spark partitions the
 files, Arrow moves them in batches. Everything that is not parsing --
 un-indenting, the quality filter, urls, path filters -- stays in column
-expressions. Python sources only (the reference's driver loops only ever
-ask for Python).
+expressions. Functions are extracted from Python sources; definitions also
+from the five languages of ``grammars.py``, by the suffix of the file.
 
 Semantics kept from the reference:
 
@@ -34,10 +34,11 @@ import tokenize
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quarry.operators import grammars
 from quarry.functions.text import comment_tokens, docstring_head, exclude_test_paths, keep_function, unindent
 
 _WS = re.compile(r"\s+")
@@ -226,11 +227,32 @@ DEFINITION_ROW = T.StructType([
 ])
 
 
-def extract_definitions(sources: DataFrame, *, ignore_class_methods: bool = False,
-                        content: str = "content", with_errors: bool = False) -> DataFrame:
+def definitions_of(content: str | None, path: str | None, ignore_class_methods: bool) -> tuple[list[dict], str | None]:
+    """(rows, error) of one file in the language of its suffix (Python without a path)."""
+    if not isinstance(content, str):
+        return [], None
+    language = "python" if path is None else grammars.LANGUAGE_OF.get(path[path.rfind("."):] if "." in path else "")
+    if language is None:
+        return [], None
+    if language == "python":
+        return parse_definitions(content, ignore_class_methods)
+    return grammars.parse_definitions(content, language, ignore_class_methods)
+
+
+def language_of(path) -> Column:
+    """The language of a file by its suffix, null for any other file."""
+    suffix = F.regexp_extract(path, r"(\.[A-Za-z]+)$", 1)
+    return F.create_map(*[F.lit(x) for pair in grammars.LANGUAGE_OF.items() for x in pair])[suffix]
+
+
+def extract_definitions(sources: DataFrame, *, ignore_class_methods: bool = False, content: str = "content",
+                        with_errors: bool = False, path: str | None = None) -> DataFrame:
     """One row per function or class: <source keys>, kind, name,
-    body, start_line, end_line. With ``with_errors`` a file that fails to
-    parse gives one row with null kind and the message in ``error``."""
+    body, start_line, end_line, header. With ``path``, the column that holds
+    the file's name, every file is read in the language of its suffix (files
+    of other kinds give no rows); without it all files are Python. With
+    ``with_errors`` a file that fails to parse gives one row with null kind
+    and the message in ``error``."""
     keys = [c for c in sources.columns if c != content]
     schema = T.StructType([sources.schema[c] for c in keys]
                           + [T.StructField("defs", T.ArrayType(DEFINITION_ROW)),
@@ -240,8 +262,8 @@ def extract_definitions(sources: DataFrame, *, ignore_class_methods: bool = Fals
         for pdf in batches:
             out = pdf[keys].copy()
             defs, errors = [], []
-            for c in pdf[content]:
-                rows, err = parse_definitions(c, ignore_class_methods) if isinstance(c, str) else ([], None)
+            for c, p in zip(pdf[content], pdf[path].fillna("") if path else [None] * len(pdf)):
+                rows, err = definitions_of(c, p, ignore_class_methods)
                 defs.append(rows)
                 errors.append(err)
             out["defs"] = defs

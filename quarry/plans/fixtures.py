@@ -185,3 +185,127 @@ def python_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(F.concat(F.lit("pkg/mod_"), k, F.lit(".py")))
     return part.select(F.concat(F.lit("acme/"), F.lower(F.regexp_replace("p_brand", "#", ""))).alias("repo"),
                        path.alias("path"), content.alias("content"))
+
+
+# One file per language: @K is the part's key, @S its size. Comments, strings
+# and templates hold words and brackets that must not count.
+FILES = {
+    "STANDARD": ("src/part_@K.py", """class Part@K(Base):
+    def price(self):
+        return "class X:" * @S
+
+    @cached
+    def size(self):
+        def inner(): pass
+        return inner
+
+
+def check@K(x): return {"def": x}
+""", "def broken_(:\n"),
+    "ECONOMY": ("src/part_@K.go", """package parts
+
+// func hidden@K() {}
+type Part@K struct {
+	Size int // }
+}
+
+type (
+	Shape@K interface{ Area() float64 }
+)
+
+func external@K(x int) int
+func (p *Part@K) Price(x int) (interface{}, error) {
+	label := "}" + `{` + string('}')
+	return func() int { return x * @S }(), check(label)
+}
+func Map@K[T any](x T) map[string]struct{} { return nil }
+""", "func broken() {\n"),
+    "MEDIUM": ("src/main/Part@K.java", """package parts;
+
+/* class Hidden@K { */
+@Named("}")
+public final class Part@K<T> extends Base<T> implements Priced, Sized {
+  private final Runnable task = new Runnable() { public void run() { go(); } };
+  Part@K(int x) { super(x); }
+  @Override
+  public <R> Map<String, R> price(int x) throws IOException, BadPrice {
+    if (x > @S) { return "}"; } // }
+    return null;
+  }
+  abstract int none();
+  enum Kind { SMALL, LARGE; int rank() { return '}'; } }
+}
+""", "class Broken {\n"),
+    "PROMO": ("lib/part_@K.php", """<html> function page() { </html>
+<?php
+function check@K($x, array $y = [1]): ?int { # }
+  return "{$y["k"]} }" . @S;
+}
+abstract class Part@K extends Base {
+  use Priced;
+  public static function price(int $x) {
+    $f = function () { return 1; };
+    return <<<TEXT
+      } class Hidden {
+      TEXT;
+  }
+  abstract protected function none();
+}
+?> } text <?php trait Priced@K { private function &cost() { return $this->cost; } }
+""", "class Broken {\n"),
+    "LARGE": ("lib/part_@K.rb", """# def hidden; end
+module Parts@K
+  class Part < Base::Part
+    attr_reader :end, :class
+    def initialize(size, rest = {})
+      @size = size if rest
+      rest.each do |x| puts "end #{x ? "end" : @S}" end
+    end
+    def self.price x, *rest
+      while x do x.pop end
+      <<~TEXT
+        end def
+      TEXT
+    end
+    def cost = @size / 2 / 3
+    class << self
+      def single; begin; 1; rescue; 2; end; end
+    end
+  end
+end
+def check@K(x) { if: x, end: %w[end def] } end
+""", "def broken\n"),
+    "SMALL": ("web/part_@K.js", """// function hidden@K() {}
+export default async function check@K({ x } = {}) { return `a ${x ? `{${x}` : "}"} }`; }
+const pattern = /[/}]{/g, half = @S / 2 / 3;
+export class Part@K extends mixin(Base) {
+  #size = 1;
+  constructor(x) { super(x); }
+  static async *price() { yield @S }
+  get size() {
+    return this.#size;
+  }
+  task = () => { class Inner { run() {} } };
+}
+if (half) { function* nested@K() { function deep() {} } }
+""", "function broken() {\n"),
+}
+
+
+def language_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One source file per ``part`` row, in one of six languages by the
+    part's type; files of sizes above 45 end in a definition that breaks off."""
+    part = read_table(spark, sf_dir, "part")
+
+    def filled(text: str) -> F.Column:
+        return F.replace(F.replace(F.lit(text), F.lit("@K"), _s("p_partkey")), F.lit("@S"), _s("p_size"))
+
+    def by_type(value) -> F.Column:
+        out = F.lit(None).cast("string")
+        for kind, own in FILES.items():
+            out = F.when(F.col("p_type") == kind, value(own)).otherwise(out)
+        return out
+
+    broken = F.when(F.col("p_size") > 45, by_type(lambda f: F.lit(f[2]))).otherwise("")
+    return part.select(F.lower(F.regexp_replace("p_brand", "#", "")).alias("repo"), by_type(lambda f: filled(f[0])).alias("path"),
+                       F.concat(by_type(lambda f: filled(f[1])), broken).alias("content"))

@@ -659,3 +659,159 @@ WITH m AS ({_MOD}) SELECT repo, count(*) AS n_broken FROM m WHERE p_size > 45 GR
 """
 
 ORACLE_SQL.update({"extraction_errors": EXTRACTION_ERRORS})
+
+
+# ---------------------------------------------------------------------------
+# Definitions in six languages: what each generated file holds, by hand
+# (kind, in a class, name, first line, last line, body).
+
+_HELD = {
+    "STANDARD": ("python", "src/part_@K.py", [
+        ("class", False, "Part@K", 1, 8, """def price(self):
+        return "class X:" * @S
+
+    @cached
+    def size(self):
+        def inner(): pass
+        return inner"""),
+        ("function", True, "price", 2, 3, """return "class X:" * @S"""),
+        ("function", True, "size", 5, 8, """def inner(): pass
+        return inner"""),
+        ("function", False, "check@K", 11, 11, """return {"def": x}""")]),
+    "ECONOMY": ("go", "src/part_@K.go", [
+        ("class", False, "Part@K", 4, 6, """{
+	Size int // }
+}"""),
+        ("class", False, "Shape@K", 9, 9, "{ Area() float64 }"),
+        ("function", False, "Price", 13, 16, """{
+	label := "}" + `{` + string('}')
+	return func() int { return x * @S }(), check(label)
+}"""),
+        ("function", False, "Map@K", 17, 17, "{ return nil }")]),
+    "MEDIUM": ("java", "src/main/Part@K.java", [
+        ("class", False, "Part@K", 4, 15, """{
+  private final Runnable task = new Runnable() { public void run() { go(); } };
+  Part@K(int x) { super(x); }
+  @Override
+  public <R> Map<String, R> price(int x) throws IOException, BadPrice {
+    if (x > @S) { return "}"; } // }
+    return null;
+  }
+  abstract int none();
+  enum Kind { SMALL, LARGE; int rank() { return '}'; } }
+}"""),
+        ("function", True, "run", 6, 6, "{ go(); }"),
+        ("function", True, "Part@K", 7, 7, "{ super(x); }"),
+        ("function", True, "price", 8, 12, """{
+    if (x > @S) { return "}"; } // }
+    return null;
+  }"""),
+        ("class", False, "Kind", 14, 14, "{ SMALL, LARGE; int rank() { return '}'; } }"),
+        ("function", True, "rank", 14, 14, "{ return '}'; }")]),
+    "PROMO": ("php", "lib/part_@K.php", [
+        ("function", False, "check@K", 3, 5, """{ # }
+  return "{$y["k"]} }" . @S;
+}"""),
+        ("class", False, "Part@K", 6, 15, """{
+  use Priced;
+  public static function price(int $x) {
+    $f = function () { return 1; };
+    return <<<TEXT
+      } class Hidden {
+      TEXT;
+  }
+  abstract protected function none();
+}"""),
+        ("function", True, "price", 8, 13, """{
+    $f = function () { return 1; };
+    return <<<TEXT
+      } class Hidden {
+      TEXT;
+  }"""),
+        ("class", False, "Priced@K", 16, 16, "{ private function &cost() { return $this->cost; } }"),
+        ("function", True, "cost", 16, 16, "{ return $this->cost; }")]),
+    "LARGE": ("ruby", "lib/part_@K.rb", [
+        ("class", False, "Parts@K", 2, 20, """class Part < Base::Part
+    attr_reader :end, :class
+    def initialize(size, rest = {})
+      @size = size if rest
+      rest.each do |x| puts "end #{x ? "end" : @S}" end
+    end
+    def self.price x, *rest
+      while x do x.pop end
+      <<~TEXT
+        end def
+      TEXT
+    end
+    def cost = @size / 2 / 3
+    class << self
+      def single; begin; 1; rescue; 2; end; end
+    end
+  end"""),
+        ("class", False, "Part", 3, 19, """attr_reader :end, :class
+    def initialize(size, rest = {})
+      @size = size if rest
+      rest.each do |x| puts "end #{x ? "end" : @S}" end
+    end
+    def self.price x, *rest
+      while x do x.pop end
+      <<~TEXT
+        end def
+      TEXT
+    end
+    def cost = @size / 2 / 3
+    class << self
+      def single; begin; 1; rescue; 2; end; end
+    end"""),
+        ("function", True, "initialize", 5, 8, """@size = size if rest
+      rest.each do |x| puts "end #{x ? "end" : @S}" end"""),
+        ("function", True, "price", 9, 14, """while x do x.pop end
+      <<~TEXT
+        end def
+      TEXT"""),
+        ("function", True, "cost", 15, 15, "@size / 2 / 3"),
+        ("function", True, "single", 17, 17, "begin; 1; rescue; 2; end;"),
+        ("function", False, "check@K", 21, 21, "{ if: x, end: %w[end def] }")]),
+    "SMALL": ("javascript", "web/part_@K.js", [
+        ("function", False, "check@K", 2, 2, """{ return `a ${x ? `{${x}` : "}"} }`; }"""),
+        ("class", False, "Part@K", 4, 12, """{
+  #size = 1;
+  constructor(x) { super(x); }
+  static async *price() { yield @S }
+  get size() {
+    return this.#size;
+  }
+  task = () => { class Inner { run() {} } };
+}"""),
+        ("function", True, "constructor", 6, 6, "{ super(x); }"),
+        ("function", True, "price", 7, 7, "{ yield @S }"),
+        ("function", True, "size", 8, 10, """{
+    return this.#size;
+  }"""),
+        ("class", False, "Inner", 11, 11, "{ run() {} }"),
+        ("function", True, "run", 11, 11, "{}"),
+        ("function", False, "nested@K", 13, 13, "{ function deep() {} }")]),
+}
+
+
+def _filled(text: str) -> str:
+    literal = "'" + text.replace("'", "''") + "'"
+    return f"replace(replace({literal}, '@K', p_partkey::VARCHAR), '@S', p_size::VARCHAR)"
+
+
+def _held(methods: bool, path: str) -> str:
+    return " UNION ALL ".join(
+        f"SELECT '{language}' AS language, {path}{_filled(file)} AS path, '{kind}' AS kind, {_filled(name)} AS name, "
+        f"{first}::BIGINT AS start_line, {last}::BIGINT AS end_line, {_filled(body)} AS body "
+        f"FROM part WHERE p_type = '{type_}' AND p_size <= 45"
+        for type_, (language, file, rows) in _HELD.items() for kind, in_class, name, first, last, body in rows
+        if methods or not (in_class and kind == "function"))
+
+
+ORACLE_SQL.update({
+    "definitions_by_language": _held(True, ""),
+    "io_sources_by_language": _held(False, "lower(replace(p_brand, '#', '')) || '/' || "),
+    "broken_by_language": f"""
+SELECT CASE p_type {' '.join(f"WHEN '{t}' THEN '{v[0]}'" for t, v in _HELD.items())} END AS language, count(*) AS n_broken
+FROM part WHERE p_size > 45 GROUP BY 1""",
+})

@@ -642,3 +642,41 @@ QUERIES.update({
     "extract_definitions_no_methods": extract_definitions_no_methods,
     "extraction_summary": extraction_summary,
 })
+
+
+# ---------------------------------------------------------------------------
+# Definitions in six languages.
+
+def _definition_rows(defs: DataFrame, path: str) -> DataFrame:
+    return defs.select(xt.language_of(F.col(path)).alias("language"), F.col(path).alias("path"), "kind", "name",
+                       F.col("start_line").cast("long").alias("start_line"), F.col("end_line").cast("long").alias("end_line"), "body")
+
+
+def definitions_by_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Functions and classes of files in six languages, by their suffix."""
+    return _definition_rows(xt.extract_definitions(fx.language_sources(spark, sf_dir), path="path"), "path")
+
+
+def io_sources_by_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same files written into nested folders, found again by
+    language and parsed without the methods of classes."""
+    root = scratch_dir(spark, "io-languages")
+    src = fx.language_sources(spark, sf_dir).select(F.concat_ws("/", "repo", "path").alias("file"), "content")
+    notes = src.select(F.concat("file", F.lit(".txt")).alias("file"), "content")
+    sio.write_files(src.unionByName(notes), root, "file", "content")
+    found = sio.read_sources(spark, root, languages=("python", "go", "java", "php", "ruby", "javascript"))
+    return _definition_rows(xt.extract_definitions(found, path="file", ignore_class_methods=True), "file")
+
+
+def broken_by_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of each language that do not parse."""
+    defs = xt.extract_definitions(fx.language_sources(spark, sf_dir), path="path", with_errors=True)
+    return (defs.where(F.col("error").isNotNull()).groupBy(xt.language_of(F.col("path")).alias("language"))
+            .agg(F.count("*").alias("n_broken")))
+
+
+QUERIES.update({
+    "definitions_by_language": definitions_by_language,
+    "io_sources_by_language": io_sources_by_language,
+    "broken_by_language": broken_by_language,
+})

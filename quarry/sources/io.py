@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarry.functions.text import split_repo_path
+from quarry.operators.grammars import LANGUAGE_OF
 from quarry.session import stored
 
 BLOB_CSV_SCHEMA = T.StructType([T.StructField("repo_path", T.StringType()),
@@ -119,10 +120,13 @@ def read_predictions(spark: SparkSession, path) -> DataFrame:
     return read_csv_table(spark, path, PREDICTION_SCHEMA)
 
 
-def read_sources(spark: SparkSession, root: str, suffixes: tuple[str, ...] = (".py",)) -> DataFrame:
+def read_sources(spark: SparkSession, root: str, suffixes: tuple[str, ...] = (".py",),
+                 languages: tuple[str, ...] | None = None) -> DataFrame:
     """Every file under ``root`` (recursively) with one of the
-    suffixes, one row per file: ``file`` (path relative to root) and
-    ``content`` (whole text)."""
+    suffixes, or in one of the ``languages``, one row per file: ``file``
+    (path relative to root) and ``content`` (whole text)."""
+    if languages is not None:
+        suffixes = tuple(s for s, name in LANGUAGE_OF.items() if name in languages)
     glob = "*" + suffixes[0] if len(suffixes) == 1 else "*.{" + ",".join(s.lstrip(".") for s in suffixes) + "}"
     df = (spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob)
           .text(root, wholetext=True)
