@@ -38,7 +38,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.operators import grammars
+from quarry.operators import grammars, pysource
+from quarry.operators.pysource import Source
 from quarry.functions.text import comment_tokens, docstring_head, exclude_test_paths, keep_function, unindent
 
 _WS = re.compile(r"\s+")
@@ -62,35 +63,13 @@ def _scan(stmts, kinds):
                 yield from _scan(handler.body, kinds)
 
 
-def _docstring_literal(lines: list[str], fn) -> str:
+def _docstring(fn):
+    """The node of a function's docstring, or None."""
     first = fn.body[0] if fn.body else None
     if (isinstance(first, ast.Expr) and isinstance(first.value, ast.Constant)
             and isinstance(first.value.value, str)):
-        return _segment(lines, first.value)
-    return ""
-
-
-def _segment(lines: list[str], node) -> str:
-    """Source text of a node from (lineno, col) to (end_lineno, end_col)."""
-    l0, c0, l1, c1 = node.lineno - 1, node.col_offset, node.end_lineno - 1, node.end_col_offset
-    if l0 == l1:
-        return _cut(lines[l0], c0, c1)
-    parts = [_cut(lines[l0], c0, None)] + lines[l0 + 1:l1] + [_cut(lines[l1], 0, c1)]
-    return "".join(parts)
-
-
-_LINE = re.compile(r"[^\r\n]*(?:\r\n|\r|\n)|[^\r\n]+\Z")
-
-
-def _lines(content: str) -> list[str]:
-    """Lines with their endings, split only where ``ast`` counts lines."""
-    return _LINE.findall(content)
-
-
-def _cut(line: str, start: int, end: int | None) -> str:
-    # ast offsets are UTF-8 byte offsets.
-    raw = line.encode("utf-8")
-    return raw[start:end].decode("utf-8", errors="replace")
+        return first.value
+    return None
 
 
 def _lead(lines: list[str], fn) -> int:
@@ -102,26 +81,30 @@ def _lead(lines: list[str], fn) -> int:
     return at
 
 
-def parse_functions(content: str) -> list[dict]:
-    """X1 for one file: raw pieces of each function (no filtering)."""
-    try:
-        tree = ast.parse(content)
-    except (SyntaxError, ValueError, RecursionError, MemoryError):
-        return []
-    lines = _lines(content)
-    defs = list(_scan(tree.body, _FUNCS))
-    for cls in _scan(tree.body, (ast.ClassDef,)):
+def _functions_of(source: Source, before: int, module: list) -> list[dict]:
+    """The functions of a tree: of the module, then of its classes."""
+    defs = list(_scan(module, _FUNCS))
+    for cls in _scan(module, (ast.ClassDef,)):
         defs.extend(_scan(cls.body, _FUNCS))
     out = []
     for fn in defs:
-        first = lines[fn.lineno - 1]
-        indent = _cut(first, 0, fn.col_offset)
-        code = "".join(lines[_lead(lines, fn):fn.end_lineno])
-        out.append({"func_name": fn.name, "lineno": fn.lineno, "raw_code": code,
-                    "indent": indent, "docstring": _docstring_literal(lines, fn)})
+        doc = _docstring(fn)
+        out.append({"func_name": fn.name, "lineno": fn.lineno + before,
+                    "raw_code": "".join(source.lines[_lead(source.lines, fn):fn.end_lineno]),
+                    "indent": source.indent(fn.lineno), "docstring": source.of(doc) if doc is not None else ""})
     return out
 
 
+def parse_functions(content: str, recover: bool = False) -> list[dict]:
+    """X1 for one file: raw pieces of each function (no filtering). A file that
+    neither grammar accepts has none, or with ``recover`` those of its sound pieces."""
+    source = Source(content)
+    if source.tree is not None:
+        return _functions_of(source, 0, source.tree.body)
+    pieces = pysource.recover(content) if recover else []
+    return [f for piece, before in pieces for f in _functions_of(piece, before, piece.tree.body)]
+
+
 FUNCTION_ROW = T.StructType([
     T.StructField("func_name", T.StringType()), T.StructField("lineno", T.IntegerType()),
     T.StructField("raw_code", T.StringType()), T.StructField("indent", T.StringType()),
@@ -129,13 +112,14 @@ FUNCTION_ROW = T.StructType([
 ])
 
 
-def extract_functions(blobs: DataFrame, *, require_docstring: bool = True,
-                      docstring_mode: str = "reference", content: str = "content") -> DataFrame:
+def extract_functions(blobs: DataFrame, *, require_docstring: bool = True, docstring_mode: str = "reference",
+                      content: str = "content", recover: bool = False) -> DataFrame:
     """One row per kept function with
     repo, path, lineno, func_name, language, code, docstring.
 
     ``blobs`` has repo, path, content. Files without functions vanish (an
-    explode, not explode_outer), as in the reference.
+    explode, not explode_outer), as in the reference. With ``recover`` a file
+    that does not parse gives the functions of its sound pieces.
     """
     keys = [c for c in blobs.columns if c != content]
     schema = T.StructType([blobs.schema[c] for c in keys]
@@ -144,7 +128,7 @@ def extract_functions(blobs: DataFrame, *, require_docstring: bool = True,
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = pdf[keys].copy()
-            out["fn"] = [parse_functions(c) if isinstance(c, str) else [] for c in pdf[content]]
+            out["fn"] = [parse_functions(c, recover) if isinstance(c, str) else [] for c in pdf[content]]
             yield out
 
     parsed = blobs.mapInPandas(run, schema).select(*keys, F.explode("fn").alias("f"))
@@ -159,32 +143,22 @@ def extract_functions(blobs: DataFrame, *, require_docstring: bool = True,
 # ---------------------------------------------------------------------------
 # Definitions with bodies.
 
-def _block_text(lines: list[str], node) -> tuple[str, int, int]:
-    body = node.body
-    first = body[0]
-    start_line, start_col = first.lineno, first.col_offset
+def _block_text(source: Source, node) -> str:
+    first, last = node.body[0], node.body[-1]
+    line, column = first.lineno, first.col_offset
     decos = getattr(first, "decorator_list", None) or []
     if decos:
         d = min(decos, key=lambda x: (x.lineno, x.col_offset))
-        start_line, start_col = d.lineno, d.col_offset - 1  # the '@'
-    last = body[-1]
-
-    class _Span:
-        pass
-
-    span = _Span()
-    span.lineno, span.col_offset = start_line, start_col
-    span.end_lineno, span.end_col_offset = last.end_lineno, last.end_col_offset
-    return _segment(lines, span), start_line, last.end_lineno
+        line, column = d.lineno, d.col_offset - 1  # the '@'
+    return source.segment(line, column, last.end_lineno, last.end_col_offset)
 
 
 def parse_definitions(content: str, ignore_class_methods: bool = False) -> tuple[list[dict], str | None]:
     """X3 for one file: (rows, error)."""
-    try:
-        tree = ast.parse(content)
-    except Exception as e:  # noqa: BLE001 - one bad file yields no rows
-        return [], f"{type(e).__name__}: {e}"
-    lines = _lines(content)
+    source = Source(content)
+    tree, lines = source.tree, source.lines
+    if tree is None:
+        return [], source.error
     rows: list[dict] = []
 
     def start_of(node) -> int:
@@ -199,13 +173,11 @@ def parse_definitions(content: str, ignore_class_methods: bool = False) -> tuple
             if isinstance(child, _FUNCS):
                 if parent_is_class and ignore_class_methods:
                     continue
-                body, _, _ = _block_text(lines, child)
-                rows.append({"kind": "function", "name": child.name, "body": body,
+                rows.append({"kind": "function", "name": child.name, "body": _block_text(source, child),
                              "start_line": start_of(child), "end_line": child.end_lineno,
                              "header": header(child)})
             elif isinstance(child, ast.ClassDef):
-                body, _, _ = _block_text(lines, child)
-                rows.append({"kind": "class", "name": child.name, "body": body,
+                rows.append({"kind": "class", "name": child.name, "body": _block_text(source, child),
                              "start_line": start_of(child), "end_line": child.end_lineno,
                              "header": header(child)})
                 walk(child, True)
@@ -295,55 +267,59 @@ def build_tags(sources: DataFrame, *, path: str = "file", content: str = "conten
 # ---------------------------------------------------------------------------
 # Code tokens.
 
+def _code_tokens(source: Source) -> Iterator[tuple[str, str, int]]:
+    """(kind, text, place) of the tokens that are no white space."""
+    if source.old:
+        for t in pysource.tokens_of(source.text):
+            if t.kind not in ("space", "line"):
+                yield t.kind, t.text, t.start
+        return
+    kinds = {tokenize.COMMENT: "comment", tokenize.STRING: "string", tokenize.NAME: "word"}
+    skip = (tokenize.NL, tokenize.NEWLINE, tokenize.INDENT, tokenize.DEDENT, tokenize.ENDMARKER)
+    for tok in tokenize.generate_tokens(io.StringIO(source.text).readline):
+        if tok.type not in skip and tok.string and not _WS.match(tok.string):
+            yield kinds.get(tok.type, "sign"), tok.string, source.starts[tok.start[0] - 1] + tok.start[1]
+
+
 def tokenize_code(code: str, func_only: bool = True, only_ids: bool = False,
                   add_keywords: bool = True) -> tuple[list[str], list[str]]:
     """Token values and whole comments of one function (see module docstring)."""
     try:
-        tree = ast.parse(code)
-        start = (1, 0)
-        doc_pos = None
+        source = Source(code)
+        start, doc_at = 0, -1
+        if source.tree is None:
+            return [], []
         if func_only:
-            fns = list(_scan(tree.body, _FUNCS))
+            fns = list(_scan(source.tree.body, _FUNCS))
             if not fns:
                 return [], []
-            fn = fns[0]
-            start = (fn.lineno, fn.col_offset)
-            first = fn.body[0] if fn.body else None
-            if (isinstance(first, ast.Expr) and isinstance(first.value, ast.Constant)
-                    and isinstance(first.value.value, str)):
-                doc_pos = (first.value.lineno, first.value.col_offset)
+            start = source.place(fns[0].lineno, fns[0].col_offset)
+            doc = _docstring(fns[0])
+            doc_at = source.place(doc.lineno, doc.col_offset) if doc is not None else -1
         code_tokens, comments = [], []
-        skip = (tokenize.NL, tokenize.NEWLINE, tokenize.INDENT, tokenize.DEDENT, tokenize.ENDMARKER)
-        for tok in tokenize.generate_tokens(io.StringIO(code).readline):
-            if tok.type in skip or tok.start < start:
-                continue
-            if tok.type == tokenize.COMMENT:
-                comments.append(tok.string)
+        old_words = {"print", "exec"} if source.old else set()
+        for kind, text, at in _code_tokens(source):
+            if at < start:
                 continue
-            if doc_pos is not None and tok.type == tokenize.STRING and \
-                    (tok.start[0], _byte_col(code, tok)) == doc_pos:
+            if kind == "comment":
+                comments.append(text)
                 continue
-            if not tok.string or _WS.match(tok.string):
+            if kind == "string" and at == doc_at:
                 continue
-            is_kw = tok.type == tokenize.NAME and keyword.iskeyword(tok.string)
+            is_kw = kind == "word" and (keyword.iskeyword(text) or text in old_words)
             if only_ids:
-                if tok.type == tokenize.NAME and not is_kw:
-                    code_tokens.append(tok.string)
+                if kind == "word" and not is_kw:
+                    code_tokens.append(text)
             elif is_kw:
                 if add_keywords:
-                    code_tokens.append(tok.string)
+                    code_tokens.append(text)
             else:
-                code_tokens.append(tok.string)
+                code_tokens.append(text)
         return code_tokens, comments
     except Exception:  # noqa: BLE001 - reference: any error -> empty lists
         return [], []
 
 
-def _byte_col(code: str, tok) -> int:
-    line = tok.line if tok.line else code.splitlines()[tok.start[0] - 1]
-    return len(line[:tok.start[1]].encode("utf-8"))
-
-
 CODE_TOKENS = T.StructType([T.StructField("code_tokens", T.ArrayType(T.StringType())),
                             T.StructField("comments", T.ArrayType(T.StringType()))])
 

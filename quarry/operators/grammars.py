@@ -59,7 +59,7 @@ GRAMMARS = {
     "java": Grammar(".java", _C_COMMENTS, rf'"""(?:\\.|.)*?"""|{_DOUBLE}|{_SINGLE}', word=r"[^\W\d$][\w$]*|\$[\w$]*",
                     classes=_set("class interface enum record"), methods=True),
     "php": Grammar(".php", r"//(?:(?!\?>)[^\n])*|#(?!\[)(?:(?!\?>)[^\n])*|/\*.*?\*/",
-                   r"'(?:\\.|[^'\\])*'" r'|"(?:\\.|\{\$[^}]*\}|[^"\\])*"' r"|`[^`]*`"
+                   r"'(?:\\.|[^'\\])*'" r'|"(?:\\.|\{\$(?:[^}"\']|"[^"]*"|\'[^\']*\')*\}|[^"\\])*"' r"|`[^`]*`"
                    r"|<<<[ \t]*(?P<here>[\"']?)(?P<id>[^\W\d]\w*)(?P=here)\r?\n.*?^[ \t]*(?P=id)\b",
                    word=r"\$?[^\W\d]\w*", functions=_set("function"), classes=_set("class interface trait enum")),
     "javascript": Grammar(".js", _C_COMMENTS, rf"{_DOUBLE}|{_SINGLE}", word=r"[#]?(?:[^\W\d]|\$)[\w$]*",

@@ -309,3 +309,43 @@ def language_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     broken = F.when(F.col("p_size") > 45, by_type(lambda f: F.lit(f[2]))).otherwise("")
     return part.select(F.lower(F.regexp_replace("p_brand", "#", "")).alias("repo"), by_type(lambda f: filled(f[0])).alias("path"),
                        F.concat(by_type(lambda f: filled(f[1])), broken).alias("content"))
+
+
+OLD_MODULE = """# priced by size
+class Old@K(Base):
+    \"\"\"Holds größere parts.\"\"\"
+    def show(self, (x, y), mode=0755):
+        \"\"\"Show the price of parts.\"\"\"
+        print >>self.out, "price: %s" % `x`, @S
+        try: exec self.code in self.space
+        except (IOError, OSError), e:
+            raise ValueError, "no price"
+        return lambda (p, q): p <> 10L
+
+def price@K(x):
+    ur\"\"\"Compute the größte price quickly.\"\"\"
+    if x: print "priced"  # now
+    return x * @S
+"""
+BROKEN_CLASS = """class Half@K:
+    def good@K(self, x):
+        \"\"\"Return the size of it.\"\"\"
+        return x
+    def bad@K(self:
+        \"\"\"Not a sound method here.\"\"\"
+        return 2
+    def fine@K(self):
+        \"\"\"Print the size of parts.\"\"\"
+        print self.size
+def broken@K(:
+"""
+
+
+def old_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One Python module of the older grammar per ``part`` row; those of sizes
+    above 45 end in a class and a function that break off."""
+    part = read_table(spark, sf_dir, "part")
+    text = F.concat(F.lit(OLD_MODULE), F.when(F.col("p_size") > 45, F.lit(BROKEN_CLASS)).otherwise(""))
+    text = F.replace(F.replace(text, F.lit("@K"), _s("p_partkey")), F.lit("@S"), _s("p_size"))
+    return part.select(F.lower(F.regexp_replace("p_brand", "#", "")).alias("repo"),
+                       F.concat(F.lit("old/mod_"), _s("p_partkey"), F.lit(".py")).alias("path"), text.alias("content"))

@@ -815,3 +815,70 @@ ORACLE_SQL.update({
 SELECT CASE p_type {' '.join(f"WHEN '{t}' THEN '{v[0]}'" for t, v in _HELD.items())} END AS language, count(*) AS n_broken
 FROM part WHERE p_size > 45 GROUP BY 1""",
 })
+
+
+# ---------------------------------------------------------------------------
+# Python files of the older grammar: what each holds, by hand.
+
+_SHOW = """def show(self, (x, y), mode=0755):
+    \"\"\"Show the price of parts.\"\"\"
+    print >>self.out, "price: %s" % `x`, @S
+    try: exec self.code in self.space
+    except (IOError, OSError), e:
+        raise ValueError, "no price"
+    return lambda (p, q): p <> 10L"""
+_PRICE = """
+def price@K(x):
+    ur\"\"\"Compute the größte price quickly.\"\"\"
+    if x: print "priced"  # now
+    return x * @S"""
+_GOOD = """def good@K(self, x):
+    \"\"\"Return the size of it.\"\"\"
+    return x"""
+_FINE = """def fine@K(self):
+    \"\"\"Print the size of parts.\"\"\"
+    print self.size"""
+_SHOW_DOC, _PRICE_DOC = '"""Show the price of parts."""', 'ur"""Compute the größte price quickly."""'
+
+
+def _old(rows, where: str) -> str:
+    return " UNION ALL ".join(
+        f"SELECT 'old/mod_' || p_partkey::VARCHAR || '.py' AS path, {_filled(name)} AS func_name, {line}::BIGINT AS lineno, "
+        f"{_filled(code)} AS code, {_filled(doc)} AS docstring FROM part WHERE {where}" for name, line, code, doc in rows)
+
+
+_SOUND = [("show", 4, _SHOW, _SHOW_DOC), ("price@K", 12, _PRICE, _PRICE_DOC)]
+_RECOVERED = [("good@K", 17, _GOOD, '"""Return the size of it."""'), ("fine@K", 23, _FINE, '"""Print the size of parts."""')]
+
+
+def _indented(text: str, by: str = "    ") -> str:
+    return ("\n" + by).join(text.split("\n"))
+
+
+_OLD_DEFINITIONS = [
+    ("class", "Old@K", 2, 10, '"""Holds größere parts."""\n    ' + _indented(_SHOW)),
+    ("function", "show", 4, 10, _indented(_SHOW).split("\n", 1)[1].lstrip()),
+    ("function", "price@K", 12, 15, _PRICE.split("\n", 2)[2].lstrip())]
+
+_OLD_TOKENS = [
+    ("show", 'def show ( self , ( x , y ) , mode = 0755 ) : print >> self . out , "price: %s" % ` x ` , @S try : exec self . code in self . space '
+             'except ( IOError , OSError ) , e : raise ValueError , "no price" return lambda ( p , q ) : p <> 10L',
+     "show self x y mode self out x self code self space IOError OSError e ValueError p q p",
+     'show ( self , ( x , y ) , mode = 0755 ) : >> self . out , "price: %s" % ` x ` , @S : self . code self . space '
+     '( IOError , OSError ) , e : ValueError , "no price" ( p , q ) : p <> 10L', ': print >>', f": {_SHOW_DOC} print >>", ""),
+    ("price@K", 'def price@K ( x ) : if x : print "priced" return x * @S', "price@K x x x", 'price@K ( x ) : x : "priced" x * @S',
+     ": if x", f": {_PRICE_DOC} if x", "now"),
+]
+
+ORACLE_SQL.update({
+    "functions_old_grammar": _old(_SOUND, "p_size <= 45"),
+    "functions_recovered": _old(_SOUND, "true") + " UNION ALL " + _old(_RECOVERED, "p_size > 45"),
+    "definitions_old_grammar": " UNION ALL ".join(
+        f"SELECT 'old/mod_' || p_partkey::VARCHAR || '.py' AS path, '{kind}' AS kind, {_filled(name)} AS name, {a}::BIGINT AS start_line, "
+        f"{b}::BIGINT AS end_line, {_filled(body)} AS body FROM part WHERE p_size <= 45" for kind, name, a, b, body in _OLD_DEFINITIONS),
+    "code_tokens_flags": " UNION ALL ".join(
+        f"SELECT 'old/mod_' || p_partkey::VARCHAR || '.py' AS path, {_filled(name)} AS func_name, {_filled(tokens)} AS tokens, "
+        f"{_filled(ids)} AS ids, {_filled(bare)} AS no_keywords, {_filled(tokens.replace(cut, whole, 1))} AS whole, "
+        f"'{comments}' AS comment_tokens FROM part WHERE p_size <= 45"
+        for name, tokens, ids, bare, cut, whole, comments in _OLD_TOKENS),
+})

@@ -680,3 +680,43 @@ QUERIES.update({
     "io_sources_by_language": io_sources_by_language,
     "broken_by_language": broken_by_language,
 })
+
+
+# ---------------------------------------------------------------------------
+# Python files of the older grammar, and broken ones.
+
+def functions_old_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Functions of modules that only the older grammar accepts; broken ones have none."""
+    funcs = xt.extract_functions(fx.old_sources(spark, sf_dir))
+    return funcs.select("path", "func_name", F.col("lineno").cast("long").alias("lineno"), "code", "docstring")
+
+
+def functions_recovered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """X1 with ``recover``: broken modules give the functions of their sound pieces."""
+    funcs = xt.extract_functions(fx.old_sources(spark, sf_dir), recover=True)
+    return funcs.select("path", "func_name", F.col("lineno").cast("long").alias("lineno"), "code", "docstring")
+
+
+def definitions_old_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """X3/X5 on the same modules."""
+    defs = xt.extract_definitions(fx.old_sources(spark, sf_dir))
+    return defs.select("path", "kind", "name", F.col("start_line").cast("long").alias("start_line"),
+                       F.col("end_line").cast("long").alias("end_line"), "body")
+
+
+def code_tokens_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T2/T3 with each flag, on functions of the older grammar."""
+    funcs = xt.extract_functions(fx.old_sources(spark, sf_dir))
+    tok = funcs.select("path", "func_name", xt.code_tokens("code").alias("a"), xt.code_tokens("code", only_ids=True).alias("b"),
+                       xt.code_tokens("code", add_keywords=False).alias("c"), xt.code_tokens("code", func_only=False).alias("d"))
+    return tok.select("path", "func_name", F.array_join("a.code_tokens", " ").alias("tokens"), F.array_join("b.code_tokens", " ").alias("ids"),
+                      F.array_join("c.code_tokens", " ").alias("no_keywords"), F.array_join("d.code_tokens", " ").alias("whole"),
+                      F.array_join("a.comment_tokens", " ").alias("comment_tokens"))
+
+
+QUERIES.update({
+    "functions_old_grammar": functions_old_grammar,
+    "functions_recovered": functions_recovered,
+    "definitions_old_grammar": definitions_old_grammar,
+    "code_tokens_flags": code_tokens_flags,
+})
