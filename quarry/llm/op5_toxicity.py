@@ -16,6 +16,10 @@ significant if that number is at most ``MAX_EXPECTED``. A document's score
 comes from its best and its summed significant passages through a logistic
 curve fitted on the sample, each sample document scored without its own counts.
 
+The query marks, it drops no row: ``kept`` says whether a filter by this
+operator would keep the document. With few labels nothing stands out from
+chance and nothing is marked (ten toxic documents of 2,500 words are too few).
+
 Defined results: a null or word-free text has no passage and the score of
 one; with no labelled row of both classes every score is 0; labels that are
 null or neither 0 nor 1 are not used, several labels of a document count as
@@ -37,7 +41,6 @@ from quarry.llm.common import documents, map_rows, share
 from quarry.session import read_table
 
 SAMPLE_DOCS = 20_000      # labelled documents that the fit reads, about
-LEXICON_TERMS = 50_000    # largest lexicon that is broadcast; the least certain terms go first
 MIN_Z = 2.5
 MAX_EXPECTED = 0.05
 BEGINNINGS = (4, 5, 6)    # letters of the word beginnings that are terms of their own ("abcd*")
@@ -186,8 +189,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) -> L
     a = n1 * (F.col("y1") + F.col("y0")) / (n1 + n0)
     odds = (F.log((F.col("y1") + a) / (2 * n1 - F.col("y1") - a)) - F.log((F.col("y0") + a) / (n0 + n1 - F.col("y0") - a)))
     z = odds / F.sqrt(1 / (F.col("y1") + a) + 1 / (F.col("y0") + a))
-    table = (counts.filter("y1 > 0").withColumn("z", z).filter(F.col("z") > MIN_Z)
-             .orderBy(F.col("z").desc(), "term").limit(LEXICON_TERMS).toPandas())
+    # As many terms at most as the toxic documents of the sample hold often enough to be certain.
+    table = counts.filter("y1 > 0").filter(z > MIN_Z).orderBy("term").toPandas()
     y1, y0 = table["y1"].to_numpy(float), table["y0"].to_numpy(float)
     # A word outside the lexicon: its share of the words of each class.
     in1, in0 = min(0.5, y1.sum() / n1), min(0.5, (y0.sum() + 1) / n0)
@@ -254,4 +257,5 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     lexicon = fit(docs, read_table(spark, sf_dir, "labels"))
     held = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) == 0, F.lit(False))
     return score_documents(docs, lexicon).select(
-        "doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+        "doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"),
+        (F.col("score") < 0.5).alias("kept"))
