@@ -26,6 +26,7 @@ the text; an empty table writes no record; other columns are not read.
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 import uuid
@@ -33,7 +34,6 @@ import zlib
 
 import numpy as np
 import pyarrow.fs as pafs
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,7 +43,7 @@ from quarry.session import scratch_dir
 
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 2
-KNOWN_PIECES = 1_000_000
+KNOWN_PIECES = 400_000
 MASK = 0xA282EAD8
 HEAD = struct.Struct("<QI")
 BODY = struct.Struct("<qII")
@@ -207,12 +207,13 @@ def read_stream(path: str, checksums: Checksums, chunk: int = 4 << 20):
 # --- tokenizer ----------------------------------------------------------------------------
 
 class Pieces(dict):
-    """Piece -> its ids as bytes, by the tokenizers library. The normalizer and the
-    split of the file never reach over ASCII white space, so a text's ids are
-    those of its space-free pieces, and each distinct piece is encoded once.
-    Pieces of Latin-1 letters and signs, which the normalizer only lower-cases,
-    are cut further by the file's own split, so that a word is encoded once
-    whatever its case and the signs beside it."""
+    """Word, sign or piece -> its ids as bytes, by the tokenizers library. The
+    normalizer and the split of the file never reach over ASCII white space, so
+    a text's ids are those of its space-free pieces, and each is encoded once.
+    Most texts are Latin-1 letters, digits and lone signs, of which the
+    normalizer only lower-cases letters and the split takes each word, digit and
+    sign by itself: they are cut by string replacement. Other texts are cut at
+    white space, and their pieces encoded as they stand."""
 
     def __init__(self, path: str | None):
         super().__init__()
@@ -228,51 +229,95 @@ class Pieces(dict):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.width = 2 if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
-        self.parts: dict[str, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.width = 2 if len(vocabulary) <= 1 << 16 else 4
+        mark = json.loads(self.tokenizer.to_str())["model"]["end_of_word_suffix"]
+        self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends_word[[i for t, i in vocabulary.items() if t.endswith(mark)]] = True
 
     def _learn(self, new: list[str]) -> None:
-        cut = list(map(_parts, new))
-        parts, kind = self.parts, f"<u{self.width}"
-        unknown = list({x for own in cut for x in own}.difference(parts))
-        for x, e in zip(unknown, self.tokenizer.encode_batch_fast(unknown, add_special_tokens=False)):
-            parts[x] = np.array(e.ids, kind).tobytes()
-        for p, own in zip(new, cut):
-            self[p] = parts[own[0]] if len(own) == 1 else b"".join(map(parts.__getitem__, own))
+        kind = f"<u{self.width}"
+        words = [p for p in new if p.isalpha() and (p.isascii() or PLAIN.fullmatch(p)) and p.islower()]
+        for a in range(0, len(words), JOINED):
+            self._learn_words(words[a:a + JOINED], kind)
+        others = list(set(new).difference(words)) if len(words) < len(new) else []
+        for p, e in zip(others, self.tokenizer.encode_batch_fast(others, add_special_tokens=False)):
+            self[p] = np.array(e.ids, kind).tobytes()
+
+    def _learn_words(self, words: list[str], kind: str) -> None:
+        """Words as one text; the last token of each word carries the file's mark of a word's end."""
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, kind)
+        ends = np.flatnonzero(self.ends_word[ids]) + 1
+        if len(ends) != len(words) or ends[-1] != len(ids):
+            raise RuntimeError("the tokenizer cuts a plain word")
+        raw, ends = ids.tobytes(), (ends * self.width).tolist()
+        self.update(zip(words, [raw[a:z] for a, z in zip([0, *ends], ends)]))
 
     def encode(self, texts: list[str], end_id: int) -> list[bytes]:
-        cut = [_pieces(t) for t in texts]
-        self._learn(list({p for pieces in cut for p in pieces}.difference(self)))
+        cut = list(map(_pieces, texts))
+        new = set().union(*cut).difference(self)
+        if new:
+            self._learn(list(new))
         end = np.array([end_id], f"<u{self.width}").tobytes()
         out = [b"".join(map(self.__getitem__, pieces)) + end for pieces in cut]
-        if len(self) + len(self.parts) > KNOWN_PIECES:
+        if len(self) > KNOWN_PIECES:
             self.clear()
-            self.parts.clear()
         return out
 
 
-# The split of the vocabulary file (fixed value), and the pieces it is applied to here.
-SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+JOINED = 4096  # words that are encoded as one text
 PLAIN = re.compile(r"[\x21-\x7e\xa1-\xff]+")
-
-
-def _parts(piece: str) -> list[str]:
-    """The parts of a piece that the library encodes one by one."""
-    if PLAIN.fullmatch(piece):
-        if piece.isalpha():
-            return [piece.lower()]
-        if piece[-1] in ".,;:!?" and piece[:-1].isalpha():
-            return [piece[:-1].lower(), piece[-1]]
-        if "<|" not in piece:
-            return SPLIT.findall(piece.lower())
-    return [piece]
+# Bytes of Latin-1: letters, white space; letters to lower case and white space to spaces.
+_LETTERS = bytes(c for c in range(256) if chr(c).isalpha())
+_NUMERIC = bytes(c for c in range(256) if chr(c).isnumeric())
+_USUAL = _LETTERS + b"\t\n\x0b\x0c\r .,"
+_LOWER = bytes(ord(chr(c).lower()) if c in _LETTERS else 32 if c in b"\t\n\x0b\x0c\r" else c for c in range(256))
+# Signs, of which a run is one part; and what cannot be cut here: other characters, apostrophes (contractions
+# are words) and the beginning of the file's special tokens.
+_SIGN = r"!-/:-@\[-`{-~\xa1-\xa9\xab-\xb1\xb4\xb6-\xb8\xbb\xbf\xd7\xf7"
+_ODD = r"[^\t-\r\x20-\x7e\xa1-\xff]|'|<\|"
+ODD, ODD_BYTES = re.compile(_ODD), re.compile(_ODD.encode())
+PAIR, RUN = re.compile(rf"[{_SIGN}][{_SIGN}]".encode()), re.compile(rf"[{_SIGN}]+".encode())
+
+
+def _cut(raw: bytes, rest: bytes) -> list[str]:
+    """The words, digits and runs of signs of a Latin-1 text without odd places; ``rest``: its characters that are not usual."""
+    raw = raw.translate(_LOWER)
+    if PAIR.search(raw) if rest else b".." in raw or b".," in raw or b",." in raw or b",," in raw:
+        raw = RUN.sub(rb" \g<0> ", raw)
+    else:
+        raw = raw.replace(b".", b" . ").replace(b",", b" , ")
+        for c in set(rest).difference(_NUMERIC):
+            raw = raw.replace(bytes((c,)), b" %c " % c)
+    for c in set(rest).intersection(_NUMERIC):
+        raw = raw.replace(bytes((c,)), b" %c " % c)
+    return raw.decode("latin-1").split()
 
 
 def _pieces(text: str) -> list[str]:
+    """The parts of a text that are encoded one by one."""
+    try:
+        raw = text.encode("latin-1")
+        rest = raw.translate(None, _USUAL)
+        if not rest or not ODD_BYTES.search(raw):
+            return _cut(raw, rest)
+    except UnicodeEncodeError:
+        pass
     for c in "\t\n\x0b\x0c\r":
-        if c in text:
-            text = text.replace(c, " ")
-    return [p for p in text.split(" ") if p]
+        text = text.replace(c, " ")
+    out: list[str] = []
+    at, n = 0, len(text)
+    while at < n:  # from one piece with an odd place to the next
+        m = ODD.search(text, at)
+        start = n if m is None else text.rfind(" ", at, m.start()) + 1 or at
+        raw = text[at:start].encode("latin-1")
+        out += _cut(raw, raw.translate(None, _USUAL))
+        if m is None:
+            break
+        at = text.find(" ", m.end())
+        at = n if at < 0 else at
+        out.append(text[start:at])
+    return out
 
 
 _CACHE: dict = {}
