@@ -6,45 +6,32 @@ many of the request's keywords occur in the tag's pattern line (substring,
 case-sensitive), keeps tags with at least ``min_hits`` and returns the
 best ``k`` per request.
 
-Substring matching is a theta join; joining every request to every tag of
-its snapshot is quadratic in a large snapshot, and checking a keyword
-against a long line is slow. The plan is an exact index join instead:
-
-* an identifier keyword (only ``[A-Za-z0-9_]``) can occur only inside a
-  maximal ``[A-Za-z0-9_]+`` run of the line. The distinct runs of each
-  snapshot are indexed by trigram; each keyword is joined to the runs
-  holding its rarest trigram, verified on the (short) run, and mapped back
-  to the tags containing that run;
-* a ``name: type`` phrase always contains ``:``, so it is joined to the
-  lines holding its rarest colon-trigram and verified on the line.
-
-Work is bounded by trigram selectivity and by the true matches, not by
-the snapshot size.
+Substring matching is a theta join. It runs in cells: the requests and the
+tags of a snapshot are cut into blocks of bounded size, and every pair of
+blocks is a cell of a cogroup. A cell builds one automaton of its requests'
+keywords and runs it once over its tag lines: over the distinct identifier
+runs of the lines for keywords that are identifiers (they occur only inside
+a run), over whole lines for the others. Hits are counted inside the cell,
+which gives back at most ``k`` tags per request; a second top-k joins the
+cells. What is shuffled are requests, tags and the cells' few rows, never a
+row per hit; a hot snapshot is more cells.
 """
 
 from __future__ import annotations
 
+import re
 import time
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from quarry.functions.text import keywords as keywords_expr
-from quarry.operators.split import with_row_index
-from quarry.session import stored
-
-
-def trigrams(col) -> Column:
-    """Distinct 3-character substrings of a string (empty if shorter).
-
-    A zero-width look-ahead match at every position captures the next three
-    characters; this stays in the JVM regex engine (no per-element lambda).
-    """
-    c = F.col(col) if isinstance(col, str) else col
-    return F.array_distinct(F.regexp_extract_all(c, F.lit(r"(?s)(?=(.{3}))"), 1))
 
 
 def with_keywords(requests: DataFrame, text: str = "problem_statement",
@@ -54,96 +41,123 @@ def with_keywords(requests: DataFrame, text: str = "problem_statement",
             .withColumn("keyword_num", F.size("keywords")))
 
 
-def colon_trigrams(col) -> Column:
-    """Distinct trigrams of a string that contain a colon."""
-    c = F.col(col) if isinstance(col, str) else col
-    return F.array_distinct(F.regexp_extract_all(c, F.lit(r"(?s)(?=(:..|.:.|..:))"), 1))
-
-
-IDENT_RUN_RE = r"[A-Za-z0-9_]+"
-IDENT_ONLY_RE = r"^[A-Za-z0-9_]+$"
-
-
-def _rarest(keys: DataFrame, index: DataFrame, grams) -> DataFrame:
-    """(save_path, kw, tri): the keyword's rarest gram in ``index``
-    (save_path, tri, ...); keywords with a gram absent from the snapshot are
-    dropped (they cannot match there)."""
-    freq = index.groupBy("save_path", "tri").agg(F.count(F.lit(1)).alias("f"))
-    return (keys.select("save_path", "kw", F.explode(grams("kw")).alias("tri"))
-            .join(freq, ["save_path", "tri"], "left")
-            .groupBy("save_path", "kw")
-            .agg(F.count(F.lit(1)).alias("n_tri"), F.count("f").alias("n_present"),
-                 F.min_by("tri", F.struct(F.col("f"), F.col("tri"))).alias("tri"))
-            .where(F.col("n_tri") == F.col("n_present"))
-            .select("save_path", "kw", "tri"))
+# Requests and tags of one cell, about: blocks are dealt by a hash.
+REQUEST_BLOCK = 64
+TAG_BLOCK = 8192
+IDENT_RUN = re.compile(r"[A-Za-z0-9_]+")
+
+
+class KeywordIndex:
+    """The keywords of a block of requests, and which requests hold each."""
+
+    def __init__(self, keywords: list[list[str]]):
+        import ahocorasick
+
+        ids: dict[str, int] = {}
+        pairs = [(ids.setdefault(kw, len(ids)), r) for r, own in enumerate(keywords) for kw in set(own) if kw is not None]
+        held = np.array(sorted(pairs), np.int64).reshape(-1, 2)
+        self.requests = held[:, 1]
+        self.first = np.searchsorted(held[:, 0], np.arange(len(ids) + 1))
+        self.n = len(keywords)
+        self.automata = {}
+        for in_runs in (True, False):
+            automaton = ahocorasick.Automaton()
+            for kw, i in ids.items():
+                if bool(IDENT_RUN.fullmatch(kw)) == in_runs:
+                    automaton.add_word(kw, i)
+            if len(automaton):
+                automaton.make_automaton()
+                self.automata[in_runs] = automaton
+        self.of_run: dict[str, list[int]] = {}
+
+    def _found(self, in_runs: bool, text: str) -> set[int]:
+        automaton = self.automata.get(in_runs)
+        return {i for _, i in automaton.iter(text)} if automaton else set()
+
+    def hits(self, line: str) -> np.ndarray:
+        """How many keywords of each request occur in the line."""
+        found = self._found(False, line)
+        if True in self.automata:
+            for run in IDENT_RUN.findall(line):
+                own = self.of_run.get(run)
+                if own is None:
+                    own = self.of_run[run] = list(self._found(True, run))
+                found.update(own)
+        if not found:
+            return np.zeros(self.n, np.int64)
+        kws = np.fromiter(found, np.int64, len(found))
+        size = self.first[kws + 1] - self.first[kws]
+        start = np.repeat(self.first[kws] - np.cumsum(size) + size, size)
+        return np.bincount(self.requests[start + np.arange(len(start))], minlength=self.n)
+
+
+def _order(row: tuple) -> tuple:
+    """Nulls first, then by value, as Spark sorts."""
+    return tuple((x is not None, x) for x in row)
+
+
+def _best_tags(min_hits: int, k: int, names: list[str], schema: pa.Schema):
+    def cell(requests: pa.Table, tags: pa.Table) -> pa.Table:
+        if not requests.num_rows or not tags.num_rows:
+            return schema.empty_table()
+        keys = sorted(zip(*(tags[c].to_pylist() for c in names), tags["pattern"].to_pylist()), key=_order)
+        index = KeywordIndex([kws or [] for kws in requests["keywords"].to_pylist()])
+        hits = np.stack([index.hits(row[-1]) for row in keys]).T
+        # Of equal hits the earlier tag: one number says both.
+        worth = hits * len(keys) - np.arange(len(keys))
+        worth[(hits < min_hits) | (hits == 0)] = -len(keys)
+        kept = np.argpartition(-worth, k - 1, axis=1)[:, :k] if k < len(keys) else np.broadcast_to(np.arange(len(keys)), hits.shape)
+        r, at = np.nonzero(np.take_along_axis(worth, kept, 1) > -len(keys))
+        tag = kept[r, at]
+        ids = requests.column(0).take(pa.array(r))
+        rows = [keys[t] for t in tag.tolist()]
+        columns = [ids, *(pa.array([row[i] for row in rows], schema.field(i + 1).type) for i in range(len(names) + 1)),
+                   pa.array(hits[r, tag], pa.int64())]
+        return pa.table(columns, schema=schema)
+
+    return cell
+
+
+def _blocks(df: DataFrame, size: int, key: list[str], name: str) -> tuple[DataFrame, DataFrame]:
+    """(rows with their block of about ``size`` rows of a snapshot, snapshots with the numbers of their blocks)."""
+    counts = df.groupBy("save_path").agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias(f"n_{name}"))
+    rows = df.join(counts, "save_path").withColumn(name, F.pmod(F.xxhash64(*key), F.col(f"n_{name}")).cast("int"))
+    return rows.drop(f"n_{name}"), counts
 
 
 def match_tags(requests: DataFrame, tags: DataFrame, *, min_hits: int = 3, k: int = 10,
                request_id: str = "request_id") -> DataFrame:
     """J3/T6/P8/W1.
 
-    ``requests``: request_id, save_path, keywords (distinct strings, each at
-    least three characters, as produced by ``keywords``; a shorter one has no
-    trigram to be found by and is refused with an error).
+    ``requests``: request_id, save_path, keywords (read twice: give a stored
+    table), each keyword at least three characters, as produced by
+    ``keywords``; a shorter one is refused with an error.
     ``tags``: save_path, path, line, name, pattern.
-    Returns request_id, save_path, path, line, name, pattern, hits, rank.
-
-    Tags get a dense ``tag_id`` in (save_path, path, line, name) order, so the
-    heavy (request, keyword, tag) join and the hit count run on two longs,
-    and ``tag_id`` order is the tie-break order inside a snapshot.
+    Returns request_id, save_path, path, line, name, pattern, hits, rank; ties
+    go to the smaller (path, line, name). A keyword counts once per request
+    and tag; requests or tags with a null save_path, and tags with a null
+    pattern, match nothing.
     """
-    tag_key = ["save_path", "path", "line", "name"]
-    refuse = F.raise_error(F.lit("match_tags: a keyword has fewer than three characters"))
-    req_kw = (requests.where(F.size("keywords") > 0)
-              .select(request_id, "save_path", F.explode("keywords").alias("kw"))
-              .withColumn("kw", F.when(F.length("kw") >= 3, F.col("kw")).otherwise(refuse)))
-    kept = tags.where(~F.col("pattern").contains("test") & ~F.col("pattern").contains("Test"))
-    indexed = with_row_index(kept.select(*tag_key, "pattern"), tag_key, "tag_id")
-    keys = req_kw.select("save_path", "kw").distinct()
-    is_ident = F.col("kw").rlike(IDENT_ONLY_RE)
-
-    # Identifier keywords: via the distinct identifier runs of the snapshot.
-    # Runs and their trigrams feed two branches each: computed once.
-    run_tags = stored(indexed.select("save_path", "tag_id", F.explode(F.array_distinct(
-        F.regexp_extract_all("pattern", F.lit(IDENT_RUN_RE), 0))).alias("run")), "tag-runs")
-    run_tri = stored(run_tags.select("save_path", "run").distinct()
-                     .select("save_path", "run", F.explode(trigrams("run")).alias("tri")), "tag-trigrams")
-    ident_choice = _rarest(keys.where(is_ident), run_tri, trigrams)
-    kw_runs = (ident_choice.join(run_tri, ["save_path", "tri"])
-               .where(F.instr(F.col("run"), F.col("kw")) > 0)
-               .select("save_path", "kw", "run"))
-    ident_hits = (kw_runs.join(run_tags, ["save_path", "run"])
-                  .select("save_path", "kw", "tag_id").distinct())
-
-    # Phrase keywords: via colon trigrams of the lines, verified on the line.
-    line_tri = indexed.select("save_path", "tag_id", F.explode(colon_trigrams("pattern")).alias("tri"))
-    phrase_choice = _rarest(keys.where(~is_ident), line_tri, colon_trigrams)
-    phrase_hits = (phrase_choice.join(line_tri, ["save_path", "tri"])
-                   .join(indexed.select("tag_id", "pattern"), "tag_id")
-                   .where(F.instr(F.col("pattern"), F.col("kw")) > 0)
-                   .select("save_path", "kw", "tag_id"))
-
-    matches = ident_hits.unionByName(phrase_hits)
-    # Each match row fans out to every request holding the keyword; spread
-    # the (small) match table over the configured width so that fan-out is
-    # not left to the few tasks AQE would coalesce it into.
-    try:
-        width = int(requests.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    except (TypeError, ValueError):
-        width = requests.sparkSession.sparkContext.defaultParallelism
-    matches = matches.repartition(width, "save_path", "kw")
-    # Nearly every (request, keyword, tag) triple is a distinct (request,
-    # tag) pair on the join side, so a map-side partial count barely reduces
-    # anything; shuffling the triples by request instead makes the count and
-    # the top-k window below local to one partitioning.
-    counted = (req_kw.join(matches, ["save_path", "kw"])
-               .select(request_id, "tag_id")
-               .repartition(request_id)
-               .groupBy(request_id, "tag_id").agg(F.count(F.lit(1)).alias("hits")))
-    hits = counted.where((F.col("hits") >= min_hits) & (F.col("hits") > 0))
-    w = Window.partitionBy(request_id).orderBy(F.col("hits").desc(), F.col("tag_id"))
-    top = hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-    return top.join(indexed, "tag_id").select(request_id, *tag_key, "pattern", "hits", "rank")
+    names = ["path", "line", "name"]
+    refuse = F.raise_error(F.lit("match_tags: a keyword has fewer than three characters")).cast("array<string>")
+    asked = requests.where(F.size("keywords") > 0).select(
+        request_id, "save_path", F.when(F.exists("keywords", lambda w: F.length(w) < 3), refuse).otherwise(F.col("keywords")).alias("keywords"))
+    kept = (tags.where(~F.col("pattern").contains("test") & ~F.col("pattern").contains("Test"))
+            .select("save_path", *names, "pattern"))
+    left, n_left = _blocks(asked, REQUEST_BLOCK, [request_id], "a")
+    right, n_right = _blocks(kept, TAG_BLOCK, [*names, "pattern"], "b")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = left.join(n_right, "save_path").withColumn("b", every("n_b")).drop("n_b")
+    right = right.join(n_left, "save_path").withColumn("a", every("n_a")).drop("n_a")
+    out = T.StructType([requests.schema[request_id], *(tags.schema[c] for c in names),
+                        T.StructField("pattern", T.StringType()), T.StructField("hits", T.LongType())])
+    by = ["save_path", "a", "b"]
+    found = left.select(request_id, "keywords", *by).groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(
+        _best_tags(min_hits, k, names, to_arrow_schema(out)), out)
+    w = Window.partitionBy(request_id).orderBy(F.col("hits").desc(), *names)
+    top = found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return top.join(requests.select(request_id, "save_path"), request_id).select(
+        request_id, "save_path", *names, "pattern", "hits", "rank")
 
 
 # ---------------------------------------------------------------------------

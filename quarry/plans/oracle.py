@@ -882,3 +882,6 @@ ORACLE_SQL.update({
         f"'{comments}' AS comment_tokens FROM part WHERE p_size <= 45"
         for name, tokens, ids, bare, cut, whole, comments in _OLD_TOKENS),
 })
+
+# The stored index, searched in all its leaves, gives what the exact join gives.
+ORACLE_SQL["knn_index_by_key"] = KNN_BY_KEY

@@ -285,12 +285,11 @@ from quarry.operators import match as mt  # noqa: E402
 
 
 def _matched(spark, sf_dir):
-    """Keywords are extracted once per request and checkpointed (they feed
-    the index join, the hit join and the prompts); the issue text is joined
-    back only where the prompt needs it."""
+    """Keywords are extracted once per request and stored (they feed the
+    cells and the prompts); the issue text is joined back only where the
+    prompt needs it."""
     base = spread(fx.issue_requests(spark, sf_dir))
-    kw = (mt.with_keywords(base).select("request_id", "save_path", "keywords", "keyword_num")
-          .checkpoint(eager=True))
+    kw = stored(mt.with_keywords(base).select("request_id", "save_path", "keywords", "keyword_num"), "keywords")
     matched = mt.match_tags(kw, fx.line_tags(spark, sf_dir))
     req = kw.join(base.select("request_id", "problem_statement"), "request_id")
     return req, matched
@@ -720,3 +719,37 @@ QUERIES.update({
     "definitions_old_grammar": definitions_old_grammar,
     "code_tokens_flags": code_tokens_flags,
 })
+
+
+# ---------------------------------------------------------------------------
+# Stored index.
+
+from quarry.operators import forest as fo  # noqa: E402
+
+
+def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("query_id"), F.col("vec_id").alias("item_id"),
+                                                          F.col("embedding").alias("vec"), "label")
+
+
+def knn_index_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An index that is written once, opened again and searched
+    in all leaves of a tree, with candidates of the query's label: exact."""
+    vectors = _vectors(spark, sf_dir)
+    path = scratch_dir(spark, "vector-index")
+    fo.build_index(vectors, path, by="label", trees=1)
+    out = fo.search(fo.VectorIndex.open(spark, path), vectors, 5, by="label", exclude_self=True, effort=None)
+    return out.select("query_id", "item_id", "score", F.col("rank").cast("long").alias("rank"))
+
+
+def knn_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Approximate search over a forest; the leaves probed hold 0.7 times the items."""
+    vectors = _vectors(spark, sf_dir)
+    out = fo.search(fo.build_index(vectors, scratch_dir(spark, "vector-forest")), vectors, 5, exclude_self=True)
+    return out.select("query_id", "item_id", "score", F.col("rank").cast("long").alias("rank"))
+
+
+QUERIES.update({
+    "knn_index_by_key": knn_index_by_key,
+    "knn_forest": knn_forest,
+})

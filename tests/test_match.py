@@ -2,6 +2,8 @@
 
 import random
 
+import pytest
+
 from quarry.operators import match as mt
 
 
@@ -40,6 +42,49 @@ def test_match_tags_matches_bruteforce(spark):
     assert got == brute(requests, tags)
 
 
+def random_case(rnd, snapshots, paths, lines, n_requests):
+    words = ["alpha", "beta", "gam", "alphabet", "bet", "x: int", "y: str", "Test", "delta_1", "eps", "größe", "a.b", "x:  int", "日本語"]
+    tags = [(sp, path, line, f"n{line % 3}", " ".join(rnd.choice(words + ["zz", "qq:", "int"]) for _ in range(rnd.randrange(0, 9))))
+            for sp in snapshots for path in paths for line in range(lines)]
+    keys = [w for w in words if len(w) > 2] + ["eta", "lph", "x: i", "a_gam"]
+    requests = [(i, rnd.choice(snapshots), sorted(rnd.sample(keys, rnd.randrange(0, 9)))) for i in range(n_requests)]
+    return requests, tags
+
+
+@pytest.mark.parametrize("request_block, tag_block, k", [(64, 8192, 10), (3, 7, 4), (1, 1, 2), (50, 20, 1)])
+def test_cells_of_any_size_give_the_same_tags(spark, monkeypatch, request_block, tag_block, k):
+    """One snapshot holds most requests and tags; blocks cut it into many cells."""
+    monkeypatch.setattr(mt, "REQUEST_BLOCK", request_block)
+    monkeypatch.setattr(mt, "TAG_BLOCK", tag_block)
+    rnd = random.Random(request_block)
+    requests, tags = random_case(rnd, ["hot"] * 6 + ["b", "c"], ["p", "q"], 12, 30)
+    tags = sorted(set(tags), key=str)
+    req = spark.createDataFrame(requests, "request_id long, save_path string, keywords array<string>")
+    tdf = spark.createDataFrame(tags, "save_path string, path string, line int, name string, pattern string")
+    got = sorted((r.request_id, r.line, r.hits, r["rank"]) for r in mt.match_tags(req, tdf, min_hits=2, k=k).collect())
+    # Of equal (hits, path, line, name) any pattern may come first: compare without it.
+    assert got == sorted((i, line, h, rank) for i, _, line, h, rank in brute(requests, tags, 2, k))
+
+
+def test_match_tags_on_nulls_and_empty_tables(spark):
+    req = spark.createDataFrame([(1, "s", ["abc", None]), (2, None, ["abc"]), (3, "s", None), (4, "s", []), (5, "none", ["abc"])],
+                                "request_id long, save_path string, keywords array<string>")
+    tags = spark.createDataFrame([("s", None, None, None, "abc"), ("s", "p", 1, "n", None), (None, "p", 1, "n", "abc"), ("s", "p", 2, "n", "")],
+                                 "save_path string, path string, line int, name string, pattern string")
+    assert [tuple(r) for r in mt.match_tags(req, tags, min_hits=1).collect()] == [(1, "s", None, None, None, "abc", 1, 1)]
+    assert mt.match_tags(req.limit(0), tags, min_hits=1).count() == 0
+    assert mt.match_tags(req, tags.limit(0), min_hits=1).count() == 0
+
+
+def test_match_tags_shuffles_no_row_per_hit(spark):
+    """Every keyword of every request hits every tag; the cells give back k rows per request."""
+    req = spark.createDataFrame([(i, "s", [f"key{j}" for j in range(20)]) for i in range(50)], "request_id long, save_path string, keywords array<string>")
+    line = " ".join(f"key{j}" for j in range(20))
+    tags = spark.createDataFrame([("s", "p", i, "n", line) for i in range(400)], "save_path string, path string, line int, name string, pattern string")
+    rows = mt.match_tags(req, tags, k=3).collect()
+    assert {(r.line, r.hits, r["rank"]) for r in rows} == {(0, 20, 1), (1, 20, 2), (2, 20, 3)} and len(rows) == 150
+
+
 def test_rewrite_retries_and_failures(spark):
     calls = {"n": 0}
 
@@ -65,8 +110,6 @@ def test_rewrite_retries_and_failures(spark):
 
 
 def test_short_keywords_are_refused(spark):
-    import pytest
-
     req = spark.createDataFrame([(1, "s", ["ab", "abc"])], "request_id long, save_path string, keywords array<string>")
     tags = spark.createDataFrame([("s", "p", 1, "n", "abc ab")], "save_path string, path string, line int, name string, pattern string")
     with pytest.raises(Exception, match="fewer than three"):
