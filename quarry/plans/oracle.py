@@ -885,3 +885,21 @@ ORACLE_SQL.update({
 
 # The stored index, searched in all its leaves, gives what the exact join gives.
 ORACLE_SQL["knn_index_by_key"] = KNN_BY_KEY
+
+
+# ---------------------------------------------------------------------------
+# Shards, byte ranges, numbered chunks, tag files, token-list records, encoders.
+
+ORACLE_SQL.update({
+    "io_shards": """
+SELECT source AS repo, doc_id::VARCHAR AS path, md5(text) AS content_md5 FROM documents
+UNION ALL SELECT 'given up', (max(doc_id) // 50 + 1)::VARCHAR, NULL FROM documents""",
+    "io_blob_ranges": "SELECT source AS repo, doc_id::VARCHAR AS path, md5(text) AS content_md5 FROM documents",
+    "io_chunks": """
+SELECT 'chunk_' || (place // 100)::VARCHAR || '.jsonl' AS file, count(*) AS n, min(doc_id) AS first_id, max(doc_id) AS last_id
+FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS place FROM documents) GROUP BY 1""",
+    "io_tag_files": BUILD_TAGS.replace("SELECT path,", "SELECT replace(repo, '/', '_') || '_' || right(k, 1) AS save_path, path,"),
+    "io_definition_records": f"SELECT func_name AS identifier, path || '#' || func_name AS url, code_tokens AS tokens FROM ({CODE_TOKENS})",
+    "encode_custom": "SELECT doc_id, " + " || ',' || ".join(
+        f"(length(text) - length(replace(text, '{c}', '')))::VARCHAR" for c in "aeiou") + " AS vowels FROM documents",
+})

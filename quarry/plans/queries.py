@@ -615,8 +615,7 @@ def labels_by_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Requests in the order of their label counts, ties by id, with their place."""
     counted = _parsed_labels(spark, sf_dir).select("request_id", "n_total")
     ordered = st.order_by_counts(counted, "n_total", ["request_id"])
-    return sp.with_row_index(ordered, [F.col("n_total").desc(), "request_id"], "place").select(
-        "request_id", F.col("n_total").cast("long").alias("n_total"), "place")
+    return sp.with_place(ordered).select("request_id", F.col("n_total").cast("long").alias("n_total"), "place")
 
 
 def io_broken_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -753,3 +752,83 @@ QUERIES.update({
     "knn_index_by_key": knn_index_by_key,
     "knn_forest": knn_forest,
 })
+
+
+# ---------------------------------------------------------------------------
+# Shards, byte ranges, numbered chunks, tag files, token-list records, encoders.
+
+from quarry.sources import shards as sh  # noqa: E402
+
+SHARD_ROWS = 50
+
+
+def io_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents in numbered CSV shards, read back; a number without a shard is reported."""
+    root = scratch_dir(spark, "io-shards")
+    quoted = lambda c: F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))
+    docs = _documents(spark, sf_dir).withColumn("shard", F.floor(F.col("doc_id") / SHARD_ROWS).cast("int"))
+    line = F.concat(quoted(F.concat_ws(" ", "source", F.col("doc_id").cast("string"))), F.lit(","), quoted(F.col("text")), F.lit("\n"))
+    files = docs.groupBy("shard").agg(F.concat(F.lit("repo_path,content\n"), F.array_join(F.collect_list(line), "")).alias("content"))
+    sio.write_files(files.select(F.format_string("blobs_0%d.csv", F.col("shard")).alias("file"), "content"), root, "file", "content")
+    last = docs.agg(F.max("shard")).first()[0] or 0
+    blobs, lost = sh.read_shards(spark, root + "/blobs_0{}.csv", list(range(last + 2)), attempts=2, delay=0.0)
+    return (blobs.select("repo", "path", F.md5("content").alias("content_md5"))
+            .unionByName(lost.select(F.lit("given up").alias("repo"), F.col("shard").cast("string").alias("path"), F.lit(None).cast("string").alias("content_md5"))))
+
+
+def io_blob_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as multi-line CSV, read back in byte ranges of 64 KB."""
+    root = scratch_dir(spark, "io-ranges")
+    docs = _documents(spark, sf_dir).select(F.concat_ws(" ", "source", F.col("doc_id").cast("string")).alias("repo_path"), F.col("text").alias("content"))
+    sio.write_table(docs, root, "csv")
+    return sh.read_blob_ranges(spark, root, range_bytes=1 << 16).select("repo", "path", F.md5("content").alias("content_md5"))
+
+
+def io_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents in chunks of exactly 100 rows by id; what each numbered file holds."""
+    root = scratch_dir(spark, "io-chunks")
+    sh.write_numbered_jsonl(_documents(spark, sf_dir).select("doc_id", "source"), root, ["doc_id"], 100)
+    back = spark.read.schema("doc_id long, source string").json(root).withColumn("file", F.col("_metadata.file_name"))
+    return back.groupBy("file").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id"))
+
+
+def io_tag_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One ``<save_path>.tags`` file of JSON lines per snapshot, read back."""
+    root = scratch_dir(spark, "io-tag-files")
+    src = fx.python_sources(spark, sf_dir).withColumn("save_path", F.concat(F.replace("repo", F.lit("/"), F.lit("_")), F.lit("_"), F.regexp_extract("path", r"(\d)\.py$", 1)))
+    tags = xt.build_tags(src.drop("repo"), path="path")
+    line = F.to_json(F.struct("name", "path", "pattern", "kind", "line", "end"))
+    files = tags.groupBy("save_path").agg(F.array_join(F.collect_list(line), "\n").alias("content"))
+    sio.write_files(files.withColumn("file", F.concat("save_path", F.lit(".tags"))), root, "file", "content")
+    return sio.read_tags(spark, root).select("save_path", "path", "name", "kind", "line", "end", "pattern")
+
+
+def io_definition_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Functions as token-list records, written and read back."""
+    root = scratch_dir(spark, "io-definitions")
+    funcs = xt.extract_functions(fx.python_sources(spark, sf_dir))
+    sio.write_definition_records(funcs.withColumn("url", F.concat_ws("#", "path", "func_name")), root)
+    back = sio.read_definitions(spark, root, tokens=True)
+    return back.select("identifier", "url", F.array_join("function_tokens", " ").alias("tokens"))
+
+
+def _vowels(texts: list[str]):
+    import numpy as np
+
+    return np.array([[t.count(c) for c in "aeiou"] for t in texts], float)
+
+
+def encode_custom(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An encoder of the caller's, in batches of texts of like length."""
+    docs = rt.encode(_documents(spark, sf_dir).select("doc_id", "text"), "text", _vowels, by_length=True)
+    return docs.select("doc_id", F.array_join(F.transform("vec", lambda v: v.cast("long").cast("string")), ",").alias("vowels"))
+
+
+QUERIES.update({
+    "io_shards": io_shards,
+    "io_blob_ranges": io_blob_ranges,
+    "io_chunks": io_chunks,
+    "io_tag_files": io_tag_files,
+    "io_definition_records": io_definition_records,
+    "encode_custom": encode_custom,
+})

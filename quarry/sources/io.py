@@ -165,9 +165,19 @@ def read_change_requests(spark: SparkSession, path, fmt: str = "json") -> DataFr
     return spark.read.schema(CHANGE_REQUEST_SCHEMA).json(_paths(path))
 
 
-def read_definitions(spark: SparkSession, path) -> DataFrame:
-    """Definition records stored as Parquet."""
-    return spark.read.parquet(*_paths(path))
+def read_definitions(spark: SparkSession, path, *, tokens: bool = False) -> DataFrame:
+    """Definition records stored as Parquet; with ``tokens`` the encoder's
+    input records (function_tokens, identifier, url)."""
+    reader = spark.read.schema(DEFINITION_RECORD_SCHEMA) if tokens else spark.read
+    return reader.parquet(*_paths(path))
+
+
+def write_definition_records(definitions: DataFrame, path: str, *, code: str = "code", name: str = "func_name", url: str = "url") -> None:
+    """Definitions as token-list records (T2 tokens of the code, P7 url)."""
+    from quarry.operators.extract import code_tokens
+
+    tokens = definitions.select(code_tokens(code)["code_tokens"].alias("function_tokens"), F.col(name).alias("identifier"), F.col(url).alias("url"))
+    tokens.write.mode("overwrite").parquet(path)
 
 
 # ---------------------------------------------------------------------------
