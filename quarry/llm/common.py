@@ -22,6 +22,14 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "documents")
 
 
+def fresh(taken: Iterable[str], name: str) -> str:
+    """``name``, longer by underscores until no column (in any case of letters) begins with it."""
+    taken = [c.lower() for c in taken]
+    while any(c.startswith(name.lower()) for c in taken):
+        name += "_"
+    return name
+
+
 def map_rows(df: DataFrame, schema: str | StructType, fn: Callable[[Iterable[dict]], Iterator[dict]],
              as_is: Iterable[str] = ()) -> DataFrame:
     """``mapInArrow`` whose function sees each Arrow batch as a dict of Python

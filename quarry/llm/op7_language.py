@@ -31,13 +31,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from quarry.llm.common import documents, map_rows, share
+from quarry.llm.common import documents, fresh, map_rows, share
 
 ORDER = 3
 SAMPLE_DOCS = 400      # labelled documents per language that the fit reads, about
 MAX_LANGUAGES = 1000   # labels that are learned, the most frequent ones
 MIN_SCORE = 0.5        # below it a document is rejected as of no sure language
-SLICE = 1 << 20        # bytes scored at a time
+SLICE = 1 << 20        # bytes scored at a time, at most,
+SLICE_CELLS = 1 << 23  # and costs (a byte in a language) held at a time
+TABLE_CELLS = 1 << 26  # costs in the model's table; those of rarer strings are computed when met
 PAD = b"\n" * ORDER    # context of a text's first bytes
 LETTER = re.compile(r"[^\W\d_]")
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -83,13 +85,25 @@ class Model:
     def __init__(self, counts: dict[str, tuple[np.ndarray, np.ndarray]]):
         self.languages = sorted(counts)
         self.trees = [self._tree(*counts[x]) for x in self.languages]
-        grams = np.unique(np.concatenate([counts[x][0] for x in self.languages])) if counts else np.empty(0, np.uint64)
+        self.slice = max(ORDER + 1, min(SLICE, SLICE_CELLS // max(1, len(counts))))
+        grams = self._frequent(counts, TABLE_CELLS // (6 * max(1, len(counts))))
         self.bits = max(12, int(np.ceil(np.log2(max(2, len(grams)) * 3))))
         self.slots = np.full((1 << self.bits) + 64, np.uint64(1) << np.uint64(63))
         self.costs = np.zeros((len(self.slots), len(self.languages)), np.float32)
         if len(grams):
             self._place(grams)
 
+    @staticmethod
+    def _frequent(counts: dict[str, tuple[np.ndarray, np.ndarray]], most: int) -> np.ndarray:
+        """The strings of all languages, or the ``most`` frequent ones of them (ties: the smaller)."""
+        if not counts:
+            return np.empty(0, np.uint64)
+        grams, at = np.unique(np.concatenate([g for g, _ in counts.values()]), return_inverse=True)
+        if len(grams) <= most:
+            return grams
+        n = np.bincount(at, weights=np.concatenate([n for _, n in counts.values()]))
+        return np.sort(grams[np.argsort(-n, kind="stable")[:most]])
+
     @staticmethod
     def _tree(gram: np.ndarray, n: np.ndarray) -> list[tuple]:
         """Per order k: (strings of k + 1 bytes, counts), (contexts, totals, distinct followers)."""
@@ -159,7 +173,7 @@ class Model:
         return out
 
     def code_lengths(self, texts: list[str]) -> np.ndarray:
-        """Bits of every whole text in every language."""
+        """Bits of every whole text in every language, a bounded number of costs at a time."""
         out = np.zeros((len(texts), len(self.languages)))
         group: list[tuple[int, bytes]] = []
         held = 0
@@ -168,21 +182,24 @@ class Model:
             if group:
                 data = b"".join(PAD + d for _, d in group)
                 cost = self.bits_of(_windows(data))
-                sums = np.concatenate((np.zeros((1, cost.shape[1])), np.cumsum(cost, axis=0, dtype=np.float64)))
-                at = 0
-                for i, d in group:  # windows that end in a following text's padding lie between the texts
-                    out[i] += sums[at + len(d)] - sums[at]
-                    at += len(d) + ORDER
+                # Windows that end in a following text's padding lie between the texts: each run of rows is a text or padding.
+                size = np.array([[len(d), ORDER] for _, d in group]).reshape(-1)[:-1]
+                first = np.cumsum(size) - size
+                sums = np.add.reduceat(cost, first, axis=0, dtype=np.float64)[::2]
+                for (i, _), s in zip(group, sums):
+                    out[i] += s
             group.clear()
 
         for i, t in enumerate(texts):
             data = t.encode()
-            if len(data) > SLICE:
-                for a in range(0, len(data), SLICE):
-                    piece = (PAD + data)[a:a + SLICE + ORDER] if a == 0 else data[a - ORDER:a + SLICE]
+            if not data:
+                continue
+            if len(data) > self.slice:
+                for a in range(0, len(data), self.slice):
+                    piece = (PAD + data)[a:a + self.slice + ORDER] if a == 0 else data[a - ORDER:a + self.slice]
                     out[i] += self.bits_of(_windows(piece)).sum(axis=0, dtype=np.float64)
                 continue
-            if held + len(data) > SLICE:
+            if held + len(data) > self.slice:
                 flush()
                 held = 0
             group.append((i, data))
@@ -215,13 +232,14 @@ def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model:
 def predict_language(docs: DataFrame, model: Model, keep: list[str], prefix: str = "") -> DataFrame:
     """The columns ``keep`` of every row, passed on as they are, with lang_pred and score named after ``prefix``."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text").alias("__text"))
+    own = fresh([*keep, prefix + "lang_pred", prefix + "score"], "__text")
+    rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text").alias(own))
     schema = docs.select(*[F.col(f"`{c}`") for c in keep]).schema
     schema = StructType([*schema.fields, StructField(prefix + "lang_pred", StringType()), StructField(prefix + "score", DoubleType())])
 
     def run(batches):
         for b in batches:
-            langs, scores = shared.value.predict(b.pop("__text").to_pylist())
+            langs, scores = shared.value.predict(b.pop(own).to_pylist())
             yield {**b, prefix + "lang_pred": langs, prefix + "score": scores}
 
     return map_rows(rows, schema, run, as_is=rows.columns)

@@ -106,3 +106,40 @@ def test_columns_are_passed_on(spark, odd):
     out = op.predict_language(docs, model(SAMPLES), docs.columns, prefix="p_")
     assert out.columns == [*docs.columns, "p_lang_pred", "p_score"]
     assert sorted(map(str, out.select(*docs.columns).collect())) == sorted(map(str, docs.collect()))
+
+
+def many_languages(n):
+    """n made-up languages with an alphabet of their own each."""
+    rng = np.random.default_rng(12)
+    letters = [chr(c) for c in range(0x4E00, 0x4E00 + 4 * n)]
+    texts = {f"l{i:04d}": "".join(rng.choice(letters[4 * i:4 * i + 4], 60)) for i in range(n)}
+    counts = {}
+    for lang, text in texts.items():
+        gram, c = np.unique(op._windows(op.PAD + text.encode()), return_counts=True)
+        counts[lang] = gram, c.astype(float)
+    return texts, counts
+
+
+def test_memory_is_bounded_with_many_languages():
+    """A thousand labels: the costs held at a time stay under a limit, and predictions right."""
+    import tracemalloc
+
+    texts, counts = many_languages(1000)
+    model = op.Model(counts)
+    assert model.costs.size <= 2 * op.TABLE_CELLS and model.slice * len(counts) <= op.SLICE_CELLS
+    some = list(texts)[::25]
+    tracemalloc.start()
+    langs, _ = model.predict([texts[x][10:50] * 200 for x in some])
+    _, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert langs == some and peak < 600e6
+
+
+def test_costs_do_not_depend_on_the_slice_or_the_table(monkeypatch):
+    texts, counts = many_languages(12)
+    sample = [t * 7 for t in texts.values()] + ["", "x", "abc" * 500]
+    want = op.Model(counts).code_lengths(sample)
+    monkeypatch.setattr(op, "SLICE_CELLS", 12 * 50)
+    monkeypatch.setattr(op, "TABLE_CELLS", 12 * 6 * 5)
+    small = op.Model(counts)
+    assert small.slice == 50 and np.allclose(small.code_lengths(sample), want, rtol=1e-6)
