@@ -42,7 +42,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import WORD, documents, map_groups, map_rows, stored
+from quarry.llm.common import WORD, documents, fresh, map_groups, map_rows, stored
 from quarry.operators.components import connected_components
 
 SHINGLE = 5
@@ -54,6 +54,7 @@ SEED = 8
 BUCKET_BLOCK = 512        # classes of one bucket that a task compares with as many others
 FAMILY_BLOCK = 512        # classes of one family that a task compares with as many others
 FAMILY_SHINGLES = 400_000  # and the shingles they may hold together
+SALT = 64                 # places of a part's row of results
 KNOWN_WORDS = 250_000
 WORDS = re.compile(WORD)
 
@@ -268,12 +269,16 @@ def near_classes(docs: DataFrame) -> DataFrame:
                    "near-links")
 
     label = connected_components(links.select("cls", "root"), "cls", "root").withColumnsRenamed({"id": "cls"})
-    counted = links.groupBy("cls").agg(F.sum("links").alias("links")).join(label, "cls", "left")
-    all_classes = classes.select("cls", "m", "least", "rep").join(counted, "cls", "left") \
-        .withColumn("label", F.coalesce("label", "cls"))
-    smallest = all_classes.groupBy("label").agg(F.min("least").alias("class_id"), F.min("rep").alias("first"))
-    info = all_classes.join(smallest, "label").select(
+    counted = links.groupBy("cls").agg(F.sum("links").alias("links"))
+    linked = stored(classes.select("cls", "m", "least", "rep").join(label, "cls").join(counted, "cls", "left"), "near-linked")
+    # A part may hold most classes: its one row of results is met in SALT places.
+    smallest = (linked.groupBy("label").agg(F.min("least").alias("class_id"), F.min("rep").alias("first"))
+                .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1)))))
+    in_parts = linked.withColumn("salt", F.pmod(F.xxhash64("cls"), F.lit(SALT)).cast("int")).join(smallest, ["label", "salt"]).select(
         "cls", "class_id", "first", (F.col("m") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    by_itself = classes.join(linked.select("cls"), "cls", "left_anti").select(
+        "cls", F.col("least").alias("class_id"), F.col("rep").alias("first"), (F.col("m") - 1).alias("n_links"))
+    info = in_parts.unionByName(by_itself)
     found = with_set.select("doc_id", "h", "cls").join(info, "cls").select(
         "doc_id", "h", "class_id", "n_links", (F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("h") == F.col("first.h"))).alias("kept"))
     alone = rows.filter(F.col("cls").isNull()).select(
@@ -284,12 +289,12 @@ def near_classes(docs: DataFrame) -> DataFrame:
 def one_per_class(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each class: its smallest id, one of equal rows. Rows without shingles stay."""
     word = WORD.replace("\\", "\\\\")
-    kept = near_classes(docs).filter("kept").select(F.col("doc_id").alias("__id"), F.col("h").alias("__h")).distinct()
-    columns = docs.columns
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    i, h, j, t = (fresh(docs.columns, "__") + x for x in "ihjt")
+    kept = near_classes(docs).filter("kept").select(F.col("doc_id").alias(i), F.col("h").alias(h)).distinct()
     has_word = F.coalesce(F.expr(f"`text` rlike '{word}'"), F.lit(False))
-    d = docs.filter(has_word).withColumns({"__d": F.col("doc_id").cast("long"), "__t": F.xxhash64("text")})
-    some = d.join(kept, F.col("__d").eqNullSafe(F.col("__id")) & (F.col("__t") == F.col("__h")), "left_semi") \
-        .dropDuplicates(["__d", "__t"]).select(*columns)
+    d = docs.filter(has_word).select(*columns, F.col("doc_id").cast("long").alias(j), F.xxhash64("text").alias(t))
+    some = d.join(kept, F.col(j).eqNullSafe(F.col(i)) & (F.col(t) == F.col(h)), "left_semi").dropDuplicates([j, t]).select(*columns)
     return some.unionByName(docs.filter(~has_word))
 
 
