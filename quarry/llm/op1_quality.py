@@ -14,10 +14,10 @@ under a caller-chosen prefix, so names cannot clash).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import WORD, documents
+from quarry.llm.common import WORD, documents, fresh
 
 # Stop words of the languages the corpus is filtered for (fixed values).
 STOP_WORDS = (
@@ -57,54 +57,62 @@ def compile_rules(rules=RULES) -> str:
 def quality_columns(df: DataFrame, text: str = "text", prefix: str = "", rules=RULES) -> DataFrame:
     """``df`` with the counts, ``base_failed`` and ``kept``, each name after ``prefix``."""
     keep = [F.col(f"`{c}`") for c in df.columns]
-    t = "__quality_text"
-    stop = ", ".join("'" + w + "'" for w in STOP_WORDS)
+    own = fresh(df.columns, "__")  # what the names of the steps' own columns begin with
     word = WORD.replace("\\", "\\\\")
-    df = df.withColumn(t, F.coalesce(F.col(text), F.lit("")))
+    stop = ", ".join("'" + w + "'" for w in STOP_WORDS)
+
+    def sql(expression: str, name: str) -> Column:
+        return F.expr(expression.replace("@", own)).alias(own + name)
+
+    def held(*names: str) -> list[str]:
+        return [own + n for n in names]
+
+    df = df.select(*keep, F.coalesce(F.col(f"`{text}`"), F.lit("")).alias(own + "text"))
     # 1: words and lines. Every later step refers to these arrays more than once,
     # so the optimizer keeps the steps apart and each array is built once.
     df = df.select(
         *keep,
-        F.expr(f"regexp_extract_all({t}, '{word}', 0)").alias("__words"),
-        F.expr(f"filter(split({t}, '\\n'), l -> l rlike '{word}')").alias("__lines"),
-        F.expr(f"regexp_count({t}, '[#*$%&|<>]')").alias("__symbols"),
-        F.expr(f"regexp_count({t}, '!')").alias("__excl"),
-        F.expr(f"length({t}) - regexp_count({t}, '[\\\\x20\\\\x09-\\\\x0D]')").alias("__chars"),
+        sql(f"regexp_extract_all(@text, '{word}', 0)", "words"),
+        sql(f"filter(split(@text, '\\n'), l -> l rlike '{word}')", "lines"),
+        sql("regexp_count(@text, '[#*$%&|<>]')", "symbols"),
+        sql("regexp_count(@text, '!')", "excl"),
+        sql("length(@text) - regexp_count(@text, '[\\\\x20\\\\x09-\\\\x0D]')", "chars"),
     )
     # 2: three-word windows as (hash, position), sorted so that equal windows are neighbours.
     df = df.select(
-        *keep, "__words", "__symbols", "__excl", "__chars",
-        F.expr("size(__words)").alias("__n"),
-        F.expr("size(__lines)").alias("__n_lines"),
-        F.expr("size(__lines) - size(array_distinct(__lines))").alias("__dup_lines"),
-        F.expr(f"size(filter(__words, w -> lower(w) IN ({stop})))").alias("__stop"),
-        F.expr("""CASE WHEN size(__words) >= 4 THEN sort_array(transform(sequence(0, size(__words) - 3),
-                  i -> struct(xxhash64(get(__words, i), get(__words, i + 1), get(__words, i + 2)) AS g, i AS i)))
-                  END""").alias("__win"),
+        *keep, *held("words", "symbols", "excl", "chars"),
+        sql("size(@words)", "n"),
+        sql("size(@lines)", "n_lines"),
+        sql("size(@lines) - size(array_distinct(@lines))", "dup_lines"),
+        sql(f"size(filter(@words, w -> lower(w) IN ({stop})))", "stop"),
+        sql("""CASE WHEN size(@words) >= 4 THEN sort_array(transform(sequence(0, size(@words) - 3),
+               i -> struct(xxhash64(get(@words, i), get(@words, i + 1), get(@words, i + 2)) AS g, i AS i)))
+               END""", "win"),
     )
     # 3: positions of windows found twice or more, in text order.
     df = df.select(
-        *keep, "__n", "__symbols", "__excl", "__chars", "__n_lines", "__dup_lines", "__stop",
-        F.expr("""sort_array(transform(filter(__win, (x, j) ->
-                  coalesce(get(__win, j - 1).g = x.g, false) OR coalesce(get(__win, j + 1).g = x.g, false)),
-                  x -> x.i))""").alias("__pos"),
+        *keep, *held("n", "symbols", "excl", "chars", "n_lines", "dup_lines", "stop"),
+        sql("""sort_array(transform(filter(@win, (x, j) ->
+               coalesce(get(@win, j - 1).g = x.g, false) OR coalesce(get(@win, j + 1).g = x.g, false)),
+               x -> x.i))""", "pos"),
     )
     # 4: words covered by those windows: each covers three words less its overlap with the one before.
-    repeat = """CASE WHEN coalesce(size(__pos), 0) <= 0 THEN 0 ELSE 3 + aggregate(
-                zip_with(slice(__pos, 2, size(__pos)), slice(__pos, 1, size(__pos) - 1), (b, a) -> least(3, b - a)),
+    repeat = """CASE WHEN coalesce(size(@pos), 0) <= 0 THEN 0 ELSE 3 + aggregate(
+                zip_with(slice(@pos, 2, size(@pos)), slice(@pos, 1, size(@pos) - 1), (b, a) -> least(3, b - a)),
                 0, (s, x) -> s + coalesce(x, 0)) END"""
-    exprs = {"n_words": "__n", "word_chars": "__chars", "n_symbols": "__symbols", "n_dup_lines": "__dup_lines",
-             "n_repeat_words": repeat, "n_exclamations": "__excl", "n_stop_words": "__stop", "n_lines": "__n_lines"}
-    counts = F.struct(*[F.expr(f"CAST({e} AS BIGINT)").alias(n) for n, e in exprs.items()])
+    exprs = {"n_words": "@n", "word_chars": "@chars", "n_symbols": "@symbols", "n_dup_lines": "@dup_lines",
+             "n_repeat_words": repeat, "n_exclamations": "@excl", "n_stop_words": "@stop", "n_lines": "@n_lines"}
+    counts = F.struct(*[F.expr(f"CAST({e} AS BIGINT)".replace("@", own)).alias(n) for n, e in exprs.items()])
     # explode: a filter on the results must not be moved below them, which would
     # copy the arrays' expressions into the filter and into their own functions.
-    df = df.select(*keep, F.explode(F.array(counts)).alias("__q"))
-    base = f"(__q.n_words < {MIN_WORDS} OR 100 * __q.n_repeat_words > {MAX_REPEAT_PERCENT} * __q.n_words)"
+    q = own + "q"
+    df = df.select(*keep, F.explode(F.array(counts)).alias(q))
+    base = f"({q}.n_words < {MIN_WORDS} OR 100 * {q}.n_repeat_words > {MAX_REPEAT_PERCENT} * {q}.n_words)"
     rule = compile_rules(rules)
     for name in sorted(COUNTS, key=len, reverse=True):
-        rule = rule.replace(f" {name}", f" __q.{name}").replace(f"({name}", f"(__q.{name}")
+        rule = rule.replace(f" {name}", f" {q}.{name}").replace(f"({name}", f"({q}.{name}")
     return df.select(
-        *keep, *[F.col(f"__q.{n}").alias(prefix + n) for n in COUNTS],
+        *keep, *[F.col(f"{q}.{n}").alias(prefix + n) for n in COUNTS],
         F.expr(base).alias(prefix + "base_failed"),
         F.expr(f"CASE WHEN {base} THEN false ELSE {rule} END").alias(prefix + "kept"),
     )
