@@ -51,10 +51,22 @@ def map_rows(df: DataFrame, schema: str | StructType, fn: Callable[[Iterable[dic
         lists = ({n: b.column(i) if n in whole else b.column(i).to_pylist() for i, n in enumerate(names)} for b in batches)
         for out in fn(lists):
             yield pa.RecordBatch.from_arrays([column(out[f.name], f.type) for f in arrow], schema=arrow)
+        _give_back()
 
     return df.mapInArrow(run, target)
 
 
+def _give_back() -> None:
+    """Workers outlive a task: what it has freed goes back to the system, for whatever runs next on the executor."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass
+
+
 def share(key, n):
     """A repeatable number in [0, 1) of the columns ``key``: the same row always gets the same."""
     return F.pmod(F.xxhash64(*key, F.lit(n)), F.lit(1 << 40)) / F.lit(float(1 << 40))

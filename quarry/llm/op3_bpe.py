@@ -338,6 +338,7 @@ def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
                 text = enc.decode(own).decode("utf-8", "replace")
                 out["decoded_sha256"].append(hashlib.sha256(text.encode()).hexdigest())
             yield out
+        enc.forget()
 
     return map_rows(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"),
                     "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", run)

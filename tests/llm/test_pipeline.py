@@ -79,3 +79,23 @@ def test_queries_are_registered():
     for n in range(1, 11):
         assert sum(x.startswith(f"op{n}_") for x in names) == 1
     assert "pipeline" in names
+
+
+def test_clashing_names_pass_through_the_stages(spark, odd):
+    """Columns named like those that the operators work with keep their values."""
+    names = ["__words", "__n", "__win", "__q", "__quality_text", "__text", "__id", "__h", "__d", "__t", "__i", "__j", "__stage_kept", "__STAGE_score"]
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet(f"{odd}/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars",
+                                                                 *[F.concat(F.col("source"), F.lit(n)).alias(n) for n in names])
+    for name, stage in cp.STAGES[:-1]:
+        out = stage(spark, docs, odd)
+        assert out.columns == docs.columns, name
+        rows = out.collect()
+        assert rows and all(r[n] == (None if r.source is None else r.source + n) for r in rows for n in names), name
+
+
+def test_a_language_outside_the_stop_word_list_passes_the_quality_stage(spark, odd):
+    text = "Το ποτάμι περνά κάτω από τη γέφυρα και χάνεται στα χωράφια. " + " ".join(f"λέξη{i} άλλη{i}" for i in range(60))
+    docs = spark.createDataFrame([(1, text, "el", "s", len(text)), (2, "kurz", "de", "s", 4)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert [r.doc_id for r in cp.quality(spark, docs, odd).collect()] == [1]
