@@ -11,8 +11,9 @@ the estimate is bounded by ``EPSILON`` standard errors. Per query the
 double precision on the original vectors; then every vector whose upper bound
 reaches the (k + 1)th best of these is.
 
-Shape: queries against all rows in cells of bounded size (``QUERY_BLOCK`` x
-``ROW_BLOCK``); a cell returns at most k rows per query, merged by a window
+Shape: vectors are packed in four bytes a component where that keeps their
+values; queries against all rows in cells of bounded size (``QUERY_BLOCK`` x
+``ROW_BLOCK``), so a row is sent once for every ``QUERY_BLOCK`` queries; a cell returns at most k rows per query, merged by a window
 over at most k rows per cell. Equal vectors are one class that carries its
 k + 1 smallest ids (found with a limit before the shuffle), so a vector that
 a third of all rows share is one row of the index.
@@ -40,7 +41,7 @@ EPSILON = 2.5
 PLANES = 8
 FIRST = 5
 SEED = 10
-QUERY_BLOCK = 1024
+QUERY_BLOCK = 16384
 ROW_BLOCK = 16384
 
 
@@ -94,32 +95,53 @@ def valid(vectors: DataFrame, column: str) -> DataFrame:
     return vectors.filter(c.isNotNull() & finite & F.exists(c, lambda v: v != 0))
 
 
+def pack_vector(v: list[float]) -> bytes:
+    """Components in four bytes each where they keep their values, else in eight; the length tells which."""
+    x = np.array(v, np.float64)
+    with np.errstate(over="ignore"):
+        narrow = x.astype(np.float32)
+    return narrow.tobytes() if (narrow == x).all() else x.tobytes()
+
+
+def matrix(vectors: list[bytes], dim: int) -> np.ndarray:
+    """Packed vectors as rows of doubles."""
+    if all(len(v) == 4 * dim for v in vectors):
+        return np.frombuffer(b"".join(vectors), np.float32).reshape(-1, dim).astype(np.float64)
+    return np.stack([np.frombuffer(v, np.float32 if len(v) == 4 * dim else np.float64).astype(np.float64) for v in vectors])
+
+
+def packed(vectors: DataFrame, row_id: str, column: str) -> DataFrame:
+    """row_id, vector (packed), dim: valid rows with an id, equal ones once."""
+    rows = valid(vectors.select(F.col(row_id).cast("long").alias("row_id"), F.col(column).cast("array<double>").alias("vector"))
+                 .filter("row_id is not null"), "vector")
+
+    def run(batches):
+        for b in batches:
+            yield {"row_id": b["row_id"], "vector": [pack_vector(v) for v in b["vector"]], "dim": [len(v) for v in b["vector"]]}
+
+    return map_rows(rows, "row_id long, vector binary, dim int", run).distinct()
+
+
 def build_index(vectors: DataFrame, column: str = "embedding", k: int = K) -> DataFrame:
     """One row per distinct vector: ids (its k + 1 smallest), vector, dim, code, norm, shadow."""
-    rows = valid(vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col(column).cast("array<double>").alias("vector"))
-                 .filter("vec_id is not null"), "vector").distinct()
-    smallest = Window.partitionBy("vector").orderBy("vec_id")
-    classes = (rows.withColumn("n", F.row_number().over(smallest)).filter(F.col("n") <= k + 1)
-               .groupBy("vector").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")))
+    smallest = Window.partitionBy("vector", "dim").orderBy("row_id")
+    classes = (packed(vectors, "vec_id", column).withColumn("n", F.row_number().over(smallest)).filter(F.col("n") <= k + 1)
+               .groupBy("vector", "dim").agg(F.sort_array(F.collect_list("row_id")).alias("ids")))
 
     def run(batches):
         for b in batches:
             n = len(b["ids"])
             code, norm, shadow = [b""] * n, [0.0] * n, [0.0] * n
             by_dim: dict[int, list[int]] = {}
-            for i, v in enumerate(b["vector"]):
-                by_dim.setdefault(len(v), []).append(i)
+            for i, dim in enumerate(b["dim"]):
+                by_dim.setdefault(dim, []).append(i)
             for dim, at in by_dim.items():
-                c, s, f = encode(np.array([b["vector"][i] for i in at]), rotation(dim))
+                c, s, f = encode(matrix([b["vector"][i] for i in at], dim), rotation(dim))
                 for i, ci, si, fi in zip(at, c, s.tolist(), f.tolist()):
                     code[i], norm[i], shadow[i] = ci.tobytes(), si, fi
-            yield {**b, "dim": [len(v) for v in b["vector"]], "code": code, "norm": norm, "shadow": shadow}
-
-    return map_rows(classes, "vector array<double>, ids array<long>, dim int, code binary, norm double, shadow double", run)
-
+            yield {**b, "code": code, "norm": norm, "shadow": shadow}
 
-def _matrix(column: pa.ChunkedArray, dim: int) -> np.ndarray:
-    return column.combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+    return map_rows(classes, "vector binary, dim int, ids array<long>, code binary, norm double, shadow double", run)
 
 
 RESULT = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
@@ -131,7 +153,7 @@ def _cell(k: int):
         if queries.num_rows and rows.num_rows:
             dim = queries["dim"][0].as_py()
             turn = rotation(dim)
-            x, q = _matrix(rows["vector"], dim), _matrix(queries["vector"], dim)
+            x, q = matrix(rows["vector"].to_pylist(), dim), matrix(queries["vector"].to_pylist(), dim)
             ids = rows["ids"].to_pylist()
             codes = np.frombuffer(b"".join(rows["code"].to_pylist()), "<u8").reshape(len(ids), -1)
             counts = np.bitwise_count(codes).sum(axis=1)
@@ -171,10 +193,11 @@ def _best(score: np.ndarray, chosen: np.ndarray, ids: list, query_id: int, k: in
 
 
 def search(index: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
-    """queries(query_id, vector) -> query_id, rank, vec_id, score."""
+    """queries(row_id, vector, dim) as ``packed`` gives them -> query_id, rank, vec_id, score."""
+    cores = index.sparkSession.sparkContext.defaultParallelism
     n_queries, n_rows = queries.count(), index.count()
-    nq, nr = max(1, -(-n_queries // QUERY_BLOCK)), max(1, -(-n_rows // ROW_BLOCK))
-    q = (queries.withColumn("dim", F.size("vector")).withColumn("q", F.pmod(F.xxhash64("query_id"), F.lit(nq)).cast("int"))
+    nq, nr = max(1, -(-n_queries // QUERY_BLOCK)), max(1, -(-n_rows // ROW_BLOCK), min(cores, n_rows // 1024))
+    q = (queries.withColumnRenamed("row_id", "query_id").withColumn("q", F.pmod(F.xxhash64("query_id"), F.lit(nq)).cast("int"))
          .withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(nr - 1)))))
     r = (index.withColumn("r", F.pmod(F.xxhash64("vector"), F.lit(nr)).cast("int"))
          .withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(nq - 1)))))
@@ -188,7 +211,5 @@ def search(index: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
 def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = read_table(spark, sf_dir, "embeddings")
     index = stored(build_index(vectors), "ann-index")
-    queries = valid(vectors.filter("vec_id % 20 = 0")
-                    .select(F.col("vec_id").cast("long").alias("query_id"),
-                            F.col("embedding").cast("array<double>").alias("vector")), "vector").distinct()
+    queries = packed(vectors.filter("vec_id % 20 = 0"), "vec_id", "embedding")
     return search(index, queries)
