@@ -6,13 +6,15 @@ a text of one to four words is one shingle.
 
 1. Copies: documents with the same shingle set are one class (an aggregate by
    the digest of the set), so copies are never paired with each other.
-2. Forest: every class has ``TREES`` signatures, each a path of MinHash values
-   in a prefix trie. ``matched_depth`` shortens the matched prefix until a
-   pair at the threshold shares one in some tree with probability
-   ``TARGET_RECALL``; levels below it are not stored, for what they match the
-   shorter prefix matches too. Classes with a common prefix in a tree form a
-   bucket; buckets with the same members are kept once.
-3. Families: within buckets, pairs whose MinHash values agree in at least
+2. Forest: every class has a key of ``MAX_DEPTH`` MinHash values in each of
+   ``TREES`` tries. A trie is kept as its sorted keys, each with the length of
+   the longest prefix that it shares with a neighbour, so the nodes of any depth
+   are runs of equal prefixes. Matching begins at the whole keys. As long as a
+   pair at the threshold shares a prefix of this length in some tree with less
+   than ``TARGET_RECALL``, the prefixes are shortened (by ``SHORTEN``), and only
+   nodes that hold classes not yet joined are matched again: near copies meet
+   in deep nodes and are no work in the shallow ones that hold many others.
+3. Families: within a node, pairs whose MinHash values agree in at least
    ``MIN_AGREE`` places (six standard errors below the mean at the threshold)
    and whose sizes allow the threshold are joined; connected components of
    these pairs are families. A pair at the threshold lies in one family.
@@ -49,6 +51,7 @@ SHINGLE = 5
 THRESHOLD = Fraction(4, 5)
 TREES = 24
 MAX_DEPTH = 8
+SHORTEN = 4
 TARGET_RECALL = 0.99999
 SEED = 8
 BUCKET_BLOCK = 512        # classes of one bucket that a task compares with as many others
@@ -59,16 +62,28 @@ KNOWN_WORDS = 250_000
 WORDS = re.compile(WORD)
 
 
+def recall(depth: int, threshold: float = float(THRESHOLD), trees: int = TREES) -> float:
+    """The chance that a pair at the threshold shares a prefix of ``depth`` values in some tree."""
+    return 1 - (1 - threshold ** depth) ** trees
+
+
 def matched_depth(threshold: float = float(THRESHOLD), trees: int = TREES, target: float = TARGET_RECALL) -> int:
-    """Shorten the prefix from ``MAX_DEPTH`` until a pair at the threshold is met with the target probability."""
+    """The longest prefix by which a pair at the threshold is met with the target probability."""
     depth = MAX_DEPTH
-    while depth > 1 and 1 - (1 - threshold ** depth) ** trees < target:
+    while depth > 1 and recall(depth, threshold, trees) < target:
         depth -= 1
     return depth
 
 
 DEPTH = matched_depth()
-N_HASHES = TREES * DEPTH
+
+
+def depths() -> list[int]:
+    """The prefix lengths that are matched, from whole keys on until the target recall is met."""
+    return [*range(MAX_DEPTH, DEPTH, -SHORTEN), DEPTH]
+
+
+N_HASHES = TREES * MAX_DEPTH
 # Of N_HASHES values, a pair at the threshold agrees in fewer with a chance below 1e-9.
 MIN_AGREE = int(float(THRESHOLD) * N_HASHES - 6 * (N_HASHES * float(THRESHOLD) * (1 - float(THRESHOLD))) ** 0.5)
 
@@ -124,26 +139,27 @@ def digest(h: np.ndarray) -> bytes:
 
 def sketch(docs: DataFrame) -> DataFrame:
     """doc_id, h (hash of the text), cls (digest of the shingle set, null without one),
-    n (shingles), prefixes (one per tree), marks (a byte of every MinHash value)."""
+    n (shingles), keys (one per tree), marks (a byte of every MinHash value)."""
     def run(batches):
         for b in batches:
-            out = {"doc_id": b["doc_id"], "h": b["h"], "cls": [], "n": [], "prefixes": [], "marks": []}
+            out = {"doc_id": b["doc_id"], "h": b["h"], "cls": [], "n": [], "keys": [], "marks": []}
             for t in b["text"]:
                 s = shingles(t)
                 out["n"].append(len(s))
                 if not len(s):
                     out["cls"].append(None)
-                    out["prefixes"].append(None)
+                    out["keys"].append(None)
                     out["marks"].append(None)
                     continue
                 m = signature(s)
                 out["cls"].append(digest(s))
-                out["prefixes"].append([xxhash.xxh3_64_intdigest(p.tobytes()) - (1 << 63) for p in m.reshape(TREES, DEPTH)])
+                out["keys"].append([k.tobytes() for k in m.astype(">u4").reshape(TREES, MAX_DEPTH)])
                 out["marks"].append((m >> np.uint32(8)).astype(np.uint8).tobytes())
             yield out
+        _WORDS.clear()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), "text")
-    return map_rows(rows, "doc_id long, h long, cls binary, n int, prefixes array<long>, marks binary", run)
+    return map_rows(rows, "doc_id long, h long, cls binary, n int, keys array<binary>, marks binary", run)
 
 
 def _linked_parts(linked: np.ndarray) -> np.ndarray:
@@ -188,6 +204,8 @@ def bucket_edges(g: dict) -> dict | None:
     n = np.array(g["n"], np.int64)
     allowed = _across(g["block"], g["b1"][0], g["b2"][0])
     p, q = THRESHOLD.numerator, THRESHOLD.denominator
+    family = np.unique(np.array(g["family"], object), return_inverse=True)[1]
+    allowed &= family[:, None] != family[None, :]
     allowed &= (np.minimum(n[:, None], n[None, :]) * q >= np.maximum(n[:, None], n[None, :]) * p)
     agree = np.zeros(allowed.shape, bool)
     for a in range(0, len(n), 64):
@@ -237,25 +255,80 @@ def common_shingles(sets: list[np.ndarray], step: int = 8192) -> np.ndarray:
     return out
 
 
+def tries(classes: DataFrame) -> DataFrame:
+    """tree, key, cls, shared: the sorted keys of every tree that share a prefix of
+    ``DEPTH`` values or more with a neighbour, and the length of the longest."""
+    least = DEPTH
+    paths = classes.select("cls", F.posexplode("keys").alias("tree", "key"))
+    ordered = paths.repartitionByRange("tree", F.substring("key", 1, 4 * least)).sortWithinPartitions("tree", "key")
+
+    def run(batches):
+        last: tuple | None = None  # the row before, with what it shares with the one before it
+
+        def common(a: tuple, b: tuple) -> int:
+            if a[0] != b[0]:
+                return 0
+            k = 0
+            while k < MAX_DEPTH and a[1][4 * k:4 * k + 4] == b[1][4 * k:4 * k + 4]:
+                k += 1
+            return k
+
+        def columns(rows: list[tuple]) -> dict:
+            return {c: [r[i] for r in rows] for i, c in enumerate(("tree", "key", "cls", "shared"))}
+
+        for b in batches:
+            out = []
+            for row in zip(b["tree"], b["key"], b["cls"]):
+                with_last = common(last, row) if last else 0
+                if last and max(last[3], with_last) >= least:
+                    out.append((*last[:3], max(last[3], with_last)))
+                last = (*row, with_last)
+            if out:
+                yield columns(out)
+        if last and last[3] >= least:
+            yield columns([last])
+
+    return map_rows(ordered, "tree int, key binary, cls binary, shared int", run)
+
+
+def near_families(classes: DataFrame) -> DataFrame:
+    """cls, family of the classes that are joined with another one."""
+    forest = stored(tries(classes), "near-tries")
+    joined = labels = None  # pairs of all depths so far; cls, family: those with one family are joined
+    for depth in depths():
+        paths = forest.filter(F.col("shared") >= depth).select("cls", "tree", F.substring("key", 1, 4 * depth).alias("prefix"))
+        paths = (paths.withColumn("family", F.col("cls")) if labels is None
+                 else paths.join(labels, "cls", "left").withColumn("family", F.coalesce("family", "cls")))
+        # Nodes with classes of two or more families, those with the same members once.
+        key = F.xxhash64("cls")
+        nodes = (paths.groupBy("tree", "prefix").agg(F.count("*").alias("size"), F.expr("bit_xor(xxhash64(cls))").alias("x"),
+                                                     F.min(key).alias("lo"), F.max(key).alias("hi"),
+                                                     (F.min("family") != F.max("family")).alias("open"))
+                 .filter("open").groupBy("size", "x", "lo", "hi").agg(F.min(F.struct("tree", "prefix")).alias("b"))
+                 .select("b.tree", "b.prefix", "size"))
+        members = paths.join(nodes, ["tree", "prefix"]).join(classes.select("cls", "n", "marks"), "cls")
+        in_nodes = cells(members, ["tree", "prefix"], F.ceil(F.col("size") / BUCKET_BLOCK)).drop("size")
+        pairs = map_groups(in_nodes, ["tree", "prefix", "b1", "b2"], "a binary, b binary", bucket_edges)
+        if depth == DEPTH:
+            joined = pairs if joined is None else joined.unionByName(pairs)
+            break
+        pairs = stored(pairs, "near-pairs")
+        joined = pairs if joined is None else joined.unionByName(pairs)
+        # Joined with one and the same class: a cheap label, enough to pass over near copies further up.
+        labels = stored(joined.unionByName(joined.select(F.col("b").alias("a"), "b")).groupBy(F.col("a").alias("cls"))
+                        .agg(F.min("b").alias("family")), "near-labels")
+    return stored(connected_components(joined).withColumnsRenamed({"id": "cls", "label": "family"}), "near-families")
+
+
 def near_classes(docs: DataFrame) -> DataFrame:
     """One row per row of ``docs``: doc_id, h (hash of the text), class_id, n_links, kept (true for one row of each class)."""
     rows = stored(sketch(docs), "near-sketch")
     with_set = rows.filter(F.col("cls").isNotNull())
     classes = stored(with_set.groupBy("cls").agg(
         F.count("*").alias("m"), F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "h")).alias("rep"),
-        F.first("n").alias("n"), F.first("prefixes").alias("prefixes"), F.first("marks").alias("marks")), "near-classes")
-
-    # Buckets of two or more classes, those with the same members once.
-    paths = classes.select("cls", F.posexplode("prefixes").alias("tree", "prefix"))
-    key = F.xxhash64("cls")
-    buckets = (paths.groupBy("tree", "prefix").agg(F.count("*").alias("size"), F.expr("bit_xor(xxhash64(cls))").alias("x"),
-                                                   F.min(key).alias("lo"), F.max(key).alias("hi"))
-               .filter("size > 1").groupBy("size", "x", "lo", "hi").agg(F.min(F.struct("tree", "prefix")).alias("b"))
-               .select("b.tree", "b.prefix", "size"))
-    members = paths.join(buckets, ["tree", "prefix"]).join(classes.select("cls", "n", "marks"), "cls")
-    in_buckets = cells(members, ["tree", "prefix"], F.ceil(F.col("size") / BUCKET_BLOCK)).drop("size")
-    pairs = map_groups(in_buckets, ["tree", "prefix", "b1", "b2"], "a binary, b binary", bucket_edges)
-    families = stored(connected_components(pairs).withColumnsRenamed({"id": "cls", "label": "family"}), "near-families")
+        F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("marks").alias("marks")), "near-classes")
+
+    families = near_families(classes)
 
     # Exact links within families, on the whole texts of one document per class.
     own = families.join(classes.select("cls", "m", "n", "rep"), "cls")

@@ -127,3 +127,26 @@ def test_pairs_of_a_cell():
     assert op._across([1, 1], 1, 1).tolist() == [[False, True], [True, False]]
     assert not op._across([1, 1], 0, 1).any() and not op._across([1, 1], 1, 2).any()
     assert op._across([0, 1, 1], 0, 1).tolist() == [[False, True, True], [True, False, False], [True, False, False]]
+
+
+def test_tries_give_the_nodes_of_every_depth(spark):
+    """Sorted keys and shared prefixes against grouping by every prefix."""
+    r = random.Random(3)
+    rows = [(bytes([i % 256, i // 256]), [b"".join(r.choice([b"\0\0\0a", b"\0\0\0b"]) for _ in range(op.MAX_DEPTH)) for _ in range(op.TREES)])
+            for i in range(400)]
+    out = op.tries(spark.createDataFrame(rows, "cls binary, keys array<binary>").repartition(3)).collect()
+    got = {(x.tree, bytes(x.key), bytes(x.cls)): x.shared for x in out}
+    assert len(got) == len(out)
+    for depth in range(op.DEPTH, op.MAX_DEPTH + 1):
+        nodes = {}
+        for cls, keys in rows:
+            for tree, key in enumerate(keys):
+                nodes.setdefault((tree, key[:4 * depth]), []).append((tree, key, cls))
+        want = {x for members in nodes.values() if len(members) > 1 for x in members}
+        assert {k for k, shared in got.items() if shared >= depth} == want
+
+
+def test_prefixes_are_shortened_until_the_target_recall():
+    assert op.depths()[0] == op.MAX_DEPTH and op.depths()[-1] == op.DEPTH
+    assert all(a > b for a, b in zip(op.depths(), op.depths()[1:]))
+    assert op.recall(op.DEPTH) >= op.TARGET_RECALL > op.recall(op.DEPTH + 1)
