@@ -10,6 +10,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -70,6 +72,12 @@ CSV_OPTIONS = {
 CSV_WRITE_OPTIONS = {**CSV_OPTIONS, "emptyValue": '""'}
 
 
+LIST_ROWS = 4096        # rows of a batch of files
+BATCH_BYTES = 4 << 20   # and the texts they may hold
+READ_TASKS = 4          # tasks for each core, at most,
+FILES_OF_TASK = 20_000  # or as many as give each so many files
+
+
 def _paths(path) -> list[str]:
     return [path] if isinstance(path, str) else list(path)
 
@@ -124,22 +132,68 @@ def read_sources(spark: SparkSession, root: str, suffixes: tuple[str, ...] = (".
                  languages: tuple[str, ...] | None = None) -> DataFrame:
     """Every file under ``root`` (recursively) with one of the
     suffixes, or in one of the ``languages``, one row per file: ``file``
-    (path relative to root) and ``content`` (whole text)."""
+    (path relative to root) and ``content`` (whole text). Folders are listed
+    by the tasks, a level at a time, and no list of files is held on the
+    driver; names that begin with ``.`` or ``_`` are passed over, as Spark's
+    own readers do."""
     if languages is not None:
         suffixes = tuple(s for s, name in LANGUAGE_OF.items() if name in languages)
-    glob = "*" + suffixes[0] if len(suffixes) == 1 else "*.{" + ",".join(s.lstrip(".") for s in suffixes) + "}"
-    df = (spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob)
-          .text(root, wholetext=True)
-          .select(F.col("_metadata.file_path").alias("uri"), F.col("value").alias("content")))
-    base = root.rstrip("/") + "/"
-    rel = F.regexp_extract(F.col("uri"), r"^.*?" + _regex_quote(base.split("://")[-1].lstrip("/")) + r"(.*)$", 1)
-    return df.select(rel.alias("file"), "content")
-
-
-def _regex_quote(s: str) -> str:
-    import re
-
-    return re.escape(s)
+    base = root.rstrip("/")
+    cores = spark.sparkContext.defaultParallelism
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from quarry.sources.shards import file_system
+
+        filesystem, prefix = file_system(base)
+        for b in batches:
+            for folder in b.column("file").to_pylist():
+                infos = filesystem.get_file_info(pafs.FileSelector(f"{prefix}/{folder}".rstrip("/")))
+                own = [(f"{folder}/{i.base_name}".lstrip("/"), i.type == pafs.FileType.Directory) for i in infos if not _hidden(i.base_name)]
+                kept = [(name, is_folder) for name, is_folder in own if is_folder or name.endswith(suffixes)]
+                for a in range(0, len(kept), LIST_ROWS):
+                    part = kept[a:a + LIST_ROWS]
+                    yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in part], pa.string()), pa.array([f for _, f in part], pa.bool_())],
+                                                     names=["file", "is_folder"])
+
+    folders, files = spark.createDataFrame([("",)], "file string"), None
+    n_folders, n_files = 1, 0
+    while n_folders:
+        level = stored(folders.repartition(min(n_folders, READ_TASKS * cores)).mapInArrow(listed, "file string, is_folder boolean"), "source-list")
+        folders, own = level.filter("is_folder").select("file"), level.filter("not is_folder").select("file")
+        files = own if files is None else files.unionByName(own)
+        n_folders, found = level.agg(F.count_if("is_folder"), F.count_if(~F.col("is_folder"))).first()
+        n_files += found
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from quarry.sources.shards import file_system
+
+        filesystem, prefix = file_system(base)
+
+        def batch() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([n for n, _ in held], pa.string()), pa.array([t for _, t in held], pa.binary())],
+                                              names=["file", "content"])
+
+        held: list[tuple[str, bytes]] = []
+        size = 0
+        for b in batches:
+            for name in b.column("file").to_pylist():
+                with filesystem.open_input_stream(f"{prefix}/{name}") as f:
+                    held.append((name, f.read()))
+                size += len(held[-1][1])
+                if size >= BATCH_BYTES or len(held) >= LIST_ROWS:
+                    yield batch()
+                    held, size = [], 0
+        if held:
+            yield batch()
+
+    tasks = max(1, min(n_files, max(READ_TASKS * cores, n_files // FILES_OF_TASK)))
+    return files.repartition(tasks, "file").mapInArrow(read, "file string, content binary").select("file", F.col("content").cast("string").alias("content"))
+
+
+def _hidden(name: str) -> bool:
+    """Whether Spark's readers pass over a file or folder of this name."""
+    return (name.startswith(".") or name.startswith("_") and "=" not in name or name.endswith("._COPYING_")) \
+        and not name.startswith(("_common_metadata", "_metadata"))
 
 
 def read_tags(spark: SparkSession, root: str, schema: T.StructType | None = None) -> DataFrame:
@@ -236,11 +290,14 @@ def write_files(df: DataFrame, root: str, path_col: str, content_col: str) -> No
         from pyarrow import fs as pafs
 
         filesystem, prefix = pafs.FileSystem.from_uri(base)
-        n = 0
+        n, made = 0, set()
         for pdf in batches:
             for rel, text in zip(pdf[path_col], pdf[content_col]):
                 target = f"{prefix}/{rel}"
-                filesystem.create_dir(target.rsplit("/", 1)[0], recursive=True)
+                folder = target.rsplit("/", 1)[0]
+                if folder not in made:
+                    filesystem.create_dir(folder, recursive=True)
+                    made.add(folder)
                 with filesystem.open_output_stream(target) as out:
                     out.write((text or "").encode("utf-8"))
                 n += 1

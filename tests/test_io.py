@@ -44,3 +44,24 @@ def test_blobs_query_keeps_rows_without_lang(spark, tmp_path):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     assert sorted(r.path for r in io_blobs_csv(spark, str(tmp_path)).collect()) == ["0", "1", "2", "3", "4"]
+
+
+def test_sources_are_listed_and_read_by_few_tasks(spark, monkeypatch):
+    """Folders at several depths, hidden names, bytes as they are; no more tasks than a few for each core."""
+    monkeypatch.setattr(sio, "LIST_ROWS", 7)
+    root = tempfile.mkdtemp()
+    want = {}
+    for i in range(200):
+        name = f"r{i % 3}/" + "d/" * (i % 4) + f"f{i}.py"
+        os.makedirs(os.path.dirname(f"{root}/{name}"), exist_ok=True)
+        with open(f"{root}/{name}", "wb") as f:
+            f.write(f"größe = {i}\r\n".encode())
+        want[name] = f"größe = {i}\r\n"
+    for hidden in ("r0/_x.py", "r0/.x.py", "_d/x.py", ".d/x.py", "r0/x.pyc"):
+        os.makedirs(os.path.dirname(f"{root}/{hidden}"), exist_ok=True)
+        open(f"{root}/{hidden}", "w").close()
+    got = sio.read_sources(spark, root)
+    assert {r["file"]: r["content"] for r in got.collect()} == want and got.count() == 200
+    assert got.rdd.getNumPartitions() <= sio.READ_TASKS * spark.sparkContext.defaultParallelism
+    assert "Scan text" not in got._jdf.queryExecution().executedPlan().toString()
+    assert sio.read_sources(spark, root, (".go",)).count() == 0
