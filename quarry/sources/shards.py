@@ -1,6 +1,6 @@
 """Data sources that Spark's own readers and writers do not offer.
 
-* ``read_shards`` (S2): numbered CSV shards, one partition each, with bounded
+* ``read_shards`` (S2): numbered CSV shards, some to a partition, with bounded
   retry; shards that are given up come back as a report, not as a failed job.
 * ``read_blob_ranges`` (S1): CSV files with line breaks within quotes, read in
   byte ranges, so that one large file is many tasks.
@@ -47,10 +47,12 @@ def open_stream(uri: str):
 
 # --- S2: numbered shards ---------------------------------------------------------------------
 
+SHARD_TASKS = 4  # partitions of shards for each core, at most
+
+
 @dataclass
-class Shard(InputPartition):
-    number: int
-    uri: str
+class Shards(InputPartition):
+    numbers: list[int]
 
 
 def read_shards(spark: SparkSession, template: str, numbers: list[int], *, attempts: int = 3, delay: float = 2.0,
@@ -59,31 +61,39 @@ def read_shards(spark: SparkSession, template: str, numbers: list[int], *, attem
     uri and error of the shards given up after ``attempts``).
 
     A shard is read whole before its first row is given out, so a failed
-    attempt leaves no rows behind; tasks hold one shard at a time. Both
-    results are of one reading, which is stored."""
+    attempt leaves no rows behind; a task reads several shards, one after the
+    other, and holds one at a time. Both results are of one reading, which is
+    stored."""
+    n_tasks = max(1, min(len(numbers), SHARD_TASKS * spark.sparkContext.defaultParallelism))
+
     class Reader(DataSourceReader):
         def partitions(self):
-            return [Shard(i, template.format(i)) for i in numbers]
+            return [Shards(numbers[a::n_tasks]) for a in range(n_tasks)]
 
-        def read(self, shard):
+        def read(self, partition):
+            for number in partition.numbers:
+                yield from self._shard(number, template.format(number))
+
+        @staticmethod
+        def _shard(number, uri):
             error = None
             for attempt in range(attempts):
                 if attempt and delay > 0:
                     time.sleep(delay)
                 try:
-                    with opener(shard.uri) as f:
+                    with opener(uri) as f:
                         text = f.read().decode("utf-8")
                     rows = list(csv.DictReader(io.StringIO(text, newline="")))
                     if rows and not {repo_path, "content"} <= rows[0].keys():
                         raise ValueError(f"no columns {repo_path}, content")
                     for row in rows:
-                        yield shard.number, shard.uri, row[repo_path], row["content"], None
+                        yield number, uri, row[repo_path], row["content"], None
                     return
                 except Exception as e:  # noqa: BLE001 - whatever the store raises is a failed attempt
                     error = f"{type(e).__name__}: {e}"
-            yield shard.number, shard.uri, None, None, error
+            yield number, uri, None, None, error
 
-    class Shards(DataSource):
+    class ShardSource(DataSource):
         @classmethod
         def name(cls):
             return "quarry_shards"
@@ -94,7 +104,7 @@ def read_shards(spark: SparkSession, template: str, numbers: list[int], *, attem
         def reader(self, schema):
             return Reader()
 
-    spark.dataSource.register(Shards)
+    spark.dataSource.register(ShardSource)
     rows = stored(spark.read.format("quarry_shards").load(), "shards")
     repo, path = split_repo_path(F.col("repo_path"))
     return (rows.filter("error IS NULL").select(repo.alias("repo"), path.alias("path"), "content"),
@@ -104,6 +114,8 @@ def read_shards(spark: SparkSession, template: str, numbers: list[int], *, attem
 # --- S1: one CSV file in many tasks ----------------------------------------------------------
 
 READ_BYTES = 1 << 20
+TASK_BYTES = 64 << 20
+RANGE_TASKS = 4  # tasks for each core, at most, that ranges are dealt to
 
 
 def _ranges(spark: SparkSession, paths: list[str], range_bytes: int) -> DataFrame:
@@ -125,14 +137,17 @@ def _bytes(f, start: int, stop: int) -> Iterator[bytes]:
 
 def read_blob_ranges(spark: SparkSession, path, *, range_bytes: int = 64 << 20, repo_path: str = "repo_path") -> DataFrame:
     """The rows of ``read_blobs`` from the same CSV files (quoted as
-    RFC 4180 says), with a task for every ``range_bytes`` of a file.
+    RFC 4180 says), in ranges of ``range_bytes`` of a file. A range is a task
+    of its own; many small ranges are dealt to a number of tasks that follows
+    the cores and, at ``TASK_BYTES`` each, the size of the files.
 
     A first pass counts the quotes of every range; the sum of those before a
     range tells whether it begins within quotes, so every task knows by itself
     which line breaks end a record. A range gives the records that begin in it."""
     paths = [path] if isinstance(path, str) else list(path)
     ranges = _ranges(spark, paths, range_bytes)
-    n = max(1, ranges.count())
+    n_ranges, size = ranges.agg(F.count("*"), F.sum(F.col("stop") - F.col("start"))).first()
+    n = max(1, min(n_ranges, max(RANGE_TASKS * spark.sparkContext.defaultParallelism, (size or 0) // TASK_BYTES)))
     ranges = ranges.repartition(n, "file", "start")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,13 +164,14 @@ def read_blob_ranges(spark: SparkSession, path, *, range_bytes: int = 64 << 20,
     marked = counted.withColumn("inside", F.coalesce(F.sum("quotes").over(before), F.lit(0)) % 2 == 1).repartition(n, "file", "start")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        headers: dict[str, list[int]] = {}
         for b in batches:
             for r in b.to_pylist():
                 rows: list[list] = []
-                header = None
+                header = headers.get(r["file"])
                 for record, number in _records(r):
                     if header is None:
-                        header = _header(r["file"], repo_path)
+                        header = headers[r["file"]] = _header(r["file"], repo_path)
                     if number == 0:
                         continue  # the header itself
                     fields = _fields(record)

@@ -119,3 +119,16 @@ def test_batches_by_length_pad_less_and_change_no_vector(spark):
         assert {x.id: round(x.vec[0] * (1 if name != "cut" else 1)) for x in out if name != "cut"} == {i: (t or "").count("a") for i, t in texts if name != "cut"}
         padding[name] = sum(x.vec[1] for x in out)
     assert padding["one"] == 0 and padding["all"] <= padding["mixed"] < 400 * 50
+
+
+def test_many_shards_and_small_ranges_are_few_tasks(spark, tmp_path):
+    for i in range(150):
+        write(tmp_path / f"s{i}.csv", f'repo_path,content\n"r{i} a.py","x = {i}"\n')
+    blobs, lost = sh.read_shards(spark, f"{tmp_path}/s{{}}.csv", list(range(151)), attempts=1, delay=0.0)
+    most = sh.SHARD_TASKS * spark.sparkContext.defaultParallelism
+    assert blobs.count() == 150 and [r.shard for r in lost.collect()] == [150]
+    assert blobs.rdd.getNumPartitions() <= most
+    df = spark.createDataFrame([(f"r{i} p", "line\n" * 200) for i in range(200)], "repo_path string, content string").coalesce(1)
+    sio.write_table(df, f"{tmp_path}/csv", "csv")
+    got = sh.read_blob_ranges(spark, f"{tmp_path}/csv", range_bytes=200)
+    assert got.count() == 200 and got.rdd.getNumPartitions() <= sh.RANGE_TASKS * spark.sparkContext.defaultParallelism
