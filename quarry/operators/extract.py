@@ -281,24 +281,61 @@ def _code_tokens(source: Source) -> Iterator[tuple[str, str, int]]:
             yield kinds.get(tok.type, "sign"), tok.string, source.starts[tok.start[0] - 1] + tok.start[1]
 
 
+class _Known(dict):
+    """What was found of the last codes, some characters of them at most: a
+    batch is tokenised once, however many forms of its tokens are asked for."""
+
+    LIMIT = 4 << 20
+
+    def __init__(self):
+        super().__init__()
+        self.chars = 0
+
+    def add(self, code: str, found: tuple) -> tuple:
+        if self.chars > self.LIMIT:
+            self.clear()
+            self.chars = 0
+        self.chars += len(code)
+        self[code] = found
+        return found
+
+
+_SCANNED = _Known()
+
+
+def _scanned(code: str) -> tuple:
+    """(whether of the older grammar, None if it does not parse; places of the
+    first function and its docstring, None without a function; tokens;
+    whether they cannot be told)."""
+    try:
+        source = Source(code)
+        if source.tree is None:
+            return None, None, (), True
+        fns, first = list(_scan(source.tree.body, _FUNCS)), None
+        if fns:
+            doc = _docstring(fns[0])
+            first = (source.place(fns[0].lineno, fns[0].col_offset), source.place(doc.lineno, doc.col_offset) if doc is not None else -1)
+        return bool(source.old), first, tuple(_code_tokens(source)), False
+    except Exception:  # noqa: BLE001 - reference: any error -> empty lists
+        return None, None, (), True
+
+
 def tokenize_code(code: str, func_only: bool = True, only_ids: bool = False,
                   add_keywords: bool = True) -> tuple[list[str], list[str]]:
     """Token values and whole comments of one function (see module docstring)."""
     try:
-        source = Source(code)
-        start, doc_at = 0, -1
-        if source.tree is None:
+        known = _SCANNED.get(code)
+        if known is None:
+            known = _SCANNED.add(code, _scanned(code))
+        old, first, tokens, failed = known
+        if old is None or func_only and first is None:
+            return [], []
+        start, doc_at = first if func_only else (0, -1)
+        if failed:
             return [], []
-        if func_only:
-            fns = list(_scan(source.tree.body, _FUNCS))
-            if not fns:
-                return [], []
-            start = source.place(fns[0].lineno, fns[0].col_offset)
-            doc = _docstring(fns[0])
-            doc_at = source.place(doc.lineno, doc.col_offset) if doc is not None else -1
         code_tokens, comments = [], []
-        old_words = {"print", "exec"} if source.old else set()
-        for kind, text, at in _code_tokens(source):
+        old_words = {"print", "exec"} if old else set()
+        for kind, text, at in tokens:
             if at < start:
                 continue
             if kind == "comment":

@@ -23,6 +23,8 @@ def _s(c) -> F.Column:
 # Rows of a driver table per release: a snapshot is a repository at one
 # release, so its size stays bounded while the number of snapshots grows.
 RELEASE_ROWS = 1000
+# Source files that a task writes or parses, at most.
+MODULES_OF_TASK = 20_000
 
 
 def _release(row_id: str) -> F.Column:
@@ -147,7 +149,7 @@ def python_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     have a comment above it, MEDIUM ones hold letters outside ASCII, LARGE
     ones indent with tabs, ECONOMY ones end lines with CR LF, and sizes above
     45 do not parse."""
-    part = spread(read_table(spark, sf_dir, "part"))
+    part = spread(read_table(spark, sf_dir, "part"), MODULES_OF_TASK)
     k, s = _s("p_partkey"), _s("p_size")
     doc = F.when(F.col("p_size") > 25, F.lit('    """Price."""')).otherwise(
         F.lit('    """Compute the retail price quickly."""'))
@@ -295,7 +297,7 @@ if (half) { function* nested@K() { function deep() {} } }
 def language_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One source file per ``part`` row, in one of six languages by the
     part's type; files of sizes above 45 end in a definition that breaks off."""
-    part = spread(read_table(spark, sf_dir, "part"))
+    part = spread(read_table(spark, sf_dir, "part"), MODULES_OF_TASK)
 
     def filled(text: str) -> F.Column:
         return F.replace(F.replace(F.lit(text), F.lit("@K"), _s("p_partkey")), F.lit("@S"), _s("p_size"))
@@ -344,7 +346,7 @@ def broken@K(:
 def old_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One Python module of the older grammar per ``part`` row; those of sizes
     above 45 end in a class and a function that break off."""
-    part = spread(read_table(spark, sf_dir, "part"))
+    part = spread(read_table(spark, sf_dir, "part"), MODULES_OF_TASK)
     text = F.concat(F.lit(OLD_MODULE), F.when(F.col("p_size") > 45, F.lit(BROKEN_CLASS)).otherwise(""))
     text = F.replace(F.replace(text, F.lit("@K"), _s("p_partkey")), F.lit("@S"), _s("p_size"))
     return part.select(F.lower(F.regexp_replace("p_brand", "#", "")).alias("repo"),

@@ -103,3 +103,24 @@ def test_build_tags_excludes_test_paths(spark):
     assert {r["file"] for r in tags} == {"pkg/m.py"}
     top = [r for r in tags if r["name"] == "top"][0]
     assert top["pattern"] == "/^def top(a, b):$/" and top["line"] == 3
+
+
+def test_a_code_is_scanned_once_for_all_forms_of_its_tokens(monkeypatch):
+    from quarry.operators import extract as xt
+
+    scans = []
+    scan = xt._scanned
+    monkeypatch.setattr(xt, "_scanned", lambda code: scans.append(code) or scan(code))
+    code = "def once(x):  # note\n    '''Doc.'''\n    return x\n"
+    assert xt.tokenize_code(code) == (["def", "once", "(", "x", ")", ":", "return", "x"], ["# note"])
+    assert xt.tokenize_code(code, only_ids=True) == (["once", "x", "x"], ["# note"])
+    assert xt.tokenize_code("x = 1\n") == ([], []) and xt.tokenize_code("x = 1\n", func_only=False) == (["x", "=", "1"], [])
+    assert len(scans) == 2
+
+
+def test_tasks_follow_the_rows_that_are_parsed(spark):
+    from quarry.session import spread
+
+    df = spark.range(1000, numPartitions=1)
+    assert spread(df, 10).rdd.getNumPartitions() == 100
+    assert spread(df).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
