@@ -6,8 +6,8 @@ a text of one to four words is one shingle.
 
 1. Copies: documents with the same shingle set are one class (an aggregate by
    the digest of the set), so copies are never paired with each other.
-2. Forest: every class has a key of ``MAX_DEPTH`` MinHash values in each of
-   ``TREES`` tries. A trie is kept as its sorted keys, each with the length of
+2. Forest: every class has a key of ``MAX_DEPTH`` MinHash values (the first
+   ``KEY_BYTES`` of each) in each of ``TREES`` tries. A trie is kept as its sorted keys, each with the length of
    the longest prefix that it shares with a neighbour, so the nodes of any depth
    are runs of equal prefixes. Matching begins at the whole keys. As long as a
    pair at the threshold shares a prefix of this length in some tree with less
@@ -52,6 +52,7 @@ THRESHOLD = Fraction(4, 5)
 TREES = 24
 MAX_DEPTH = 8
 SHORTEN = 4
+KEY_BYTES = 2             # leading bytes of a MinHash value in a key: fewer never part what all would join
 TARGET_RECALL = 0.99999
 SEED = 8
 BUCKET_BLOCK = 512        # classes of one bucket that a task compares with as many others
@@ -153,7 +154,7 @@ def sketch(docs: DataFrame) -> DataFrame:
                     continue
                 m = signature(s)
                 out["cls"].append(digest(s))
-                out["keys"].append([k.tobytes() for k in m.astype(">u4").reshape(TREES, MAX_DEPTH)])
+                out["keys"].append([k.tobytes() for k in (m >> np.uint32(32 - 8 * KEY_BYTES)).astype(f">u{KEY_BYTES}").reshape(TREES, MAX_DEPTH)])
                 out["marks"].append((m >> np.uint32(8)).astype(np.uint8).tobytes())
             yield out
         _WORDS.clear()
@@ -255,12 +256,17 @@ def common_shingles(sets: list[np.ndarray], step: int = 8192) -> np.ndarray:
     return out
 
 
+def _prefix(depth: int):
+    """The first ``depth`` values of a key, whatever their width."""
+    return F.col("key").substr(F.lit(1), (F.length("key") / MAX_DEPTH * depth).cast("int"))
+
+
 def tries(classes: DataFrame) -> DataFrame:
     """tree, key, cls, shared: the sorted keys of every tree that share a prefix of
     ``DEPTH`` values or more with a neighbour, and the length of the longest."""
     least = DEPTH
     paths = classes.select("cls", F.posexplode("keys").alias("tree", "key"))
-    ordered = paths.repartitionByRange("tree", F.substring("key", 1, 4 * least)).sortWithinPartitions("tree", "key")
+    ordered = paths.repartitionByRange("tree", _prefix(least)).sortWithinPartitions("tree", "key")
 
     def run(batches):
         last: tuple | None = None  # the row before, with what it shares with the one before it
@@ -268,8 +274,8 @@ def tries(classes: DataFrame) -> DataFrame:
         def common(a: tuple, b: tuple) -> int:
             if a[0] != b[0]:
                 return 0
-            k = 0
-            while k < MAX_DEPTH and a[1][4 * k:4 * k + 4] == b[1][4 * k:4 * k + 4]:
+            k, w = 0, len(a[1]) // MAX_DEPTH
+            while k < MAX_DEPTH and a[1][w * k:w * (k + 1)] == b[1][w * k:w * (k + 1)]:
                 k += 1
             return k
 
@@ -296,7 +302,7 @@ def near_families(classes: DataFrame) -> DataFrame:
     forest = stored(tries(classes), "near-tries")
     joined = labels = None  # pairs of all depths so far; cls, family: those with one family are joined
     for depth in depths():
-        paths = forest.filter(F.col("shared") >= depth).select("cls", "tree", F.substring("key", 1, 4 * depth).alias("prefix"))
+        paths = forest.filter(F.col("shared") >= depth).select("cls", "tree", _prefix(depth).alias("prefix"))
         paths = (paths.withColumn("family", F.col("cls")) if labels is None
                  else paths.join(labels, "cls", "left").withColumn("family", F.coalesce("family", "cls")))
         # Nodes with classes of two or more families, those with the same members once.

@@ -150,3 +150,15 @@ def test_prefixes_are_shortened_until_the_target_recall():
     assert op.depths()[0] == op.MAX_DEPTH and op.depths()[-1] == op.DEPTH
     assert all(a > b for a, b in zip(op.depths(), op.depths()[1:]))
     assert op.recall(op.DEPTH) >= op.TARGET_RECALL > op.recall(op.DEPTH + 1)
+
+
+def test_keys_hold_two_bytes_of_a_value(spark):
+    """The stored and shuffled keys: 2 bytes for each value; equal values stay equal."""
+    from quarry.llm import op8_near
+
+    docs = spark.createDataFrame([(1, "a b c d e f g"), (2, "a b c d e f g"), (3, None)], "doc_id long, text string")
+    keys = {r.doc_id: r["keys"] for r in op8_near.sketch(docs).collect()}
+    assert keys[1] == keys[2] and keys[3] is None
+    assert len(keys[1]) == op8_near.TREES and {len(k) for k in keys[1]} == {2 * op8_near.MAX_DEPTH}
+    m = op8_near.signature(op8_near.shingles("a b c d e f g"))
+    assert [int.from_bytes(keys[1][0][2 * i:2 * i + 2]) for i in range(op8_near.MAX_DEPTH)] == [int(v) >> 16 for v in m[:op8_near.MAX_DEPTH]]
