@@ -89,6 +89,19 @@ def build_pairs(requests: DataFrame, definitions: DataFrame, p: float = 0.1, see
     positives = (names.join(defs, ["save_path", "kind", "name"])
                  .withColumn("Relevance", F.lit(1)))
 
+    cols = [request_id, "save_path", "file", "kind", "name", "body", "start_line", "Relevance"]
+
+    def finished(pairs: DataFrame) -> DataFrame:
+        return (pairs.join(req.select(request_id, "Query"), request_id)
+                .select(request_id, "kind",
+                        F.lit(language).alias("Language"), "Query",
+                        F.col("body").alias("Code"),
+                        definition_url(url_base, "save_path", "name").alias("GitHubUrl"),
+                        "Relevance", F.lit("").alias("Notes")))
+
+    if p <= 0:  # no coin succeeds: there is nothing to draw from
+        return finished(positives.select(*cols))
+
     # Negatives: drawn indices into the snapshot's definitions.
     indexed = with_group_index(defs, ["save_path"], ["file", "start_line", "kind", "name"])
     sizes = indexed.groupBy("save_path").agg(F.count(F.lit(1)).alias("n_defs"))
@@ -103,11 +116,4 @@ def build_pairs(requests: DataFrame, definitions: DataFrame, p: float = 0.1, see
                  .drop("label", "idx")
                  .withColumn("Relevance", F.lit(0)))
 
-    cols = [request_id, "save_path", "file", "kind", "name", "body", "start_line", "Relevance"]
-    pairs = positives.select(*cols).unionByName(negatives.select(*cols))
-    return (pairs.join(req.select(request_id, "Query"), request_id)
-            .select(request_id, "kind",
-                    F.lit(language).alias("Language"), "Query",
-                    F.col("body").alias("Code"),
-                    definition_url(url_base, "save_path", "name").alias("GitHubUrl"),
-                    "Relevance", F.lit("").alias("Notes")))
+    return finished(positives.select(*cols).unionByName(negatives.select(*cols)))

@@ -34,6 +34,13 @@ def test_positives_and_negatives(spark):
     assert sorted(map(tuple, pairs)) == sorted(map(tuple, again))
 
 
+def test_without_chance_nothing_is_drawn(spark):
+    req, defs = _inputs(spark)
+    pairs = pr.build_pairs(req, defs, p=0.0, seed="s")
+    assert "EvalPython" not in pairs._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r["request_id"], r["kind"], r["Relevance"]) for r in pairs.collect()) == [(1, "class", 1), (1, "function", 1), (3, "function", 1)]
+
+
 def test_group_index_is_dense_and_ordered(spark):
     rows = [(g, v) for g in ("a", "b", "c") for v in range(50 if g != "b" else 5)]
     df = spark.createDataFrame(rows, "g string, v long").repartition(4)
