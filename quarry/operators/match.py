@@ -42,8 +42,9 @@ def with_keywords(requests: DataFrame, text: str = "problem_statement",
 
 
 # Requests and tags of one cell, about: blocks are dealt by a hash.
-REQUEST_BLOCK = 64
+REQUEST_BLOCK = 512
 TAG_BLOCK = 8192
+HELD_CELLS = 1 << 20  # hits that a task counts at once
 IDENT_RUN = re.compile(r"[A-Za-z0-9_]+")
 
 
@@ -74,21 +75,39 @@ class KeywordIndex:
         automaton = self.automata.get(in_runs)
         return {i for _, i in automaton.iter(text)} if automaton else set()
 
-    def hits(self, line: str) -> np.ndarray:
-        """How many keywords of each request occur in the line."""
+    def _of_line(self, line: str) -> set[int]:
         found = self._found(False, line)
         if True in self.automata:
-            for run in IDENT_RUN.findall(line):
-                own = self.of_run.get(run)
+            of_run = self.of_run
+            for run in set(IDENT_RUN.findall(line)):
+                own = of_run.get(run)
                 if own is None:
-                    own = self.of_run[run] = list(self._found(True, run))
-                found.update(own)
-        if not found:
-            return np.zeros(self.n, np.int64)
-        kws = np.fromiter(found, np.int64, len(found))
-        size = self.first[kws + 1] - self.first[kws]
-        start = np.repeat(self.first[kws] - np.cumsum(size) + size, size)
-        return np.bincount(self.requests[start + np.arange(len(start))], minlength=self.n)
+                    own = of_run[run] = list(self._found(True, run))
+                if own:
+                    found.update(own)
+        return found
+
+    def hits(self, lines: list[str]) -> np.ndarray:
+        """How many keywords of each request (column) occur in each line (row)."""
+        out = np.zeros((len(lines), self.n), np.int32)
+        held = np.zeros((len(self.first) - 1, self.n), np.int32)
+        held[np.repeat(np.arange(len(held)), np.diff(self.first)), self.requests] = 1
+        rows, ends, kws = [], [0], []
+
+        def add() -> None:
+            if rows:
+                out[rows] = np.add.reduceat(held[np.array(kws, np.int64)], ends[:-1], axis=0)
+            rows.clear(), kws.clear(), ends.clear(), ends.append(0)
+
+        for i, line in enumerate(lines):
+            if found := self._of_line(line):
+                rows.append(i)
+                kws.extend(found)
+                ends.append(len(kws))
+                if len(kws) * self.n > HELD_CELLS:
+                    add()
+        add()
+        return out
 
 
 def _order(row: tuple) -> tuple:
@@ -102,7 +121,7 @@ def _best_tags(min_hits: int, k: int, names: list[str], schema: pa.Schema):
             return schema.empty_table()
         keys = sorted(zip(*(tags[c].to_pylist() for c in names), tags["pattern"].to_pylist()), key=_order)
         index = KeywordIndex([kws or [] for kws in requests["keywords"].to_pylist()])
-        hits = np.stack([index.hits(row[-1]) for row in keys]).T
+        hits = np.ascontiguousarray(index.hits([row[-1] for row in keys]).T).astype(np.int64)
         # Of equal hits the earlier tag: one number says both.
         worth = hits * len(keys) - np.arange(len(keys))
         worth[(hits < min_hits) | (hits == 0)] = -len(keys)

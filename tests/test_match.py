@@ -114,3 +114,17 @@ def test_short_keywords_are_refused(spark):
     tags = spark.createDataFrame([("s", "p", 1, "n", "abc ab")], "save_path string, path string, line int, name string, pattern string")
     with pytest.raises(Exception, match="fewer than three"):
         mt.match_tags(req, tags, min_hits=1).collect()
+
+
+def test_hits_of_many_lines_at_once(monkeypatch):
+    """Counted in small steps: the same numbers as keyword by keyword."""
+
+    rnd = random.Random(3)
+    words = ["abc", "abcd", "bcd", "x y z", "foo_1", "né", "a.b"]
+    lines = ["", " ".join(words)] + [" ".join(rnd.choice([*words, "zz", "q"]) for _ in range(rnd.randrange(6))) for _ in range(60)]
+    asked = [rnd.sample(words, rnd.randrange(len(words) + 1)) for _ in range(5)] + [["abc", "abc"], []]
+    want = [[sum(w in line for w in set(own)) for own in asked] for line in lines]
+    for cells in (1, 40, 1 << 20):
+        monkeypatch.setattr(mt, "HELD_CELLS", cells)
+        assert mt.KeywordIndex(asked).hits(lines).tolist() == want
+    assert mt.KeywordIndex([[], []]).hits(lines).sum() == 0
