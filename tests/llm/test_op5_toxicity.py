@@ -88,3 +88,33 @@ def test_log_odds_order():
     y1, y0 = np.array([50.0, 5.0, 50.0]), np.array([0.0, 0.0, 400.0])
     odds, error = op.log_odds(y1, y0, 1000.0, 8000.0)
     assert odds[0] / error[0] > odds[1] / error[1] > op.MIN_Z > abs(odds[2] / error[2])
+
+
+def test_few_labels_catch_toxic_documents(spark):
+    """Ten toxic documents, each with four of ten insults: too few stand out by MIN_Z."""
+    r = random.Random(3)
+    clean = ["".join(r.choice("abcdefgh") for _ in range(3)) for _ in range(400)]
+    insults = [c + "zyx" for c in "klmnopqrst"]
+    rows, labels = [], []
+    for i in range(400):
+        tokens = [r.choice(clean) for _ in range(120)]
+        if i % 6 == 0:
+            for at, w in zip(r.sample(range(120), 8), r.sample(insults, 4) * 2):
+                tokens[at] = w
+        rows.append((i, " ".join(tokens)))
+        if i < 66:
+            labels.append((i, int(i % 6 == 0)))
+    docs, marked = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    lex = op.fit(docs, marked)
+    found = {r.doc_id: r.score >= 0.5 for r in op.score_documents(docs, lex).collect() if r.doc_id >= 66}
+    assert sum(found[i] for i in found if i % 6 == 0) >= 0.9 * sum(i % 6 == 0 for i in found)
+    assert sum(found[i] for i in found if i % 6) <= 0.05 * len(found)
+
+
+def test_documents_of_the_smallest_table_are_caught(spark):
+    """Ten toxic documents to learn from: at least half of the labelled ones are caught, no clean one is."""
+    labels = {r.doc_id: r.toxic for r in spark.read.parquet("/root/testdata/sf0.001/labels.parquet").collect()}
+    out = {r.doc_id: r.predicted for r in op.op5_toxicity(spark, "/root/testdata/sf0.001").collect()}
+    assert len(out) == 200
+    assert sum(out[d] for d, y in labels.items() if y) >= 0.5 * sum(labels.values())
+    assert sum(out[d] for d, y in labels.items() if not y) == 0
