@@ -14,7 +14,8 @@ runs of the lines for keywords that are identifiers (they occur only inside
 a run), over whole lines for the others. Hits are counted inside the cell,
 which gives back at most ``k`` tags per request; a second top-k joins the
 cells. What is shuffled are requests, tags and the cells' few rows, never a
-row per hit; a hot snapshot is more cells.
+row per hit; a hot snapshot is more cells. Requests and tags are shuffled
+once, and their shuffle files go before the cells' rows are shuffled.
 """
 
 from __future__ import annotations
@@ -32,6 +33,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from quarry.functions.text import keywords as keywords_expr
+from quarry.session import stored
 
 
 def with_keywords(requests: DataFrame, text: str = "problem_statement",
@@ -45,6 +47,7 @@ def with_keywords(requests: DataFrame, text: str = "problem_statement",
 REQUEST_BLOCK = 512
 TAG_BLOCK = 8192
 HELD_CELLS = 1 << 20  # hits that a task counts at once
+MANY_SNAPSHOTS = 200_000  # whose block counts are broadcast, at most
 IDENT_RUN = re.compile(r"[A-Za-z0-9_]+")
 
 
@@ -128,6 +131,8 @@ def _best_tags(min_hits: int, k: int, names: list[str], schema: pa.Schema):
         kept = np.argpartition(-worth, k - 1, axis=1)[:, :k] if k < len(keys) else np.broadcast_to(np.arange(len(keys)), hits.shape)
         r, at = np.nonzero(np.take_along_axis(worth, kept, 1) > -len(keys))
         tag = kept[r, at]
+        order = np.argsort(tag, kind="stable")  # line by line: a line of many requests is stored about once
+        r, tag = r[order], tag[order]
         ids = requests.column(0).take(pa.array(r))
         rows = [keys[t] for t in tag.tolist()]
         columns = [ids, *(pa.array([row[i] for row in rows], schema.field(i + 1).type) for i in range(len(names) + 1)),
@@ -139,17 +144,24 @@ def _best_tags(min_hits: int, k: int, names: list[str], schema: pa.Schema):
 
 def _blocks(df: DataFrame, size: int, key: list[str], name: str) -> tuple[DataFrame, DataFrame]:
     """(rows with their block of about ``size`` rows of a snapshot, snapshots with the numbers of their blocks)."""
-    counts = df.groupBy("save_path").agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias(f"n_{name}"))
-    rows = df.join(counts, "save_path").withColumn(name, F.pmod(F.xxhash64(*key), F.col(f"n_{name}")).cast("int"))
+    counts = stored(df.groupBy("save_path").agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias(f"n_{name}")), "match-blocks")
+    rows = _with_counts(df, counts).withColumn(name, F.pmod(F.xxhash64(*key), F.col(f"n_{name}")).cast("int"))
     return rows.drop(f"n_{name}"), counts
 
 
+def _with_counts(df: DataFrame, counts: DataFrame) -> DataFrame:
+    """The join with a row per snapshot: requests and lines are shuffled for it only if the snapshots are many."""
+    if counts.count() <= MANY_SNAPSHOTS:
+        return df.join(F.broadcast(counts), "save_path")
+    return df.hint("merge").join(counts, "save_path")
+
+
 def match_tags(requests: DataFrame, tags: DataFrame, *, min_hits: int = 3, k: int = 10,
                request_id: str = "request_id") -> DataFrame:
     """J3/T6/P8/W1.
 
-    ``requests``: request_id, save_path, keywords (read twice: give a stored
-    table), each keyword at least three characters, as produced by
+    ``requests``: request_id, save_path, keywords (read several times here, not by
+    the result: give a stored table), each keyword at least three characters, as produced by
     ``keywords``; a shorter one is refused with an error.
     ``tags``: save_path, path, line, name, pattern.
     Returns request_id, save_path, path, line, name, pattern, hits, rank; ties
@@ -166,16 +178,18 @@ def match_tags(requests: DataFrame, tags: DataFrame, *, min_hits: int = 3, k: in
     left, n_left = _blocks(asked, REQUEST_BLOCK, [request_id], "a")
     right, n_right = _blocks(kept, TAG_BLOCK, [*names, "pattern"], "b")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = left.join(n_right, "save_path").withColumn("b", every("n_b")).drop("n_b")
-    right = right.join(n_left, "save_path").withColumn("a", every("n_a")).drop("n_a")
+    left = _with_counts(left, n_right).withColumn("b", every("n_b")).drop("n_b")
+    right = _with_counts(right, n_left).withColumn("a", every("n_a")).drop("n_a")
     out = T.StructType([requests.schema[request_id], *(tags.schema[c] for c in names),
                         T.StructField("pattern", T.StringType()), T.StructField("hits", T.LongType())])
     by = ["save_path", "a", "b"]
-    found = left.select(request_id, "keywords", *by).groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(
-        _best_tags(min_hits, k, names, to_arrow_schema(out)), out)
+    # Stored: the shuffled requests and lines are gone before the found rows are shuffled.
+    found = stored(left.select(request_id, "keywords", *by).groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(
+        _best_tags(min_hits, k, names, to_arrow_schema(out)), out), "match-found")
+    home = stored(requests.select(request_id, "save_path"), "match-requests")
     w = Window.partitionBy(request_id).orderBy(F.col("hits").desc(), *names)
     top = found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-    return top.join(requests.select(request_id, "save_path"), request_id).select(
+    return top.join(home, request_id).select(
         request_id, "save_path", *names, "pattern", "hits", "rank")
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from quarry.operators import evaluate as ev
 from quarry.operators import retrieve as rt
-from quarry.session import read_table, spread, stored
+from quarry.session import discard, read_table, spread, stored
 
 TOPK = 5
 
@@ -285,13 +285,15 @@ from quarry.operators import match as mt  # noqa: E402
 
 
 def _matched(spark, sf_dir):
-    """Keywords are extracted once per request and stored (they feed the
-    cells and the prompts); the issue text is joined back only where the
+    """Keywords are extracted once per request and stored until the cells are
+    counted (prompts need their number only); the issue text is joined back only where the
     prompt needs it."""
     base = spread(fx.issue_requests(spark, sf_dir))
     kw = stored(mt.with_keywords(base).select("request_id", "save_path", "keywords", "keyword_num"), "keywords")
+    asked = stored(kw.select("request_id", "save_path", "keyword_num"), "requests")
     matched = mt.match_tags(kw, fx.line_tags(spark, sf_dir))
-    req = kw.join(base.select("request_id", "problem_statement"), "request_id")
+    discard(kw)
+    req = asked.join(base.select("request_id", "problem_statement"), "request_id")
     return req, matched
 
 

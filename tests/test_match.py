@@ -128,3 +128,18 @@ def test_hits_of_many_lines_at_once(monkeypatch):
         monkeypatch.setattr(mt, "HELD_CELLS", cells)
         assert mt.KeywordIndex(asked).hits(lines).tolist() == want
     assert mt.KeywordIndex([[], []]).hits(lines).sum() == 0
+
+
+@pytest.mark.parametrize("many", [200_000, 0])
+def test_requests_and_lines_are_shuffled_before_what_is_found(spark, monkeypatch, many):
+    """The cells are done and stored when the result is planned: it reads neither requests' keywords nor lines again."""
+    monkeypatch.setattr(mt, "MANY_SNAPSHOTS", many)
+    requests, tags = random_case(random.Random(3), ["s", "t", "t"], ["p", "q"], 12, 20)
+    tags = sorted(set(tags), key=str)
+    req = spark.createDataFrame(requests, "request_id long, save_path string, keywords array<string>")
+    tdf = spark.createDataFrame(tags, "save_path string, path string, line int, name string, pattern string")
+    out = mt.match_tags(req, tdf, min_hits=2, k=4)
+    plan = out._jdf.queryExecution().sparkPlan().toString()
+    assert "CoGroup" not in plan and "keywords" not in plan, plan
+    got = sorted((r.request_id, r.line, r.hits, r["rank"]) for r in out.collect())
+    assert got == sorted((i, line, h, rank) for i, _, line, h, rank in brute(requests, tags, 2, 4))
